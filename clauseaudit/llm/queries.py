@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseaudit.llm import byte_bpe, mixing, ogg
+from clauseaudit.llm import byte_bpe, chat, fingerprint, mixing, ogg
 from clauseaudit.llm.common import read_documents
 
 
@@ -15,13 +15,24 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    more = spark.sql("SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, :text AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)", {"text": tricky})
+    return chat.digests(chat.format_chat(turns.unionByName(more)))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_documents(spark, sf_dir))
+
+
 def op10_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.store(read_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op4_mixing, op10_media_ogg)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_chat, op4_mixing, op7_fingerprint, op10_media_ogg)}
+ORACLE: dict[str, str] = {"op3_chat": chat.SQL}

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clauseaudit.llm import byte_bpe, chat, fingerprint, mixing, ogg
+from clauseaudit.llm import byte_bpe, chat, fingerprint, mixing, ogg, substring_dedup
 from clauseaudit.llm.common import read_documents
 
 
@@ -30,9 +31,14 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read_documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = substring_dedup.remove(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return x.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op10_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.store(read_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_chat, op4_mixing, op7_fingerprint, op10_media_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_chat, op4_mixing, op7_fingerprint, op9_substring_dedup, op10_media_ogg)}
 ORACLE: dict[str, str] = {"op3_chat": chat.SQL}

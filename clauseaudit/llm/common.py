@@ -131,7 +131,7 @@ def window_hashes(h: np.ndarray, k: int, factor: np.uint64 = _R1) -> np.ndarray:
         if width > k:
             break
         at = at[: len(at) - width // 2] + at[width // 2 :] * power
-        power = power * power
+        power = _power(power, 2)
     return mix(out[: len(h) - k + 1])
 
 

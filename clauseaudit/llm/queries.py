@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseaudit.llm import byte_bpe, chat, fingerprint, mixing, ogg, substring_dedup
+from clauseaudit.llm import byte_bpe, chat, fingerprint, mixing, ngram_join, ogg, substring_dedup
 from clauseaudit.llm.common import read_documents
 
 
@@ -16,6 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_documents(spark, sf_dir), k=3, percent=90)
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = r"\### Assistant: </turn> ok"
@@ -40,5 +44,5 @@ def op10_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.store(read_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_chat, op4_mixing, op7_fingerprint, op9_substring_dedup, op10_media_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_chat, op4_mixing, op7_fingerprint, op9_substring_dedup, op10_media_ogg)}
 ORACLE: dict[str, str] = {"op3_chat": chat.SQL}

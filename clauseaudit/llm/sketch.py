@@ -1,6 +1,6 @@
 """Count-min sketches of hashed items, merged from partition sketches.
 
-A task collects the cells of its items, sorted and coded as byte-sized differences, one row for each part of the
+Row 0 of a sketch has a plane for each threshold; further rows only test the first threshold.  A task collects the cells of its items, sorted and coded as byte-sized differences, one row for each part of the
 sketch.  Parts merge by key with numpy sums; what leaves a part are bit planes: for each threshold,
 whether a cell's count exceeds it.  The planes are broadcast.  Their size is depth * planes * cells / 8 bytes, cells being
 a power of two sized from the input between ``least`` and ``most`` (2^30 cells: 128 MB a plane), so the broadcast
@@ -47,19 +47,23 @@ class Sketch:
 
     def above(self, items: np.ndarray) -> np.ndarray:
         """How many of the thresholds the estimate of each item exceeds."""
-        out = np.full(len(items), len(self.thresholds), np.int8)
+        out = np.zeros(len(items), np.int8)
         for row in range(self.depth):
             at = cells_of(items, row, self.cells)
             byte, bit = at >> 3, (at & 7).astype(np.uint8)
-            got = np.zeros(len(items), np.int8)
             for plane in self.planes.value[row]:
-                got += ((plane[byte] >> bit) & 1).astype(np.int8)
-            np.minimum(out, got, out=out)
+                got = ((plane[byte] >> bit) & 1).astype(np.int8)
+                out = out + got if row == 0 else out * got
         return out
 
 
-def build(docs: DataFrame, items: Callable[[Chunk], np.ndarray], expected: float, depth: int, thresholds: tuple[int, ...], cells_per_item: float, least: int = 1 << 20, most: int = 1 << 30) -> Sketch:
-    """Count ``items`` (hashes of a chunk of rows) over all of ``docs``, of which about ``expected`` are there."""
+def of_chunks(items: Callable[[Chunk], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]:
+    """Items of texts, chunk by chunk."""
+    return lambda batches: map(items, chunks(batches))
+
+
+def build(docs: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: float, depth: int, thresholds: tuple[int, ...], cells_per_item: float, least: int = 1 << 20, most: int = 1 << 30) -> Sketch:
+    """Count ``items`` (arrays of hashes from a task's batches) over all of ``docs``; about ``expected`` are there."""
     cells = power_of_two(expected * cells_per_item, least, most)
     parts = cells // PART
     limit = thresholds[-1] + 1  # a task's own copies beyond it add nothing
@@ -79,8 +83,8 @@ def build(docs: DataFrame, items: Callable[[Chunk], np.ndarray], expected: float
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for chunk in chunks(batches):
-            held.append(items(chunk))
+        for found in items(batches):
+            held.append(found)
             size += len(held[-1])
             if size >= FLUSH:
                 yield from flush(held)
@@ -92,11 +96,12 @@ def build(docs: DataFrame, items: Callable[[Chunk], np.ndarray], expected: float
         counts = np.zeros(PART, np.int64)
         for data in pieces["data"]:
             counts += np.bincount(unpack(data), minlength=PART)
-        planes = [np.packbits(counts > t, bitorder="little").tobytes() for t in thresholds]
+        row = int(key[0]) // parts
+        planes = [np.packbits(counts > t, bitorder="little").tobytes() for t in (thresholds if row == 0 else thresholds[:1])]
         return pd.DataFrame({"part": [int(key[0])], "planes": [planes]})
 
     merged = docs.mapInArrow(collect, "part bigint, data binary").groupBy("part").applyInPandas(merge, "part bigint, planes array<binary>")
-    planes = [[np.zeros(cells // 8, np.uint8) for _ in thresholds] for _ in range(depth)]
+    planes = [[np.zeros(cells // 8, np.uint8) for _ in (thresholds if row == 0 else thresholds[:1])] for row in range(depth)]
     for got in merged.toLocalIterator():
         row, part = divmod(got["part"], parts)
         for t, data in enumerate(got["planes"]):

@@ -82,7 +82,7 @@ def _prime(n: int) -> int:
 
 def repeats(keyed: DataFrame, shards: int, total: int, size: int = WINDOW) -> DataFrame:
     """From (doc_id, text, tie): occurrences that are not the first of their words, packed by shard of documents."""
-    counted = sketch.build(keyed.select("text"), lambda c: _windows(c, size)[0], total / 6, 2, (1,), 1.5)
+    counted = sketch.build(keyed.select("text"), sketch.of_chunks(lambda c: _windows(c, size)[0]), total / 6, 2, (1,), 1.5)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseaudit.llm import byte_bpe, chat, fingerprint, mixing, ngram_join, ogg, substring_dedup
+from clauseaudit.llm import byte_bpe, chat, fingerprint, language_id, mixing, ngram_join, ogg, substring_dedup, toxicity
 from clauseaudit.llm.common import read_documents
 
 
@@ -31,10 +31,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_documents(spark, sf_dir))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read_documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = substring_dedup.remove(read_documents(spark, sf_dir).select("doc_id", "text"))
     return x.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
@@ -44,5 +52,5 @@ def op10_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.store(read_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_chat, op4_mixing, op7_fingerprint, op9_substring_dedup, op10_media_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_chat, op4_mixing, op6_language_id, op7_fingerprint, op8_toxicity, op9_substring_dedup, op10_media_ogg)}
 ORACLE: dict[str, str] = {"op3_chat": chat.SQL}

@@ -11,8 +11,8 @@ tokens that the sketch proves unique are never indexed, and bound the overlap of
 Candidates are not all pairs of a posting list.  Round one verifies each member of a list against the list's
 pivot (the member with fewest unique tokens), so work is linear in the postings; links become components.
 Round two takes only lists with members of several components, with classes from a new, sharper sketch of their
-sets, and verifies pairs between the pivot's component and the others, and among the others, that the bounds
-allow.  Joins are by signature, pivot or entity, which AQE may split.
+sets, and verifies pairs between the pivot's component and the others, and among the others, that exact bounds
+allow: unique tokens, sizes, and the bits in which the sets' parities differ (never more than the tokens in which the sets do).  Joins are by signature, pivot or entity, which AQE may split.
 
 Null and empty texts have no set and link with nothing; a text of fewer than k words is one token.  A very long
 text is one set.  Repeated rows and texts are one entity.  A null doc_id is never the smallest of a group with
@@ -102,9 +102,18 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary")
 
 
-def _post(found: Iterator[tuple[bytes, np.ndarray]], counted: sketch.Sketch, percent: int) -> Iterator[pa.RecordBatch]:
-    """Postings (sig, key, n, u) of sets; u: tokens that the sketch proves unique."""
-    sig, key, n, u = [], [], [], []
+PARITY = 8  # longs
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """512 bits, of which each token flips one: two sets differ in at least as many tokens as their parities in bits."""
+    bits = np.bincount((mix(tokens) & _U(PARITY * 64 - 1)).astype(np.int64), minlength=PARITY * 64) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _post(found: Iterator[tuple[bytes, np.ndarray]], counted: sketch.Sketch, percent: int, parities: bool = False) -> Iterator[pa.RecordBatch]:
+    """Postings (sig, key, n, u) of sets; u: tokens that the sketch proves unique; with ``parities`` their parity (p0, p1, ...)."""
+    sig, key, n, u, bits = [], [], [], [], []
     size = 0
 
     def batch() -> pa.RecordBatch:
@@ -112,6 +121,7 @@ def _post(found: Iterator[tuple[bytes, np.ndarray]], counted: sketch.Sketch, per
         return pa.RecordBatch.from_pydict({
             "sig": pa.array(np.concatenate(sig).view(np.int64)), "key": pa.array(np.repeat(np.array(key, object), reps), pa.binary()),
             "n": pa.array(np.repeat(n, reps).astype(np.int32)), "u": pa.array(np.repeat(u, reps).astype(np.int32)),
+            **({f"p{i}": pa.array(np.repeat([b[i] for b in bits], reps)) for i in range(PARITY)} if parities else {}),
         })
 
     for name, tokens in found:
@@ -124,10 +134,11 @@ def _post(found: Iterator[tuple[bytes, np.ndarray]], counted: sketch.Sketch, per
             key.append(name)
             n.append(len(tokens))
             u.append(int((above == 0).sum()))
+            bits.append(parity(tokens) if parities else None)
             size += len(got)
         if size > 100_000:
             yield batch()
-            sig, key, n, u, size = [], [], [], [], 0
+            sig, key, n, u, bits, size = [], [], [], [], [], 0
     if size:
         yield batch()
 
@@ -201,15 +212,17 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     def post_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             arrays, names = b.column(1), b.column(0).to_pylist()
-            yield from _post(((names[i], arrays[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in range(len(names))), sharp, percent)
+            yield from _post(((names[i], arrays[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in range(len(names))), sharp, percent, True)
 
-    again = rest.select("key", "tokens").mapInArrow(post_tokens, schema).join(open_keys, "key")
+    bits = [f"p{i}" for i in range(PARITY)]
+    again = rest.select("key", "tokens").mapInArrow(post_tokens, schema + "".join(f", {p} bigint" for p in bits)).join(open_keys, "key")
     again = cut(again)
     tops = again.groupBy("sig").agg(F.min(F.struct("u", "key", "component")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     again = cut(again.join(tops.select("sig", F.col("p.component").alias("main")), "sig"))
-    a = again.where("component <> main").select("sig", *[F.col(c).alias(f"a{c}") for c in ("key", "component", "n", "u")])
-    b = again.select("sig", "main", *[F.col(c).alias(f"b{c}") for c in ("key", "component", "n", "u")])
-    pairs = a.join(b, (a["sig"] == b["sig"]) & (F.col("acomponent") != F.col("bcomponent")) & ((F.col("bcomponent") == F.col("main")) | (F.col("akey") < F.col("bkey"))) & _may_link(percent, "an", "au", "bn", "bu"))
+    a = again.where("component <> main").select("sig", *[F.col(c).alias(f"a{c}") for c in ("key", "component", "n", "u", *bits)])
+    b = again.select("sig", "main", *[F.col(c).alias(f"b{c}") for c in ("key", "component", "n", "u", *bits)])
+    near = F.expr(f"({' + '.join(f'bit_count(a{p} ^ b{p})' for p in bits)}) * {100 + percent} <= {100 - percent} * (an + bn)")
+    pairs = a.join(b, (a["sig"] == b["sig"]) & (F.col("acomponent") != F.col("bcomponent")) & ((F.col("bcomponent") == F.col("main")) | (F.col("akey") < F.col("bkey"))) & _may_link(percent, "an", "au", "bn", "bu") & near)
     pairs = pairs.select(F.least("akey", "bkey").alias("a"), F.greatest("akey", "bkey").alias("b")).distinct()
     return first.unionByName(cut(_verify(pairs, rest, percent)))
 

@@ -238,7 +238,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that have an earlier one in their component; one row stays of repeated ids.
+    """``docs`` without the documents that have an earlier one in their component.  Rows that repeat an id share its fate.
 
     Documents without words stay: they link with nothing."""
     found = join(docs, k, percent).where("n_shingles = 0 or doc_id = component_id or doc_id is null").select("doc_id").distinct()

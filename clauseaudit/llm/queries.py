@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseaudit.llm import byte_bpe, chat, fingerprint, language_id, mixing, ngram_join, ogg, substring_dedup, toxicity
+from clauseaudit.llm import byte_bpe, chat, fingerprint, language_id, language_model, mixing, ngram_join, ogg, substring_dedup, toxicity
 from clauseaudit.llm.common import read_documents
 
 
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_documents(spark, sf_dir))
 
@@ -52,5 +56,5 @@ def op10_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.store(read_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_chat, op4_mixing, op6_language_id, op7_fingerprint, op8_toxicity, op9_substring_dedup, op10_media_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_chat, op4_mixing, op5_lm_score, op6_language_id, op7_fingerprint, op8_toxicity, op9_substring_dedup, op10_media_ogg)}
 ORACLE: dict[str, str] = {"op3_chat": chat.SQL}

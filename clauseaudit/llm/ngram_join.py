@@ -34,6 +34,7 @@ from clauseaudit.llm import sketch
 from clauseaudit.llm.common import chunks, connected_components, cut, mix, shingle_sets, text_bytes
 
 _U = np.uint64
+NULL_ID = (1 << 63) - 1
 
 
 def _needed(n: int, percent: int) -> int:
@@ -186,16 +187,20 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     top = posted.groupBy("sig").agg(F.min(F.struct("u", "key", "n")).alias("p"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
     listed = cut(posted.join(top.select("sig", F.col("p.key").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu")), "sig"))
     stars = listed.where("key <> pivot").where(_may_link(percent, "n", "u", "pn", "pu")).select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    # Sets of all listed entities, from one document of each.
-    wanted = listed.select("key").distinct().join(members.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key")
+    # Sets of all listed entities, from one document of each: a bounded bit sketch of those documents' ids picks them in the scan.  A
+    # few others that it lets through do no harm.
+    wanted = cut(listed.select("key").distinct().join(members.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id")))
+    picked = sketch.build(wanted, lambda batches: (mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) for b in batches), wanted.count(), 1, (0,), 16.0)
 
     def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
-            for i, x in enumerate(shingle_sets(chunk.buf, chunk.off, k)):
-                yield pa.RecordBatch.from_pydict({"key": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest()], pa.binary()), "tokens": pa.array([x.view(np.int64)], pa.list_(pa.int64()))})
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
-    tokens = cut(texts.select("text").mapInArrow(token_rows, "key binary, tokens array<bigint>").dropDuplicates(["key"]))
+        for batch in batches:
+            ids = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            for chunk in chunks([batch.filter(pa.array(picked.above(ids) > 0))]):
+                found = [x for x in shingle_sets(chunk.buf, chunk.off, k) if len(x)]
+                keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "tokens": pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))})
+
+    tokens = cut(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text").mapInArrow(token_rows, "key binary, tokens array<bigint>"))
     first = cut(_verify(stars, tokens, percent))
     found = connected_components(first)
     # Round two: lists whose members are in several components.

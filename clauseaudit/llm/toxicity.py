@@ -58,21 +58,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _blocks(texts: list[str], size: int = 200) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``features`` of texts, some at a time, with rows counted through."""
+    for at in range(0, len(texts), size):
+        raw = [t.encode() for t in texts[at : at + size]]
+        row, col = features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        yield row + at, col
+
+
 def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-6, slack: float = 0.25, sigmas: float = 6.0) -> Model:
     """Adam on the non-negative risk estimator over all rows of both kinds.
 
     The clamp acts where the estimated negative risk falls below -slack * prior, which allows for sampling noise."""
     if not positive or not unlabelled:
         return Model(np.zeros(DIMENSIONS), -30.0 if not positive else 0.0)
-    data = []
-    for texts in (positive, unlabelled):
-        raw = [t.encode() for t in texts]
-        data.append(features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
+    # Two passes in blocks of texts: how often each feature occurs on either side, then the rows' useful features only.
+    share_p, share_u = (sum(np.bincount(col, minlength=DIMENSIONS) for _, col in _blocks(texts)) / len(texts) for texts in (positive, unlabelled))
     # Features that positives have clearly more often than unlabelled texts; others could only be learned by heart.
-    share_p, share_u = (np.bincount(col, minlength=DIMENSIONS) / len(texts) for (_, col), texts in zip(data, (positive, unlabelled)))
     noise = np.sqrt(share_u * (1 - share_u) / len(positive) + share_u / len(unlabelled) + 1e-12)
     useful = (share_p - share_u > sigmas * noise) & (share_p * len(positive) >= max(3, 0.01 * len(positive)))
-    (rp, cp), (ru, cu) = ((row[useful[col]], col[useful[col]]) for row, col in data)
+    kept = [[(row[useful[col]], col[useful[col]]) for row, col in _blocks(texts)] for texts in (positive, unlabelled)]
+    (rp, cp), (ru, cu) = ((np.concatenate([x[0] for x in k]), np.concatenate([x[1] for x in k])) for k in kept)
     used, both = np.unique(np.concatenate([cp, cu]), return_inverse=True)
     cp, cu = both[: len(cp)], both[len(cp) :]
     n, n_p, n_u = len(used), len(positive), len(unlabelled)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +217,14 @@ RULES: dict[str, Callable[[Facts], DataFrame]] = {
 }
 
 
+def shared(f: Facts) -> Facts:
+    """The frames that several rules read, kept for the session (``spark.catalog.clearCache`` frees them; lost blocks are computed again)."""
+    return dataclasses.replace(f, **{n: getattr(f, n).persist(StorageLevel.MEMORY_AND_DISK) for n in ("clauses", "resolved", "near", "products", "cited")})
+
+
 def evaluate(f: Facts, rules: tuple[str, ...]) -> DataFrame:
+    if len(rules) > 1:
+        f = shared(f)
     out = RULES[rules[0]](f)
     for r in rules[1:]:
         out = out.unionByName(RULES[r](f))

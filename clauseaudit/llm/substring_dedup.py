@@ -38,7 +38,7 @@ def _pack(e: np.ndarray, fields: tuple[str, ...]) -> bytes:
     planes = []
     for f in fields:
         x = e[f] if f in "hg" else np.diff(e[f], prepend=e[f].dtype.type(0))
-        planes.append(np.ascontiguousarray(x).view(np.uint8).reshape(len(e), -1).T.tobytes())
+        planes.append(np.ascontiguousarray(x).view(np.uint8).reshape(len(e), _ENTRY[f].itemsize).T.tobytes())
     raw = b"".join(planes)
     return len(e).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 

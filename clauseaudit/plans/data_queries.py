@@ -453,3 +453,29 @@ def sink_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def snapshot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.manifest({t: table(spark, sf_dir, t) for t in ("part", "orders", "events")})
+
+
+# Streaming
+
+
+@query("SELECT doc_id, 'paste_1' AS clause_id, id AS term_id, substr(t, strpos(lower(t), term), length(term)) AS phrase, CAST(strpos(lower(t), term) - 1 AS INT) AS span_start FROM (SELECT doc_id, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS t FROM documents) JOIN (VALUES (1, 'license'), (2, 'copyright')) AS v(id, term) ON contains(lower(t), term)")
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream of files, cut into clauses and scanned for terms batch by batch; the sink's rows."""
+    import tempfile
+    import uuid
+
+    from pyspark.sql.types import StructField, StructType, TimestampType
+
+    from clauseaudit.streaming import intake
+
+    docs = table(spark, sf_dir, "documents")
+    schema = StructType([*docs.select("doc_id", "text").schema.fields, StructField("intake_ts", TimestampType())])
+    terms = spark.sql("SELECT id, term, '' AS explanation FROM VALUES (1, 'license'), (2, 'copyright') AS t(id, term)")
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+
+    def audit(batch: DataFrame) -> DataFrame:
+        x = extract.match_vague_terms(segment.segment_clauses(batch).select("doc_id", "clause_id", "text"), terms)
+        return x.select("doc_id", "clause_id", "term_id", "phrase", "span_start")
+
+    intake.stream_audit(spark, f"{sf_dir}/documents.parque[t]", schema, audit, f"{folder}/out", f"{folder}/check").awaitTermination()
+    return spark.read.schema("doc_id bigint, clause_id string, term_id int, phrase string, span_start int").parquet(f"{folder}/out/batch=*")

@@ -13,7 +13,7 @@ side: 0.  Rows are scored alone, so ties and repeated rows get equal scores; lab
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,30 +58,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _blocks(texts: list[str], size: int = 200) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``features`` of texts, some at a time, with rows counted through."""
-    for at in range(0, len(texts), size):
-        raw = [t.encode() for t in texts[at : at + size]]
-        row, col = features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-        yield row + at, col
+def _blocks(texts: Iterable[str], size: int = 100) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """``features`` of texts, some at a time, with rows counted through, and the number of texts; the texts themselves are not kept."""
+    out, held, n = [], [], 0
 
+    def flush() -> None:
+        row, col = features(np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]))
+        out.append(((row + n - len(held)).astype(np.int32), col.astype(np.int32)))
+        held.clear()
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-6, slack: float = 0.25, sigmas: float = 6.0) -> Model:
+    for t in texts:
+        held.append(t.encode())
+        n += 1
+        if len(held) == size or sum(map(len, held)) > 1 << 20:
+            flush()
+    if held:
+        flush()
+    return out, n
+
+
+def fit(positive: Iterable[str], unlabelled: Iterable[str], prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-6, slack: float = 0.25, sigmas: float = 6.0) -> Model:
     """Adam on the non-negative risk estimator over all rows of both kinds.
 
     The clamp acts where the estimated negative risk falls below -slack * prior, which allows for sampling noise."""
-    if not positive or not unlabelled:
-        return Model(np.zeros(DIMENSIONS), -30.0 if not positive else 0.0)
-    # Two passes in blocks of texts: how often each feature occurs on either side, then the rows' useful features only.
-    share_p, share_u = (sum(np.bincount(col, minlength=DIMENSIONS) for _, col in _blocks(texts)) / len(texts) for texts in (positive, unlabelled))
+    (blocks_p, n_p), (blocks_u, n_u) = _blocks(positive), _blocks(unlabelled)
+    if not n_p or not n_u:
+        return Model(np.zeros(DIMENSIONS), -30.0 if not n_p else 0.0)
     # Features that positives have clearly more often than unlabelled texts; others could only be learned by heart.
-    noise = np.sqrt(share_u * (1 - share_u) / len(positive) + share_u / len(unlabelled) + 1e-12)
-    useful = (share_p - share_u > sigmas * noise) & (share_p * len(positive) >= max(3, 0.01 * len(positive)))
-    kept = [[(row[useful[col]], col[useful[col]]) for row, col in _blocks(texts)] for texts in (positive, unlabelled)]
+    share_p, share_u = (sum(np.bincount(col, minlength=DIMENSIONS) for _, col in blocks) / n for blocks, n in ((blocks_p, n_p), (blocks_u, n_u)))
+    noise = np.sqrt(share_u * (1 - share_u) / n_p + share_u / n_u + 1e-12)
+    useful = (share_p - share_u > sigmas * noise) & (share_p * n_p >= max(3, 0.01 * n_p))
+    kept = [[(row[useful[col]], col[useful[col]]) for row, col in blocks] for blocks in (blocks_p, blocks_u)]
+    del blocks_p, blocks_u
     (rp, cp), (ru, cu) = ((np.concatenate([x[0] for x in k]), np.concatenate([x[1] for x in k])) for k in kept)
     used, both = np.unique(np.concatenate([cp, cu]), return_inverse=True)
     cp, cu = both[: len(cp)], both[len(cp) :]
-    n, n_p, n_u = len(used), len(positive), len(unlabelled)
+    n = len(used)
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     w[-1] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
@@ -110,7 +122,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 1
     return Model(weights, float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 12000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000) -> Model:
     """Fit on the rows of ``docs`` whose crc32(doc_id as text) mod 5 is not 0, a bounded sample of them."""
     by_id = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("crc32(cast(doc_id as string)) % 5 <> 0")
@@ -118,10 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     marked = by_id.where("crc32(cast(doc_id as string)) % 5 <> 0")
     prior = marked.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0)).alias("p")).first()["p"] or 0.0
     ids = marked.where("toxic = 1").orderBy(order, "doc_id").limit(most_positive).select("doc_id")
-    positive = [r["text"] for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(order, "doc_id").limit(most_positive).select("text").toLocalIterator()]
+    positive = (r["text"] for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(order, "doc_id").limit(most_positive).select("text").toLocalIterator())
     # Unlabelled: any training row, the confirmed ones too, so that its mix is the corpus's.
     ids = rows.select("doc_id").orderBy(order, "doc_id").limit(most_unlabelled).distinct()
-    unlabelled = [r["text"] for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(order, "doc_id").limit(most_unlabelled).select("text").toLocalIterator()]
+    unlabelled = (r["text"] for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(order, "doc_id").limit(most_unlabelled).select("text").toLocalIterator())
     return fit(positive, unlabelled, min(max(prior, 1e-4), 0.5))
 
 

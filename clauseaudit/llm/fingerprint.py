@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A paragraph is a line; a line of over 800 characters is cut at sentence ends.  The sketch of a text has
+A paragraph is a line; a line of over 250 characters is cut at sentence ends.  The sketch of a text has
 three tables of m cells; each distinct paragraph's 64-bit digest is put into one cell of each: a
 count, the xor of digests and the xor of check hashes.  Sketches of two versions subtract cell by cell, and peeling cells
 that hold one digest recovers the digests on either side only.  Where peeling fails, both versions are sketched
@@ -25,7 +25,7 @@ _CELL = "struct<p:int,c:int,k:bigint,x:bigint>"
 
 def paragraphs(text: str) -> str:
     """SQL: distinct digests of a text's paragraphs."""
-    pieces = f"flatten(transform(split({text}, '\\n'), l -> if(length(l) > 800, split(l, '(?<=[.!?]) '), array(l))))"
+    pieces = f"flatten(transform(split({text}, '\\n'), l -> if(length(l) > 250, split(l, '(?<=[.!?]) '), array(l))))"
     return f"array_distinct(transform(filter({pieces}, l -> length(l) > 0), l -> xxhash64(l)))"
 
 

@@ -104,7 +104,7 @@ def test_chat(spark):
 
 
 def _paragraphs(t):
-    return {y for l in t.split("\n") for y in (re.split(r"(?<=[.!?]) ", l) if len(l) > 800 else [l]) if y}
+    return {y for l in t.split("\n") for y in (re.split(r"(?<=[.!?]) ", l) if len(l) > 250 else [l]) if y}
 
 
 def _likeness(a, b):

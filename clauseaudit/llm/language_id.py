@@ -26,7 +26,6 @@ from clauseaudit.llm.common import LOWER, chunks
 DIMENSIONS = 1 << 13
 LENGTHS = (1, 2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
-_PIECE = 64 << 10
 
 
 def presence(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -81,14 +80,18 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float =
 
 def train(docs: DataFrame, per_language: int = 400, most_languages: int = 64) -> Model | None:
     """From documents whose crc32(doc_id as text) mod 3 is not 1: text and lang only."""
-    rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1")
+    learnt = "lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1"
+    rows = docs.select("doc_id", "lang").where(learnt)
     known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    texts, langs = [], []
-    for lang in known:  # one bounded top-k for each language
-        got = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(per_language).select("text").collect()
-        texts += [r["text"][:_PIECE] for r in got]
-        langs += [lang] * len(got)
-    return fit(texts, langs)
+    ids: set[int] = set()
+    for lang in known:  # one bounded top-k of ids for each language, over the two narrow columns
+        ids.update(r["doc_id"] for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(per_language).select("doc_id").collect())
+    if not ids:
+        return None
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "doc_id bigint")
+    got = docs.select("doc_id", "lang", "text").where(learnt).where("text is not null").join(F.broadcast(chosen), "doc_id", "left_semi")
+    pairs = sorted((r["doc_id"], r["lang"], r["text"]) for r in got.toLocalIterator())
+    return fit([t for _, _, t in pairs], [lang for _, lang, _ in pairs])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

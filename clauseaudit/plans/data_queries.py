@@ -421,12 +421,15 @@ _RUNS = "SELECT event_type AS candidate, user_id AS clause_id, CASE WHEN user_id
 _R = _RUNS.format(events="events")
 
 
-@query(f"WITH r AS ({_R}), p AS (SELECT candidate, ms, row_number() OVER (PARTITION BY candidate ORDER BY ms) AS k, count(*) OVER (PARTITION BY candidate) AS n FROM r) SELECT a.candidate, round(avg(CAST(valid AS DOUBLE)), 4) AS valid_schema_rate, CAST(sum(invented) AS BIGINT) AS invented, round(sum(matched) / sum(expected), 4) AS recall, round(sum(matched) / sum(produced), 4) AS precision, round(avg(CAST(produced = expected AS DOUBLE)) FILTER (language = 'hi'), 4) AS hindi_accuracy, any_value(b.repeatability) AS repeatability, any_value(c.p50) AS p50, any_value(c.p95) AS p95, sum(invented) > 0 AS rejected FROM r a JOIN (SELECT candidate, round(avg(CAST(d = 1 AS DOUBLE)), 4) AS repeatability FROM (SELECT candidate, clause_id, count(DISTINCT output) AS d FROM r GROUP BY ALL) GROUP BY 1) b USING (candidate) JOIN (SELECT candidate, min(ms) FILTER (k >= floor(n * 0.5) + 1) AS p50, min(ms) FILTER (k >= floor(n * 0.95) + 1) AS p95 FROM p GROUP BY 1) c USING (candidate) GROUP BY 1")
+_SCORES = f"WITH r AS ({_R}), p AS (SELECT candidate, ms, row_number() OVER (PARTITION BY candidate ORDER BY ms) AS k, count(*) OVER (PARTITION BY candidate) AS n FROM r) SELECT a.candidate, round(avg(CAST(valid AS DOUBLE)), 4) AS valid_schema_rate, CAST(sum(invented) AS BIGINT) AS invented, round(sum(matched) / sum(expected), 4) AS recall, round(sum(matched) / sum(produced), 4) AS precision, round(avg(CAST(produced = expected AS DOUBLE)) FILTER (language = 'hi'), 4) AS hindi_accuracy, any_value(b.repeatability) AS repeatability, any_value(c.p50) AS p50, any_value(c.p95) AS p95, sum(invented) > 0 AS rejected FROM r a JOIN (SELECT candidate, round(avg(CAST(d = 1 AS DOUBLE)), 4) AS repeatability FROM (SELECT candidate, clause_id, count(DISTINCT output) AS d FROM r GROUP BY ALL) GROUP BY 1) b USING (candidate) JOIN (SELECT candidate, min(ms) FILTER (k >= floor(n * 0.5) + 1) AS p50, min(ms) FILTER (k >= floor(n * 0.95) + 1) AS p95 FROM p GROUP BY 1) c USING (candidate) GROUP BY 1"
+
+
+@query(_SCORES)
 def extractor_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.extractor_scorecard(bindings.sql(spark, sf_dir, _RUNS))
 
 
-@query()
+@query(f"SELECT candidate, CAST(row_number() OVER w AS INT) AS place, CASE row_number() OVER w WHEN 1 THEN 'primary' WHEN 2 THEN 'fallback' END AS role FROM ({_SCORES}) WHERE NOT rejected WINDOW w AS (ORDER BY recall DESC, hindi_accuracy DESC, repeatability DESC, p50, candidate)")
 def rank_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rank_extractors(evaluate.extractor_scorecard(bindings.sql(spark, sf_dir, _RUNS))).select("candidate", "place", "role")
 

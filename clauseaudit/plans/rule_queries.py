@@ -223,6 +223,24 @@ _FSIDE = "SELECT doc_id, clause_id, part_key AS finding_no, CASE WHEN part_key %
 _FDIFF = f"fa AS ({_FSIDE.format('a')}), fb AS ({_FSIDE.format('b')}), fd AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.clause_id, y.clause_id) AS clause_id, 'R09' AS rule_id, CAST(coalesce(x.s, y.s) AS INT) AS span_start, CAST(coalesce(x.e, y.e) AS INT) AS span_end, CASE WHEN x.doc_id IS NULL THEN 'added' WHEN y.doc_id IS NULL THEN 'resolved' ELSE 'retained' END AS change, coalesce(y.finding_no, x.finding_no) AS finding_no, 'INFO' AS severity FROM fa x FULL JOIN fb y ON x.doc_id = y.doc_id AND x.clause_id = y.clause_id AND x.s = y.s AND x.e = y.e)"
 
 
+def _grams(x: str) -> str:
+    return f"list_distinct(list_transform(range(length({x}) + 2), lambda i: substr('  ' || {x} || '  ', i + 1, 3)))"
+
+
+def _dice(a: str, b: str) -> str:
+    return f"2.0 * len(list_intersect({_grams(a)}, {_grams(b)})) / (len({_grams(a)}) + len({_grams(b)}))"
+
+
+#: Names are two words and no product's own name or synonym, so every candidate is fuzzy.
+_MAP_PRODUCT = f"""
+WITH prod AS ({bindings.PRODUCTS}), n AS (SELECT DISTINCT p_name AS mention FROM part), x AS (SELECT mention, id, canonical_name, canonical_name || 's' AS syn FROM n, prod),
+y AS (SELECT mention, id, canonical_name, round_even(greatest({_dice('mention', 'canonical_name')}, {_dice('mention', 'syn')}, CASE WHEN list_contains(string_split(mention, ' '), syn) THEN 0.5 ELSE 0 END), 3) AS score FROM x),
+z AS (SELECT mention, arg_min(id, (-score, id)) AS id, arg_min(canonical_name, (-score, id)) AS name, max(score) AS score, count(*) AS n FROM y WHERE score >= 0.4 GROUP BY 1)
+SELECT mention, CASE WHEN score >= 0.75 THEN id END AS product_id, CASE WHEN score >= 0.75 THEN name END AS canonical_name, CAST(coalesce(score, 0) AS DOUBLE) AS confidence, CASE WHEN score >= 0.75 THEN 'FUZZY' ELSE 'UNMAPPED' END AS method,
+ NOT coalesce(score >= 0.75, false) AS is_unmapped, coalesce(z.n, 0) AS n_candidates FROM n LEFT JOIN z USING (mention)
+"""
+
+
 def oracle() -> dict[str, str]:
     own, many = _branches("l_orderkey"), _branches(MANY)
     out = {q: (many if q.startswith("rule_r11") else own)[q[5:8].upper()] for q in QUERIES if q.startswith("rule_r")}
@@ -233,6 +251,7 @@ def oracle() -> dict[str, str]:
         "resolve_standard_strict": f"{v} SELECT c.doc_id, c.clause_id, c.is_number, c.is_number AS base_number, s.id AS standard_id, s.is_number AS resolved_number FROM cite c LEFT JOIN std s ON s.is_number = c.is_number",
         "suggest_near": f"{v} SELECT n.is_number, s.is_number AS candidate, min(s.id) AS catalogue_id FROM (SELECT DISTINCT is_number FROM res WHERE sid IS NULL) n JOIN std s ON levenshtein(n.is_number, s.is_number) = 1 OR levenshtein(n.is_number, regexp_replace(s.is_number, ' \\(Part \\d+\\)', '')) = 1 GROUP BY ALL",
         "match_vague_terms": f"{v} SELECT doc_id, clause_id, id AS term_id, substr(text, strpos(lower(text), lower(term)), length(term)) AS phrase, CAST(strpos(lower(text), lower(term)) - 1 AS INT) AS span_start, CAST(strpos(lower(text), lower(term)) - 1 + length(term) AS INT) AS span_end FROM cl JOIN vague ON contains(lower(text), lower(term))",
+        "map_product": _MAP_PRODUCT,
         "resolve_product": f"{v} SELECT p_partkey, {bindings.NOUN} AS text, coalesce(k.id, p.id) AS product_id, coalesce(k.family, p.family) AS family FROM part LEFT JOIN prod k ON p_partkey % 4 = 0 AND k.canonical_name = 'ring' LEFT JOIN prod p ON p.canonical_name = {bindings.NOUN}",
         "used_rows": f"{v} SELECT * FROM {_USED}",
         "evaluate_documents": _all(MANY), "evaluate_clauses": _all("l_orderkey", ("R11",)).replace("x.doc_id = r.doc_id AND x.is_number IN", "x.doc_id = r.doc_id AND x.clause_id = r.clause_id AND x.is_number IN"),

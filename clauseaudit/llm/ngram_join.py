@@ -159,6 +159,23 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return x.where(F.expr(f"100 * both >= {percent} * (na + nb - both)")).select("a", "b")
 
 
+def _key_hashes(keys: pa.Array) -> np.ndarray:
+    """Half of each 16-byte key."""
+    return np.frombuffer(b"".join(keys.to_pylist()), np.uint64)[::2]
+
+
+def _pick(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (key, tokens) of the given distinct keys and a few others: a bounded bit sketch of the keys filters in the scan, so sets are not shuffled."""
+    held = sketch.build(keys.select("key"), lambda batches: (_key_hashes(b.column(0)) for b in batches), keys.count(), 1, (0,), 16.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(held.above(_key_hashes(b.column(0))) > 0))
+
+    return rows.select("key", "tokens").mapInArrow(run, "key binary, tokens array<bigint>")
+
+
 def _array_items(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for b in batches:
         yield b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -207,8 +224,8 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     placed = listed.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     placed = cut(placed.select("sig", "key", "component"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    open_keys = placed.join(mixed, "sig", "left_semi").select("key", "component").distinct()
-    rest = cut(tokens.join(open_keys, "key"))
+    open_keys = cut(placed.join(mixed, "sig", "left_semi").select("key", "component").distinct())
+    rest = cut(_pick(tokens, open_keys))
     n_tokens = rest.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
     if not n_tokens:
         return first
@@ -229,7 +246,9 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     near = F.expr(f"({' + '.join(f'bit_count(a{p} ^ b{p})' for p in bits)}) * {100 + percent} <= {100 - percent} * (an + bn)")
     pairs = a.join(b, (a["sig"] == b["sig"]) & (F.col("acomponent") != F.col("bcomponent")) & ((F.col("bcomponent") == F.col("main")) | (F.col("akey") < F.col("bkey"))) & _may_link(percent, "an", "au", "bn", "bu") & near)
     pairs = pairs.select(F.least("akey", "bkey").alias("a"), F.greatest("akey", "bkey").alias("b")).distinct()
-    return first.unionByName(cut(_verify(pairs, rest, percent)))
+    pairs = cut(pairs)
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    return first.unionByName(cut(_verify(pairs, _pick(rest, ends), percent)))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

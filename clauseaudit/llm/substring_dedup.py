@@ -6,8 +6,9 @@ words: each task sends one row of packed arrays a shard, with only the first occ
 known to be repeats), so a passage in a third of all documents is at most one entry of each task.  The
 occurrences that are not first meet their documents by shard of documents and mark the covered words.
 
-Order is by doc_id (null last), then by the text's hash, then by position; equal rows with equal ids are
-told apart by their copy number, so one of them stays whole.  Null and empty texts have no words.  A text with
+Order is by doc_id (null last), then by the text's 64-bit hash, then by position.  Rows with equal ids and equal texts share
+their occurrences; where they meet they are told apart by a copy number (in order of their other columns): the
+first is treated as if it were alone, the others lose all words if they have a window.  Null and empty texts have no words.  A text with
 fewer words than a window keeps all of them.  An empty table gives no rows.  Extra columns of the input are kept by ``clean``.
 """
 
@@ -29,7 +30,7 @@ WINDOW = 20
 _F2 = np.uint64(0xA0761D6478BD642F)
 NULL_ID = (1 << 63) - 1
 #: An occurrence: its window's hashes, and where it is. Packed arrays hold one plane of bytes after another.
-_ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("rank", "<i8"), ("tie", "<u2"), ("pos", "<u4")])
+_ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("rank", "<i8"), ("tie", "<i8"), ("pos", "<u4")])
 
 
 def _pack(e: np.ndarray, fields: tuple[str, ...]) -> bytes:
@@ -105,7 +106,7 @@ def repeats(keyed: DataFrame, shards: int, total: int, size: int = WINDOW) -> Da
     def send(e: np.ndarray) -> Iterator[pa.RecordBatch]:
         e, first = _firsts(e)
         yield from _to_shards("first", e[first], (e["h"][first] % np.uint64(shards)).astype(np.int64), ALL)
-        yield from _to_shards("repeat", e[~first], e["rank"][~first] % shards, PLACE)
+        yield from _to_shards("repeat", e[~first], _home(e[~first], shards), PLACE)
 
     def resolve(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
         """Of the tasks' first occurrences of a window, all but the very first are repeats; known repeats pass."""
@@ -115,16 +116,24 @@ def repeats(keyed: DataFrame, shards: int, total: int, size: int = WINDOW) -> Da
             e, first = _firsts(np.concatenate(e))
             out.append(e[~first])
         e = np.concatenate(out)
-        rows = [x for b in _to_shards("", e, e["rank"] % shards, PLACE) for x in b.to_pylist()]
+        rows = [x for b in _to_shards("", e, _home(e, shards), PLACE) for x in b.to_pylist()]
         return pd.DataFrame({"shard": pd.Series([x["shard"] for x in rows], dtype="int64"), "data": pd.Series([x["data"] for x in rows], dtype="object")})
 
     sent = keyed.select("doc_id", "text", "tie").mapInArrow(candidates, "shard bigint, kind string, data binary")
     return sent.groupBy("shard").applyInPandas(resolve, "shard bigint, data binary")
 
 
+def _home(e: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of the entries' documents: by id and text, so that rows without an id or with one id are spread."""
+    return (e["rank"] ^ e["tie"]) % shards
+
+
 def _firsts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries in order, and which of them are the first of their words."""
+    """Distinct entries in order (equal rows send equal ones), and which of them are the first of their words."""
     e = e[np.lexsort((e["pos"], e["tie"], e["rank"], e["g"], e["h"]))]
+    new = np.ones(len(e), bool)
+    new[1:] = np.any([e[f][1:] != e[f][:-1] for f in ALL], axis=0)
+    e = e[new]
     first = np.ones(len(e), bool)
     first[1:] = (e["h"][1:] != e["h"][:-1]) | (e["g"][1:] != e["g"][:-1])
     return e, first
@@ -140,14 +149,23 @@ def _to_shards(kind: str, e: np.ndarray, shard: np.ndarray, fields: tuple[str, .
     yield pa.RecordBatch.from_pydict({"shard": pa.array(keys, pa.int64()), "kind": pa.array([kind] * len(keys)), "data": pa.array(data, pa.binary())})
 
 
+def _later_copies(keys: list[tuple[int, int]], rows: pa.ChunkedArray) -> set[int]:
+    """Places of the rows whose id and text an earlier row has too, in order of the other columns."""
+    at: dict[tuple[int, int], list[int]] = {}
+    for i, key in enumerate(keys):
+        at.setdefault(key, []).append(i)
+    return {i for same in at.values() if len(same) > 1 for i in sorted(same, key=lambda i: repr(rows[i].as_py()))[1:]}
+
+
 def remove(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` with _n_words, _n_removed and _kept (the kept words joined by single spaces), one row for each row."""
     total = text_bytes(docs)
     shards = _prime(max(64, total // (8 << 20)))
     id_long = F.col("doc_id").cast("long")
+    tie = F.xxhash64("text")
     keyed = docs.select(
-        id_long.alias("doc_id"), "text", F.shiftrightunsigned(F.xxhash64("text"), 48).alias("tie"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
-        F.pmod(F.coalesce(id_long, F.lit(NULL_ID)), F.lit(shards)).alias("shard"),
+        id_long.alias("doc_id"), "text", tie.alias("tie"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
+        F.pmod(F.coalesce(id_long, F.lit(NULL_ID)).bitwiseXOR(tie), F.lit(shards)).alias("shard"),
     )
     marks = repeats(keyed, shards, total, size)
 
@@ -160,12 +178,17 @@ def remove(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             at = np.flatnonzero(np.append(True, (e["rank"][1:] != e["rank"][:-1]) | (e["tie"][1:] != e["tie"][:-1])))
             for a, b in zip(at, np.append(at[1:], len(e))):
                 places[int(e["rank"][a]), int(e["tie"][a])] = e["pos"][a:b].astype(np.int64)
+        keys = [(NULL_ID if rank is None else rank, tie) for rank, tie in zip(rows.column("doc_id").to_pylist(), rows.column("tie").to_pylist())]
+        later = _later_copies(keys, rows.column("row"))
         n_words, n_removed, kept = [], [], []
-        for text, rank, tie in zip(rows.column("text").to_pylist(), rows.column("doc_id").to_pylist(), rows.column("tie").to_pylist()):
+        for i, (text, key) in enumerate(zip(rows.column("text").to_pylist(), keys)):
             own = (text or "").encode().split()
             n_words.append(len(own))
-            pos = places.get((NULL_ID if rank is None else rank, tie))
-            if pos is not None:
+            pos = places.get(key)
+            if i in later and len(own) >= size:
+                n_removed.append(len(own))
+                own = []
+            elif pos is not None:
                 edge = np.zeros(len(own) + 1, np.int64)
                 np.add.at(edge, pos, 1)
                 np.subtract.at(edge, pos + size, 1)

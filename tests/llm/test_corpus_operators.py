@@ -130,6 +130,23 @@ def test_substring_dedup(spark, small, odd, none):
     assert substring_dedup.clean(none).count() == 0
 
 
+def test_substring_dedup_copies(spark):
+    """Of rows with one id and one text the first stays whole; rows without an id are told apart and spread."""
+    rng = random.Random(9)
+    texts = [" ".join(f"n{rng.randrange(40)}" for _ in range(rng.randrange(15, 80))) for _ in range(60)]
+    shared = " ".join(f"s{i}" for i in range(25))
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[2]), (3, texts[2]), (3, texts[2]), (4, "few words"), (4, "few words")]
+    rows += [(None, f"{t} {shared}") for t in texts[3:]] + [(None, texts[4])] * 2 + [(None, texts[2])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, k int").repartition(4)
+    order = sorted(docs.select("doc_id", "text", F.xxhash64("text")).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    got = substring_dedup.remove(docs)
+    assert Counter((r.doc_id, r._n_words, r._n_removed, hashlib.sha256(r._kept.encode()).hexdigest()) for r in got.collect()) == dedup([r[:2] for r in order], 20)
+    assert Counter(r.doc_id for r in substring_dedup.clean(docs).collect() if r.text in (texts[0], texts[2])) == Counter([1, 3])
+    null = docs.where("doc_id is null").select("text")
+    shards = {(substring_dedup.NULL_ID ^ r[0]) % 67 for r in null.select(F.xxhash64("text")).collect()}
+    assert len(shards) > 20
+
+
 def test_mixing(spark, small, odd, none):
     for docs in (small, odd, odd.where("doc_id in (4, 5)")):
         got = mixing.mix(docs).select("doc_id", "source", F.xxhash64("text").alias("h"), "size", "source_size", "target", "taken").collect()

@@ -56,7 +56,7 @@ NOUN = "split_part(p_name, ' ', 2)"
 MAPS = f"""
 SELECT CAST(p_partkey AS INT) AS id, CASE WHEN p_partkey % 6 = 0 THEN d.id % 7 + 1 ELSE d.id END AS product_id, CAST(p_partkey AS INT) AS standard_id, concat('https://map.example/', CAST(p_partkey AS STRING)) AS source_url,
  CASE WHEN p_partkey % 2 = 0 THEN DATE '2025-01-01' + CAST(p_partkey % 400 AS INT) END AS verified_on, p_partkey % 31 = 0 AS is_conflict
-FROM {{part}} JOIN ({PRODUCTS}) d ON d.canonical_name = {NOUN} WHERE p_partkey % 3 = 0 AND p_partkey <= 600
+FROM {{part}} JOIN ({PRODUCTS}) d ON d.canonical_name = {NOUN} WHERE p_partkey % 3 = 0
 """
 CERTIFICATION = """
 SELECT CAST(id AS INT) AS id, CAST(product_id AS INT) AS product_id, CAST(std AS INT) AS specified_standard_id, 'CRS' AS scheme, concat('Order ', CAST(id AS STRING)) AS instrument,

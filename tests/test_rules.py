@@ -93,3 +93,12 @@ def test_clause_scope_does_not_see_other_clauses(spark):
 
 def test_empty_corpus(spark):
     assert rules.evaluate_documents(facts(spark, {"x": ([("", None)], set())})).count() == 0
+
+
+def test_product_map_covers_all_parts(spark):
+    """The derived map has every third part, whatever its key; counted without the view."""
+    from clauseaudit.sources import bindings
+
+    sf = "/root/testdata/sf0.01"
+    want = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name").collect() if r.p_partkey % 3 == 0 and r.p_name.split(" ")[1] in ("ring", "bolt", "gear", "gizmo", "plate", "rod", "widget")}
+    assert max(want) > 600 and {r.standard_id for r in bindings.reference(spark, sf).maps.select("standard_id").collect()} == want

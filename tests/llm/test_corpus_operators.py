@@ -195,6 +195,21 @@ def test_language_model(spark, small, odd, none):
     assert language_model.score(none).count() == 0
 
 
+def test_language_model_collects_heavy_words_only(spark, small, monkeypatch):
+    """Entries that the driver unpacks are those of words above 1 / HEAVY of all tokens."""
+    seen, unpack = [], language_model._columns
+
+    def spy(data, *kinds):
+        out = unpack(data, *kinds)
+        seen.append(out)
+        return out
+
+    monkeypatch.setattr(language_model, "_columns", spy)
+    tokens = language_model.score(small).first().train_tokens
+    counts = np.concatenate([c[2] for c in seen])
+    assert len(counts) and (counts * language_model.HEAVY > tokens).all()
+
+
 def test_language_model_sums_to_one():
     rng = np.random.default_rng(0)
     code = np.unique((rng.integers(1, 200, 3000).astype(np.uint64) << np.uint64(8)) | rng.integers(0, 4, 3000).astype(np.uint64))

@@ -1,12 +1,11 @@
 """Language identification by a string kernel.
 
 Two texts are compared by the byte n-grams (1 to 4 bytes, letters lower-cased) that both have: a blended-spectrum
-presence kernel, normalised to 1 for equal sets.  Nystroem landmarks turn the kernel into coordinates, K(x, landmarks) times
+presence kernel over the exact n-grams of the landmarks (others are not counted), normalised to 1 for equal sets.  Nystroem landmarks turn the kernel into coordinates, K(x, landmarks) times
 the inverse square root of the landmarks' own kernel, and one-versus-rest kernel ridge regression is solved
-in those coordinates.  Scoring is two matrix products for a batch of texts.
+in those coordinates.  Both are linear in a text's n-grams, so scoring sums a weight of each n-gram.
 
-Landmarks and training rows are a bounded sample of rows with a language: at most ``per_language`` of each of at most
-``most_languages`` languages, those with the smallest hashes of their ids.  Every whole text is scored.  A null text
+Landmarks and training rows are a bounded sample of rows with a language: at most ``per_language`` of each language, those with the smallest hashes of their ids.  Every whole text is scored.  A null text
 or one without a letter is ``und`` with score 0; so is every text if there is nothing to learn from.  Ties between languages go to
 the first by name.  Rows are scored alone; repeated rows agree and other columns are ignored.
 """
@@ -23,41 +22,70 @@ from pyspark.sql import functions as F
 
 from clauseaudit.llm.common import LOWER, chunks
 
-DIMENSIONS = 1 << 13
 LENGTHS = (1, 2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
-
-
-def presence(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows of 0 and 1: which hashed n-grams a text has."""
-    n = len(off) - 1
-    out = np.zeros(n * DIMENSIONS, bool)
-    low = LOWER[buf].astype(np.uint32)
-    row = np.repeat(np.arange(n, dtype=np.int64) * DIMENSIONS, np.diff(off))
-    code = np.zeros(len(low), np.uint32)
-    for k in LENGTHS:
-        if len(low) < k:
-            break
-        code = (code[: len(low) - k + 1] << np.uint32(8)) | low[k - 1 :] if k > 1 else low
-        h = (code * np.uint32(0x9E3779B1) + np.uint32(k * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(19)
-        last = len(low) - k + 1
-        inside = row[:last] == row[k - 1 :]
-        out[(row[:last] + h)[inside]] = True
-    return out.reshape(n, DIMENSIONS).astype(np.float32)
+_FLAGS = 32 << 20
+
+
+class Grams:
+    """The n-grams of some texts as a trie of bytes: node 0 is none, node 1 the root, each node from 2 on an n-gram."""
+
+    def __init__(self, texts: list[bytes]):
+        buf, off = _joined(texts)
+        node, start, rows = np.ones(len(buf), np.int64), np.arange(len(buf)), [np.zeros((2, 256), np.int32)]
+        row = np.repeat(np.arange(len(texts)), np.diff(off))
+        low, self.size, first = LOWER[buf].astype(np.int64), 2, 1
+        for k in LENGTHS:
+            last = max(0, len(low) - k + 1)
+            inside = row[start[:last]] == row[start[:last] + k - 1]
+            code = node[:last] * 256 + low[start[:last] + k - 1]
+            found, at = np.unique(code[inside], return_inverse=True)
+            table = rows[-1]
+            table[found // 256 - first if k > 1 else 1, found % 256] = self.size + np.arange(len(found), dtype=np.int32)
+            node = np.zeros(last, np.int64)
+            node[inside] = self.size + at
+            first, self.size = self.size, self.size + len(found)
+            if k < LENGTHS[-1]:
+                rows.append(np.zeros((len(found), 256), np.int32))
+        self.child = np.concatenate(rows)
+        self.child[0] = 0
+
+    def found(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and node of each distinct n-gram that a text has, in order of rows."""
+        n = len(off) - 1
+        flags = np.zeros(n * self.size, bool)
+        low = LOWER[buf].astype(np.int64)
+        row = np.repeat(np.arange(n, dtype=np.int64) * self.size, np.diff(off))
+        node = np.ones(len(low), np.int64)
+        for k in LENGTHS:
+            last = len(low) - k + 1
+            if last <= 0:
+                break
+            node = self.child[node[:last], low[k - 1 :]].astype(np.int64)
+            node[row[:last] != row[k - 1 :]] = 0
+            flags[row[:last] + node] = True
+        at = np.flatnonzero(flags)
+        row, node = at // self.size, at % self.size
+        return row[node > 1], node[node > 1]
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
 
 
 class Model:
-    """Landmarks' presence rows (dimensions by landmarks), their sizes, coefficients (landmarks by languages) and names."""
-
-    def __init__(self, landmarks: np.ndarray, sizes: np.ndarray, coefficients: np.ndarray, names: list[str]):
-        self.landmarks, self.sizes, self.coefficients, self.names = landmarks, sizes, coefficients, names
+    """The landmarks' n-grams, a weight of each for each language, and the languages' names."""
 
-    def kernel(self, x: np.ndarray) -> np.ndarray:
-        size = np.maximum(x.sum(1, keepdims=True), 1)
-        return (x @ self.landmarks) / np.sqrt(size * self.sizes)
+    def __init__(self, grams: Grams, weights: np.ndarray, names: list[str]):
+        self.grams, self.weights, self.names = grams, weights, names
 
-    def decide(self, x: np.ndarray) -> np.ndarray:
-        return self.kernel(x) @ self.coefficients
+    def decide(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The kernel with the landmarks times the coefficients: a sum of weights over a text's n-grams, normalised."""
+        n = len(off) - 1
+        row, node = self.grams.found(buf, off)
+        size = np.maximum(np.bincount(row, minlength=n), 1)
+        sums = [np.bincount(row, self.weights[node, j], n) for j in range(len(self.names))]
+        return np.stack(sums, 1) / np.sqrt(size)[:, None]
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float = 1e-3, seed: int = 5) -> Model | None:
@@ -65,24 +93,29 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float =
     if not names:
         return None
     raw = [t.encode() for t in texts]
-    x = np.concatenate([presence(np.frombuffer(b, np.uint8), np.array([0, len(b)])) for b in raw])
-    chosen = np.random.default_rng(seed).permutation(len(x))[:landmarks]
-    model = Model(np.ascontiguousarray(x[chosen].T), np.maximum(x[chosen].sum(1), 1), np.zeros((len(chosen), len(names)), np.float32), names)
-    own = model.kernel(x[chosen]).astype(np.float64)
-    values, vectors = np.linalg.eigh(own)
+    chosen = np.random.default_rng(seed).permutation(len(raw))[: max(landmarks, 4 * len(names))]
+    grams = Grams([raw[i] for i in chosen])
+    own = [grams.found(*_joined([b]))[1] for b in raw]
+    has = np.zeros((grams.size, len(chosen)), np.uint8)
+    for j, i in enumerate(chosen):
+        has[own[i], j] = 1
+    sizes = np.array([max(1, len(x)) for x in own], np.float64)
+    kernel = np.stack([has[x].sum(0, dtype=np.int64) for x in own]) / np.sqrt(sizes[:, None] * sizes[chosen])
+    values, vectors = np.linalg.eigh(kernel[chosen])
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-    z = model.kernel(x).astype(np.float64) @ root
+    z = kernel @ root
     y = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
-    solved = np.linalg.solve(z.T @ z + ridge * len(x) * np.eye(z.shape[1]), z.T @ y)
-    model.coefficients = (root @ solved).astype(np.float32)
-    return model
+    solved = np.linalg.solve(z.T @ z + ridge * len(raw) * np.eye(z.shape[1]), z.T @ y)
+    coefficients = (root @ solved) / np.sqrt(sizes[chosen])[:, None]
+    weights = np.concatenate([has[i : i + 65536] @ coefficients for i in range(0, grams.size, 65536)])
+    return Model(grams, weights, names)
 
 
-def train(docs: DataFrame, per_language: int = 400, most_languages: int = 64) -> Model | None:
+def train(docs: DataFrame, per_language: int = 400) -> Model | None:
     """From documents whose crc32(doc_id as text) mod 3 is not 1: text and lang only."""
     learnt = "lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1"
     rows = docs.select("doc_id", "lang").where(learnt)
-    known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    known = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
     ids: set[int] = set()
     for lang in known:  # one bounded top-k of ids for each language, over the two narrow columns
         ids.update(r["doc_id"] for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(per_language).select("doc_id").collect())
@@ -104,7 +137,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score = ["und"] * len(chunk), np.zeros(len(chunk))
             lettered = np.array([_LETTER.search(chunk.text(i).decode()) is not None for i in range(len(chunk))])
             if model is not None and lettered.any():
-                d = np.concatenate([model.decide(presence(chunk.buf[chunk.off[a] : chunk.off[b]], chunk.off[a : b + 1] - chunk.off[a])) for a, b in _blocks(len(chunk))])
+                d = np.concatenate([model.decide(chunk.buf[chunk.off[a] : chunk.off[b]], chunk.off[a : b + 1] - chunk.off[a]) for a, b in _blocks(len(chunk), max(1, _FLAGS // model.grams.size))])
                 best = d.argmax(1)
                 e = np.exp(4 * (d - d.max(1, keepdims=True)))
                 score = np.where(lettered, (e / e.sum(1, keepdims=True)).max(1), 0.0)
@@ -115,7 +148,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return x.select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def _blocks(n: int, size: int = 256) -> list[tuple[int, int]]:
+def _blocks(n: int, size: int) -> list[tuple[int, int]]:
     return [(i, min(n, i + size)) for i in range(0, n, size)]
 
 

@@ -439,11 +439,11 @@ def rank_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sink_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of documents as JSON, R09 findings only."""
+    """Reports of documents as JSON, findings of all rules."""
     from clauseaudit.operators import rules
 
     f = bindings.facts(spark, sf_dir)
-    return io.banner_check(io.json_report(f.clauses, rules.r09_vague_wording(f)))
+    return io.banner_check(io.json_report(f.clauses, rules.evaluate_documents(f)))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds FROM events")

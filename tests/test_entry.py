@@ -43,3 +43,15 @@ def test_query_and_sql(spark, db, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_json_reports_have_findings_of_all_rules(spark, db):
+    """Findings in the reports, counted by rule, against the SQL of the rules."""
+    import json
+    from collections import Counter
+
+    reports = [json.loads(r.report) for r in __spark_entry__.queries()["sink_json_report"](spark, SF).collect()]
+    got = Counter(f["rule_id"] for r in reports for f in r["findings"])
+    sql = __spark_entry__.oracle_sql()
+    for rule, name in (("R01", "rule_r01_unknown_citation"), ("R02", "rule_r02_withdrawn"), ("R07", "rule_r07_no_standard_cited"), ("R09", "rule_r09_vague_wording"), ("R13", "rule_r13_wrong_family"), ("R14", "rule_r14_stale_row")):
+        assert got[rule] == db.sql(f"select count(*) from ({sql[name]})").fetchall()[0][0] > 0

@@ -158,23 +158,41 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where it names none (tests), a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The shared folder that the cluster names.  Only a local master, which has one machine, may name none: it gets a folder of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+class Scratch:
+    """Tables that cut the lineage: written to the shared folder and read back; ``free`` deletes those no longer read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/cut-{uuid.uuid4().hex}"
+        schema = df.schema
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        """Delete the given tables, or all.  Whatever was made of them must have been written."""
+        for out, path in [x for x in self.held if not tables or any(x[0] is t for t in tables)]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            self.held = [x for x in self.held if x[0] is not out]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return Scratch(df.sparkSession).cut(df)
 
 
 def power_of_two(x: float, least: int, most: int) -> int:
@@ -201,7 +219,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    state = cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    scratch = Scratch(edges.sparkSession)
+    state = scratch.cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     mark = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
     if not mark["n"]:
         return state.select(F.col("v").alias("node"), F.col("u").alias("component"))
@@ -211,7 +230,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
-        state = cut(small)
+        before, state = state, scratch.cut(small)
+        scratch.free(before)
         now = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
         if now == mark:
             break

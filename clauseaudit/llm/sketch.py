@@ -1,14 +1,16 @@
 """Count-min sketches of hashed items, merged from partition sketches.
 
-Row 0 of a sketch has a plane for each threshold; further rows only test the first threshold.  A task collects the cells of its items, sorted and coded as byte-sized differences, one row for each part of the
-sketch.  Parts merge by key with numpy sums; what leaves a part are bit planes: for each threshold,
-whether a cell's count exceeds it.  The planes are broadcast.  Their size is depth * planes * cells / 8 bytes, cells being
-a power of two sized from the input between ``least`` and ``most`` (2^30 cells: 128 MB a plane), so the broadcast
-is bounded; a fuller sketch only estimates higher.
+Row 0 of a sketch has a plane for each threshold; further rows only test the first threshold.  A task collects the cells
+of its items, sorted and coded as byte-sized differences, one row for each part of the sketch.  Parts merge by key
+with numpy sums; what leaves a part are bit planes: for each threshold, whether a cell's count exceeds it.  The
+planes are broadcast: depth * planes * cells / 8 bytes, cells being a power of two sized from the input up to ``most``.
+So the broadcast is bounded.  What a sketch of ``most`` cells cannot tell apart any more is counted slice by slice (``slices``):
+each slice of the hash space has a sketch of its own, at the same load at every size of input, which is freed before the next.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +23,7 @@ from clauseaudit.llm.common import Chunk, chunks, mix, power_of_two
 
 PART = 1 << 20  # cells of a part
 FLUSH = 4 << 20  # items
+MOST = 1 << 29  # cells: 64 MB a plane
 
 
 def pack(cells: np.ndarray) -> bytes:
@@ -56,13 +59,27 @@ class Sketch:
                 out = out + got if row == 0 else out * got
         return out
 
+    def free(self) -> None:
+        """Give the planes back, in the driver and the executors.  What was made with them must have been written."""
+        self.planes.destroy()
+
+
+def slices(expected: float, cells_per_item: float, most: int = MOST) -> int:
+    """Into how many slices of the hash space ``expected`` items go, so that each has its cells."""
+    return max(1, math.ceil(expected * cells_per_item / most))
+
+
+def slice_of(items: np.ndarray, n: int) -> np.ndarray:
+    """Slice of each item (independent of its cells)."""
+    return (mix(items ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n)).astype(np.int64)
+
 
 def of_chunks(items: Callable[[Chunk], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]:
     """Items of texts, chunk by chunk."""
     return lambda batches: map(items, chunks(batches))
 
 
-def build(docs: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: float, depth: int, thresholds: tuple[int, ...], cells_per_item: float, least: int = 1 << 20, most: int = 1 << 30) -> Sketch:
+def build(docs: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: float, depth: int, thresholds: tuple[int, ...], cells_per_item: float, least: int = 1 << 20, most: int = MOST) -> Sketch:
     """Count ``items`` (arrays of hashes from a task's batches) over all of ``docs``; about ``expected`` are there."""
     cells = power_of_two(expected * cells_per_item, least, most)
     parts = cells // PART

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clauseaudit.llm import language_id, language_model, mixing, ngram_join, sketch, substring_dedup, toxicity
-from clauseaudit.llm.common import connected_components
+from clauseaudit.llm.common import connected_components, mix
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -64,8 +64,12 @@ def test_signatures_lose_no_link():
         both = len(np.intersect1d(x, y))
         if 100 * both < percent * (len(x) + len(y) - both) or len(x) == both == len(y):
             continue
-        kind = lambda t: np.where(np.isin(t, np.intersect1d(x, y)), 1 + (t % np.uint64(3 if trial % 2 else 1)).astype(int), (t % np.uint64(2)).astype(int))
-        assert len(np.intersect1d(ngram_join.signatures(x, kind(x), percent), ngram_join.signatures(y, kind(y), percent)))
+        kind = lambda t: (mix(t) % np.uint64(3) if trial % 3 else mix(t) % np.uint64(2) + np.uint64(1) if trial % 2 else t * np.uint64(0) + np.uint64(2)).astype(int)
+        (a, more_a), (b, more_b) = ngram_join.signatures(x, kind(x), percent), ngram_join.signatures(y, kind(y), percent)
+        assert len(np.intersect1d(a, b))
+        given = len(np.intersect1d(np.append(a, more_a), np.append(b, more_b)))
+        for z in (x, y):
+            assert given >= ngram_join.least_repeated(len(z), int((kind(z) == 0).sum()), percent)
 
 
 def test_parity_bounds_the_difference():
@@ -75,6 +79,11 @@ def test_parity_bounds_the_difference():
         x, y = np.unique(x), np.unique(y)
         bits = sum(int(v).bit_count() for v in (ngram_join.parity(x) ^ ngram_join.parity(y)).view(np.uint64))
         assert bits <= len(np.setxor1d(x, y))
+    for _ in range(50):
+        x = np.unique(rng.integers(0, 1 << 60, int(rng.integers(1500, 5000))).astype(np.uint64))
+        y = np.unique(np.append(x[int(rng.integers(0, 400)) :], rng.integers(0, 1 << 60, int(rng.integers(0, 900))).astype(np.uint64)))
+        apart = ngram_join.bits_apart(ngram_join.long_parity(x), ngram_join.long_parity(y))
+        assert apart <= len(np.setxor1d(x, y)) and (apart > 0) == (len(np.setxor1d(x, y)) > 0)
 
 
 def test_components(spark):

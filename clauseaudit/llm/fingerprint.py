@@ -1,11 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A paragraph is a line; a line of over 250 characters is cut at sentence ends.  The sketch of a text has
-three tables of m cells; each distinct paragraph's 64-bit digest is put into one cell of each: a
-count, the xor of digests and the xor of check hashes.  Sketches of two versions subtract cell by cell, and peeling cells
-that hold one digest recovers the digests on either side only.  Where peeling fails, both versions are sketched
-again with larger tables, sized by the number of paragraphs and doubled on every failure.  Likeness is
-common / all distinct paragraphs, from the recovered digests and the counts.
+A paragraph is a line; a line of over 120 characters is cut at sentence ends, and what is still longer into pieces of 40 to 120
+characters that end where the text itself says (certain letters before a space), so that texts of one line have several.  The
+fingerprint of a text has three tables of ``BASE`` cells; each distinct paragraph's 64-bit digest is put into one cell of each: a
+count, the xor of digests and the xor of check hashes.  Fingerprints of two versions subtract cell by cell, and peeling cells
+that hold one digest recovers the digests on either side only.  Where peeling fails, both versions are sketched again, larger: in as many
+sketches as the paragraphs need, each for the digests of one residue, so that each stays small however long the text; one that
+fails is made again with twice the cells until it peels (at most five times; then its few digests are compared themselves).
+Likeness is common / all distinct paragraphs, from the recovered digests and the counts.
 
 Sketches are kept sparse (only cells in use).  Null and empty texts have no paragraphs: two such texts are
 alike (1), one against another text is not (0).  Ties of doc_id are ordered by text hash, null ids come last;
@@ -19,20 +21,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASE = 4  # cells of each of a fingerprint's three tables
-RETRIES = 6
+EACH = 6  # digests of both sides that a sketch is given when the fingerprints do not peel
+GROWTH = 5
 _CELL = "struct<p:int,c:int,k:bigint,x:bigint>"
+_SIDES = "struct<left:int,right:int>"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with a name for a value that it uses more than once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def paragraphs(text: str) -> str:
     """SQL: distinct digests of a text's paragraphs."""
-    pieces = f"flatten(transform(split({text}, '\\n'), l -> if(length(l) > 250, split(l, '(?<=[.!?]) '), array(l))))"
-    return f"array_distinct(transform(filter({pieces}, l -> length(l) > 0), l -> xxhash64(l)))"
+    pieces = "regexp_extract_all(s, '(?s).{40,120}?[,;:)eanst](?=[ \\t])|.{1,120}', 0)"
+    sentences = f"flatten(transform(split(l, '(?<=[.!?]) '), s -> if(length(s) > 120, {pieces}, array(s))))"
+    lines = f"flatten(transform(split({text}, '\\n'), l -> if(length(l) > 120, {sentences}, array(l))))"
+    return f"array_distinct(transform(filter({lines}, l -> l <> ''), l -> xxhash64(l)))"
+
+
+def _place(key: str, j: int | str, m: str) -> str:
+    """SQL: cell of a digest in table j of m cells, from bits of its own."""
+    return f"cast(pmod(shiftright({key}, 24 + 13 * {j}), {m}) as int)"
+
+
+def fingerprint(keys: str) -> str:
+    """SQL: the three tables of BASE cells, those in use in order."""
+    own = f"filter({keys}, k -> {_place('k', f'(p div {BASE})', str(BASE))} = p % {BASE})"
+    cell = "named_struct('p', cast(p as int), 'c', size(ks), 'k', aggregate(ks, 0L, (s, k) -> s ^ k), 'x', aggregate(ks, 0L, (s, k) -> s ^ xxhash64(k, 99)))"
+    return f"filter(transform(sequence(0, {3 * BASE - 1}), p -> {_let(own, 'ks', cell)}), z -> z.c > 0)"
 
 
 def _put(key: str, sign: str, m: str) -> str:
     """SQL: the three cells of one digest."""
-    cell = "named_struct('p', cast({j} * {m} + pmod(xxhash64({k}, {j}), {m}) as int), 'c', {s}, 'k', {k}, 'x', xxhash64({k}, 99))"
-    return "array(" + ", ".join(cell.format(j=j, m=m, k=key, s=sign) for j in range(3)) + ")"
+    return "array(" + ", ".join(f"named_struct('p', {j} * {m} + {_place(key, j, m)}, 'c', {sign}, 'k', {key}, 'x', xxhash64({key}, 99))" for j in range(3)) + ")"
 
 
 def _combine(cells: str) -> str:
@@ -45,38 +67,40 @@ def _combine(cells: str) -> str:
       a -> if(a.last is null or (a.last.c = 0 and a.last.k = 0 and a.last.x = 0), a.done, concat(a.done, array(a.last))))"""
 
 
-def sketch(keys: str, m: str, sign: str = "1") -> str:
-    """SQL: a sketch of digests with tables of m cells."""
-    return _combine(f"flatten(transform({keys}, q -> {_put('q', sign, m)}))")
-
-
 def subtract(a: str, b: str) -> str:
     """SQL: the sketch a minus the sketch b (of the same size)."""
     return _combine(f"concat({a}, transform({b}, z -> named_struct('p', z.p, 'c', -z.c, 'k', z.k, 'x', z.x)))")
 
 
 def peel(cells: str, m: str) -> str:
-    """SQL: digests recovered from a difference as array(only left, only right) counts; null where peeling fails."""
+    """SQL: how many digests only the left and only the right side have, recovered from a difference; null where peeling fails."""
     pure = "array_distinct(transform(filter(s.cells, z -> abs(z.c) = 1 and z.x = xxhash64(z.k, 99)), z -> named_struct('c', z.c, 'k', z.k)))"
     removed = f"flatten(transform(pure, q -> {_put('q.k', '-q.c', m)}))"
-    step = f"""element_at(transform(array({pure}), pure -> named_struct(
+    step = _let(pure, "pure", f"""if(size(pure) = 0, named_struct('cells', s.cells, 'left', s.left, 'right', s.right, 'open', false), named_struct(
       'cells', {_combine(f'concat(s.cells, {removed})')},
-      'left', s.left + size(filter(pure, q -> q.c = 1)), 'right', s.right + size(filter(pure, q -> q.c = -1)), 'open', size(pure) > 0)), 1)"""
-    return f"""aggregate(sequence(1, 100), named_struct('cells', {cells}, 'left', 0, 'right', 0, 'open', true), (s, i) ->
-      if(s.open and size(s.cells) > 0, {step}, s), s -> if(size(s.cells) = 0, array(s.left, s.right), cast(null as array<int>)))"""
+      'left', s.left + size(filter(pure, q -> q.c = 1)), 'right', s.right + size(filter(pure, q -> q.c = -1)), 'open', true))""")
+    return f"""aggregate(sequence(1, 16), named_struct('cells', {cells}, 'left', 0, 'right', 0, 'open', true), (s, i) ->
+      if(s.open and size(s.cells) > 0, {step}, s), s -> if(size(s.cells) = 0, named_struct('left', s.left, 'right', s.right), cast(null as {_SIDES})))"""
+
+
+def _larger(a: str, b: str) -> str:
+    """SQL: the same from larger sketches of the digests a and b, one for each pair of residues."""
+    difference = _combine(f"flatten(concat(transform(a2, q -> {_put('q', '1', 'm')}), transform(b2, q -> {_put('q', '-1', 'm')})))")
+    # As long as nothing is found, twice the cells; the sums are those of two sketches and their difference.
+    again = f"aggregate(sequence(0, {GROWTH - 1}), cast(null as {_SIDES}), (found, i) -> if(found is not null, found, {_let(f'{BASE} * cast(pow(2, i) as int)', 'm', peel(difference, 'm'))}))"
+    one = f"coalesce({again}, named_struct('left', size(array_except(a2, b2)), 'right', size(array_except(b2, a2))))"
+    part = lambda keys, residue, i: f"filter({keys}, k -> pmod({residue}, g) = {i})"
+    inner = _let(part("a1", "shiftright(k, 12)", "j"), "a2", _let(part("b1", "shiftright(k, 12)", "j"), "b2", one))
+    outer = _let(part(a, "k", "i"), "a1", _let(part(b, "k", "i"), "b1", f"transform(sequence(0, g - 1), j -> {inner})"))
+    sums = f"aggregate(flatten(transform(sequence(0, g - 1), i -> {outer})), named_struct('left', 0, 'right', 0), (s, z) -> named_struct('left', s.left + z.left, 'right', s.right + z.right))"
+    return _let(f"greatest(1, cast(ceil(sqrt((size({a}) + size({b})) / {EACH})) as int))", "g", sums)
 
 
 def likeness(a_keys: str, a_sketch: str, b_keys: str, b_sketch: str) -> Column:
-    """From the two base sketches, else from larger ones."""
-    sizes = [f"greatest(8, cast(ceil((size({a_keys}) + size({b_keys})) * {0.55 * 2**i}) as int))" for i in range(RETRIES)]
-    tries = [peel(subtract(a_sketch, b_sketch), str(BASE))]
-    # Cells of both sides at once: the same sums as two sketches and their difference.
-    for m in sizes:
-        cells = f"flatten(concat(transform({a_keys}, q -> {_put('q', '1', m)}), transform({b_keys}, q -> {_put('q', '-1', m)})))"
-        tries.append(peel(_combine(cells), m))
-    found = f"coalesce({', '.join(tries)})"
-    n, left, right = f"size({a_keys})", "element_at(d, 1)", "element_at(d, 2)"
-    return F.expr(f"element_at(transform(array({found}), d -> if({n} + {right} = 0, 1.0D, cast({n} - {left} as double) / ({n} + {right}))), 1)")
+    """From the two fingerprints, else from larger sketches."""
+    found = f"coalesce({peel(subtract(a_sketch, b_sketch), str(BASE))}, {_larger(a_keys, b_keys)})"
+    n = f"size({a_keys})"
+    return F.expr(_let(found, "d", f"if({n} + d.right = 0, 1.0D, cast({n} - d.left as double) / ({n} + d.right))"))
 
 
 def as_text(cells: str) -> str:
@@ -84,32 +108,39 @@ def as_text(cells: str) -> str:
 
 
 def with_next(docs: DataFrame, ranges: int = 256, rows: int = 4000) -> DataFrame:
-    """doc_id, text and the text of the next document by descending doc_id (after the last: the first).
+    """doc_id, text and keys of each document, next_text and next_keys of the next by descending doc_id (after the last: the first).
 
-    Rows are dealt into ranges of doc_id: quantiles, and inside each equal widths so that a range has about ``rows`` rows.
-    Inside a range a window gives the next row; the first row of the next range follows a range's last row.
+    Rows are dealt into ranges of doc_id: quantiles, and inside each equal widths so that a range has about ``rows`` rows.  An id that is a
+    quantile twice has a quantile of its own; its rows and those without an id are dealt by the hash of their text, which orders
+    ties.  Inside a range a window gives the next row; the first row of the next range follows a range's last row.
     """
-    ids = docs.select("doc_id")
-    n, bounds = ids.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [i / ranges for i in range(ranges)])).first()
-    bounds = sorted(set(bounds or [0]))
+    n, bounds = docs.agg(F.count(F.lit(1)), F.percentile_approx(F.col("doc_id").cast("long"), [i / ranges for i in range(ranges)])).first()
+    bounds = bounds or [0]
+    many = {a for a, b in zip(bounds, bounds[1:]) if a == b}
+    bounds = sorted({*bounds, *many, *(b + 1 for b in many)})
     parts = -(-n // (ranges * rows)) or 1
+    ties = max(1, -(-n // rows))
     above = F.array(*[F.lit(b).cast("long") for b in bounds[1:] + [bounds[-1] + 1]])
     low = F.array(*[F.lit(b).cast("long") for b in bounds])
-    q = F.greatest(F.lit(1), F.size(F.filter(low, lambda b: b <= F.col("doc_id"))))
+    q = F.when(F.col("doc_id").isNull(), 0).otherwise(F.greatest(F.lit(1), F.size(F.filter(low, lambda b: b <= F.col("doc_id")))))
     width = F.greatest(F.lit(1), F.element_at(above, F.col("_q")) - F.element_at(low, F.col("_q")))
     inner = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - F.element_at(low, F.col("_q"))) * parts / width)))
-    place = lambda d: d.withColumn("_q", q).withColumn("_range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_q") * parts + inner).cast("long")).drop("_q")
-    x = place(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("_tie", F.xxhash64("text"))
-    # First row of each range, then of the range after it; one small row for each range.
-    firsts = place(ids).groupBy("_range").agg(F.max("doc_id").alias("_first"))
-    down = Window.orderBy(F.desc("_range"))
-    after = firsts.select("_range", F.lead("_first").over(down).alias("_next"), F.lead(F.lit(1)).over(down).alias("_has"), F.first("_first").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_top"))
-    after = after.select("_range", F.when(F.col("_has") == 1, F.col("_next")).otherwise(F.col("_top")).alias("_want"))
-    heads = x.select("doc_id", "text", "_tie").join(after.withColumnRenamed("_range", "_for"), F.col("doc_id").eqNullSafe(F.col("_want")))
-    heads = heads.groupBy(F.col("_for").alias("_range")).agg(F.min(F.struct("_tie", "text"))["text"].alias("_head"))
-    w = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), "_tie")
-    x = x.withColumn("_lead", F.lead("text").over(w))
-    return x.join(heads, "_range", "left").select("doc_id", "text", F.coalesce("_lead", "_head").alias("next_text"))
+    by_tie = ties - 1 - F.least(F.lit(ties - 1), F.floor((F.shiftright("_tie", 32) + F.lit(1 << 31)) * ties / F.lit(float(1 << 32))))
+    own = F.when(F.col("doc_id").isNull() | F.col("doc_id").isin(sorted(many)), by_tie).otherwise(inner).cast("long")
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    x = x.withColumn("keys", F.expr(paragraphs("text"))).withColumn("_tie", F.xxhash64("text")).withColumn("_q", q).withColumn("_range", own)
+    w = Window.partitionBy("_q", "_range").orderBy(F.col("doc_id").desc(), "_tie")
+    row = F.struct(F.col("text").alias("next_text"), F.col("keys").alias("next_keys"))
+    x = x.select("doc_id", "text", "keys", "_q", "_range", F.lead(row).over(w).alias("_lead"), F.row_number().over(w).alias("_n"))
+    # Heads of the ranges, one small row each; and of the quantiles, whose number is fixed, the next one's first range.
+    heads = x.where("_n = 1").select("_q", "_range", F.struct(F.col("text").alias("next_text"), F.col("keys").alias("next_keys")).alias("_head"))
+    tops = heads.groupBy("_q").agg(F.max("_range").alias("_top"))
+    down = Window.orderBy(F.desc("_q"))
+    tops = tops.select("_q", F.coalesce(F.lead(F.struct("_q", "_top")).over(down), F.first(F.struct("_q", "_top")).over(down)).alias("_then"))
+    following = F.lead(F.struct("_q", F.col("_range").alias("_top"))).over(Window.partitionBy("_q").orderBy(F.desc("_range")))
+    after = heads.select("_q", "_range", following.alias("_following")).join(tops, "_q").select("_q", "_range", F.coalesce("_following", "_then").alias("_then"))
+    after = after.select("_q", "_range", F.col("_then._q").alias("_tq"), F.col("_then._top").alias("_tr")).join(heads.select(F.col("_q").alias("_tq"), F.col("_range").alias("_tr"), "_head"), ["_tq", "_tr"]).select("_q", "_range", "_head")
+    return x.join(after, ["_q", "_range"]).withColumn("_lead", F.coalesce("_lead", "_head")).select("doc_id", "text", "keys", "_lead.*")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -117,11 +148,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     x = with_next(docs)
     x = x.withColumn("n_chars", F.length("text"))
     x = x.withColumn("edited", F.expr("concat(substr(text, 1, n_chars - n_chars div 2), substr(next_text, 1, cast(n_chars div 2 as int)))"))
-    for name, text in (("a", "text"), ("e", "edited"), ("n", "next_text")):
-        x = x.withColumn(f"{name}_keys", F.expr(paragraphs(text)))
-    x = x.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a_keys", "e_keys", "n_keys")
+    x = x.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("keys").alias("a_keys"), F.expr(paragraphs("edited")).alias("e_keys"), F.col("next_keys").alias("n_keys"))
     for name in "aen":
-        x = x.withColumn(f"{name}_cells", F.expr(sketch(f"{name}_keys", str(BASE))))
+        x = x.withColumn(f"{name}_cells", F.expr(fingerprint(f"{name}_keys")))
     return x.select(
         "doc_id", "n_chars", "edited_sha256", F.expr(as_text("a_cells")).alias("fingerprint"), F.expr(as_text("e_cells")).alias("edited_fingerprint"),
         likeness("a_keys", "a_cells", "e_keys", "e_cells").alias("near_edited"), likeness("a_keys", "a_cells", "n_keys", "n_cells").alias("near_next"),

@@ -104,7 +104,8 @@ def test_chat(spark):
 
 
 def _paragraphs(t):
-    return {y for l in t.split("\n") for y in (re.split(r"(?<=[.!?]) ", l) if len(l) > 250 else [l]) if y}
+    lines = [y for line in t.split("\n") for y in (re.split(r"(?<=[.!?]) ", line) if len(line) > 120 else [line])]
+    return {z for y in lines for z in (re.findall(r"(?s).{40,120}?[,;:)eanst](?=[ \t])|.{1,120}", y) if len(y) > 120 else [y]) if z}
 
 
 def _likeness(a, b):
@@ -122,15 +123,35 @@ def test_fingerprints(spark, small, odd, none):
         assert (r.n_chars, r.edited_sha256) == (len(d.text), sha(edited.encode()))
         assert r.near_edited == pytest.approx(_likeness(_paragraphs(d.text), _paragraphs(edited)))
         assert r.near_next == pytest.approx(_likeness(_paragraphs(d.text), _paragraphs(after)))
-    assert len(fingerprint.fingerprints(odd).collect()) == odd.count()
-    by_text = {}
-    for r, d in zip(*(x.orderBy("n_chars", "doc_id").collect() for x in (fingerprint.fingerprints(odd.where("doc_id in (1, 2, 7)")), odd.where("doc_id in (1, 2, 7)")))):
-        by_text.setdefault(d.n_chars, set()).add(r.fingerprint)
-    assert len(by_text[len(docs[0].text)] if len(docs[0].text) in by_text else {1}) == 1
+    got = [(r.doc_id, r.n_chars, r.fingerprint) for r in fingerprint.fingerprints(odd).collect()]
+    assert len(got) == odd.count() and all(r.near_edited is not None and r.near_next is not None for r in fingerprint.fingerprints(odd).collect())
+    assert len({f for i, _, f in got if i in (1, 2)}) == len({f for i, _, f in got if i == 3}) == 1  # equal texts
+    assert {f for i, _, f in got if i in (4, 5)} == {""} and len({f for i, _, f in got if i == 7}) == 2
     assert fingerprint.fingerprints(none).count() == 0
     one = fingerprint.fingerprints(odd.where("doc_id = 11")).first()
     assert one.near_next == 1.0
 
 
+def test_fingerprints_follow_on(spark):
+    """The order holds across ranges, repeated ids and missing ids."""
+    rng = random.Random(4)
+    ids = [rng.choice([7, 7, None, rng.randrange(10**6), rng.randrange(10**6)]) for _ in range(400)]
+    docs = spark.createDataFrame([(i, f"text {k % 300} of it") for k, i in enumerate(ids)], "doc_id bigint, text string").selectExpr("*", "xxhash64(text) AS tie")
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    want = sorted((str(r.doc_id), r.text, rows[(k + 1) % len(rows)].text) for k, r in enumerate(rows))
+    assert sorted((str(r.doc_id), r.text, r.next_text) for r in fingerprint.with_next(docs, 8, 20).collect()) == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 12, 80, 1500])
+def test_fingerprints_peel(spark, n):
+    """Differences of any size are recovered; a table that is too small gives null, and the next larger one is tried."""
+    left, right = [f"a{i}" for i in range(n)] + [f"c{i}" for i in range(7)], [f"c{i}" for i in range(5)] + [f"b{i}" for i in range(n // 3)]
+    x = spark.createDataFrame([(left, right)], "a array<string>, b array<string>").selectExpr("transform(a, x -> xxhash64(x)) AS a", "transform(b, x -> xxhash64(x)) AS b").selectExpr("a", "b", f"{fingerprint.fingerprint('a')} AS ca", f"{fingerprint.fingerprint('b')} AS cb")
+    first = x.selectExpr(f"{fingerprint.peel(fingerprint.subtract('ca', 'cb'), str(fingerprint.BASE))} AS d").first().d
+    assert (first is None) == (n + 2 + n // 3 > 8) or first == (n + 2, n // 3)
+    assert x.selectExpr(f"{fingerprint._larger('a', 'b')} AS d").first().d == (n + 2, n // 3)
+    assert x.select(fingerprint.likeness("a", "ca", "b", "cb")).first()[0] == pytest.approx(5 / (n + 7 + n // 3))
+
+
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [q for n in range(1, 11) for q in queries.QUERIES if q.startswith(f"op{n}_")]

@@ -82,7 +82,8 @@ def of_chunks(items: Callable[[Chunk], np.ndarray]) -> Callable[[Iterator[pa.Rec
 def build(docs: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: float, depth: int, thresholds: tuple[int, ...], cells_per_item: float, least: int = 1 << 20, most: int = MOST) -> Sketch:
     """Count ``items`` (arrays of hashes from a task's batches) over all of ``docs``; about ``expected`` are there."""
     cells = power_of_two(expected * cells_per_item, least, most)
-    parts = cells // PART
+    size = min(PART, cells)
+    parts = cells // size
     limit = thresholds[-1] + 1  # a task's own copies beyond it add nothing
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -93,26 +94,26 @@ def build(docs: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Iterator[
                 keep = np.ones(len(at), bool)
                 keep[limit:] = at[limit:] != at[:-limit]
                 at = at[keep]
-            ends = np.searchsorted(at, np.arange(parts + 1) * PART)
+            ends = np.searchsorted(at, np.arange(parts + 1) * size)
             full = np.flatnonzero(np.diff(ends))
-            data = [pack(at[ends[p] : ends[p + 1]] - p * PART) for p in full]
+            data = [pack(at[ends[p] : ends[p + 1]] - p * size) for p in full]
             yield pa.RecordBatch.from_pydict({"part": pa.array(full + row * parts, pa.int64()), "data": pa.array(data, pa.binary())})
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, many = [], 0
         for found in items(batches):
             held.append(found)
-            size += len(held[-1])
-            if size >= FLUSH:
+            many += len(held[-1])
+            if many >= FLUSH:
                 yield from flush(held)
-                held, size = [], 0
-        if size:
+                held, many = [], 0
+        if many:
             yield from flush(held)
 
     def merge(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(PART, np.int64)
+        counts = np.zeros(size, np.int64)
         for data in pieces["data"]:
-            counts += np.bincount(unpack(data), minlength=PART)
+            counts += np.bincount(unpack(data), minlength=size)
         row = int(key[0]) // parts
         planes = [np.packbits(counts > t, bitorder="little").tobytes() for t in (thresholds if row == 0 else thresholds[:1])]
         return pd.DataFrame({"part": [int(key[0])], "planes": [planes]})
@@ -122,5 +123,5 @@ def build(docs: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Iterator[
     for got in merged.toLocalIterator():
         row, part = divmod(got["part"], parts)
         for t, data in enumerate(got["planes"]):
-            planes[row][t][part * PART // 8 : (part + 1) * PART // 8] = np.frombuffer(bytes(data), np.uint8)
+            planes[row][t][part * size // 8 : (part + 1) * size // 8] = np.frombuffer(bytes(data), np.uint8)
     return Sketch(docs.sparkSession.sparkContext.broadcast(planes), cells, depth, thresholds)

@@ -1,8 +1,10 @@
 """Substring deduplication: a word goes if a window of words that covers it starts earlier somewhere too.
 
-Pass one counts all windows in a count-min sketch merged from partition sketches.  Its estimates are never too low,
-so only windows estimated to be repeated can be repeated.  Pass two groups exactly those by 96-bit hashes of their
-words: each task sends one row of packed arrays a shard, with only the first occurrence in the task (later ones are
+Pass one counts, in a count-min sketch merged from partition sketches, the minimizers of all windows: of the runs of 8 words in a window
+the one with the least hash, which neighbouring windows mostly share.  Equal windows have equal minimizers at the same place, so a repeated
+window's minimizer is counted twice at least; estimates are never too low, so only windows estimated to be repeated can be repeated.  Where
+the minimizers are more than a bounded sketch can tell apart, slices of the hash space are counted one after another, each with a sketch of its
+own at the same load.  Pass two groups exactly the windows left by 96-bit hashes of their words: each task sends one row of packed arrays a shard, with only the first occurrence in the task (later ones are
 known to be repeats), so a passage in a third of all documents is at most one entry of each task.  The
 occurrences that are not first meet their documents by shard of documents and mark the covered words.
 
@@ -14,19 +16,23 @@ fewer words than a window keeps all of them.  An empty table gives no rows.  Ext
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from clauseaudit.llm import sketch
-from clauseaudit.llm.common import Chunk, chunks, mix, text_bytes, window_hashes, word_hashes, words
+from clauseaudit.llm.common import Chunk, Scratch, chunks, mix, text_bytes, window_hashes, word_hashes, words
 
 WINDOW = 20
+RUN = 8  # words of a minimizer
+SHARE = 0.18  # minimizers for each word, somewhat more than 2 / (WINDOW - RUN + 2)
+CELLS, MOST = 3.0, 1 << 30  # cells for each minimizer; of a slice's sketch at most (two planes of 128 MB)
 _F2 = np.uint64(0xA0761D6478BD642F)
 NULL_ID = (1 << 63) - 1
 #: An occurrence: its window's hashes, and where it is. Packed arrays hold one plane of bytes after another.
@@ -59,19 +65,55 @@ def _unpack(data: bytes, fields: tuple[str, ...]) -> np.ndarray:
 ALL, PLACE = ("h", "g", "rank", "tie", "pos"), ("rank", "tie", "pos")
 
 
-def _windows(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit and 32-bit hash, row and position of every window of a chunk."""
+def _slide(x: np.ndarray, k: int, best: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of all runs of k values, by doubling."""
+    width = 1
+    while 2 * width <= k:
+        x = best(x[: len(x) - width], x[width:])
+        width *= 2
+    return best(x[: len(x) - (k - width)], x[k - width :]) if k > width else x
+
+
+def _windows(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, and of every window of a chunk: where it starts, its row, its position in the row, and its minimizer."""
     starts, ends, row = words(chunk.buf, chunk.off)
     h = word_hashes(chunk.buf, starts, ends)
     if len(h) < size:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint32), none, none
-    inside = row[: len(h) - size + 1] == row[size - 1 :]
-    first = window_hashes(h, size)[inside]
-    second = (window_hashes(mix(h ^ _F2), size, _F2) >> np.uint64(32)).astype(np.uint32)[inside]
-    at = np.flatnonzero(inside)
-    row_start = np.searchsorted(row, np.arange(len(chunk)))
-    return first, second, row[at], at - row_start[row[at]]
+        return h, none, none, none, none.astype(np.uint64)
+    at = np.flatnonzero(row[: len(h) - size + 1] == row[size - 1 :])
+    run = min(RUN, size)
+    least = _slide(window_hashes(h, run), size - run + 1, np.minimum)[at]
+    return h, at, row[at], at - np.searchsorted(row, np.arange(len(chunk)))[row[at]], least
+
+
+def _minimizers(chunk: Chunk, size: int) -> np.ndarray:
+    """The minimizers of a chunk's windows, each as often as it stands in the texts."""
+    h, at, _, _, least = _windows(chunk, size)
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    run = min(RUN, size)
+    spread = size - run
+    # A run is a minimizer if the greatest of the minima of the windows around it is its own hash.
+    window = np.zeros(len(h) - size + 1 + 2 * spread, np.uint64)
+    window[at + spread] = least
+    own = window_hashes(h, run)
+    return own[_slide(window, spread + 1, np.maximum) == own]
+
+
+def _hashes(h: np.ndarray, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit and 32-bit hash of the windows that start at the given words."""
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    return window_hashes(h, size)[at], (window_hashes(mix(h ^ _F2), size, _F2) >> np.uint64(32)).astype(np.uint32)[at]
+
+
+def _above(counted: sketch.Sketch, least: np.ndarray, n: int, s: int) -> np.ndarray:
+    """Which windows' minimizers are of slice s of n and estimated to be repeated; runs of equal ones are looked up once."""
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1])[: len(least)])
+    ok = sketch.slice_of(least[first], n) == s
+    ok[ok] = counted.above(least[first][ok]) > 0
+    return np.repeat(ok, np.diff(np.append(first, len(least))))
 
 
 def _prime(n: int) -> int:
@@ -81,20 +123,22 @@ def _prime(n: int) -> int:
     return n
 
 
-def repeats(keyed: DataFrame, shards: int, total: int, size: int = WINDOW) -> DataFrame:
+def repeats(keyed: DataFrame, shards: int, total: int, scratch: Scratch, size: int = WINDOW, most: int = MOST) -> DataFrame:
     """From (doc_id, text, tie): occurrences that are not the first of their words, packed by shard of documents."""
-    counted = sketch.build(keyed.select("text"), sketch.of_chunks(lambda c: _windows(c, size)[0]), total / 6, 2, (1,), 1.5)
+    expected = total / 6 * SHARE
+    n = sketch.slices(expected, CELLS, most)
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(s: int, counted: sketch.Sketch, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for chunk in chunks(batches):
-            h, g, row, pos = _windows(chunk, size)
-            keep = counted.above(h) > 0
+            words_, at, row, pos, least = _windows(chunk, size)
+            keep = _above(counted, least, n, s)
             rank = chunk.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             tie = chunk.column("tie").to_numpy(zero_copy_only=False)
             got = np.zeros(int(keep.sum()), _ENTRY)
             row = row[keep]
-            got["h"], got["g"], got["rank"], got["tie"], got["pos"] = h[keep], g[keep], rank[row], tie[row], pos[keep]
+            got["h"], got["g"] = _hashes(words_, size, at[keep])
+            got["rank"], got["tie"], got["pos"] = rank[row], tie[row], pos[keep]
             held.append(got)
             many += len(got)
             if many > 2 << 20:
@@ -119,8 +163,18 @@ def repeats(keyed: DataFrame, shards: int, total: int, size: int = WINDOW) -> Da
         rows = [x for b in _to_shards("", e, _home(e, shards), PLACE) for x in b.to_pylist()]
         return pd.DataFrame({"shard": pd.Series([x["shard"] for x in rows], dtype="int64"), "data": pd.Series([x["data"] for x in rows], dtype="object")})
 
-    sent = keyed.select("doc_id", "text", "tie").mapInArrow(candidates, "shard bigint, kind string, data binary")
-    return sent.groupBy("shard").applyInPandas(resolve, "shard bigint, data binary")
+    def minimizers(s: int, chunk: Chunk) -> np.ndarray:
+        found = _minimizers(chunk, size)
+        return found[sketch.slice_of(found, n) == s] if n > 1 else found
+
+    sent = []
+    for s in range(n):
+        counted = sketch.build(keyed.select("text"), sketch.of_chunks(partial(minimizers, s)), expected / n, 2, (1,), CELLS, most=most)
+        sent.append(scratch.cut(keyed.select("doc_id", "text", "tie").mapInArrow(partial(candidates, s, counted), "shard bigint, kind string, data binary")))
+        counted.free()
+    out = scratch.cut(reduce(DataFrame.unionByName, sent).groupBy("shard").applyInPandas(resolve, "shard bigint, data binary"))
+    scratch.free(*sent)
+    return out
 
 
 def _home(e: np.ndarray, shards: int) -> np.ndarray:
@@ -157,8 +211,9 @@ def _later_copies(keys: list[tuple[int, int]], rows: pa.ChunkedArray) -> set[int
     return {i for same in at.values() if len(same) > 1 for i in sorted(same, key=lambda i: repr(rows[i].as_py()))[1:]}
 
 
-def remove(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` with _n_words, _n_removed and _kept (the kept words joined by single spaces), one row for each row."""
+def marked(docs: DataFrame, size: int = WINDOW, most: int = MOST) -> DataFrame:
+    """One row for each row of ``docs``: row (a struct of its other columns), text, n_words, n_removed and kept (the kept words joined by
+    single spaces)."""
     total = text_bytes(docs)
     shards = _prime(max(64, total // (8 << 20)))
     id_long = F.col("doc_id").cast("long")
@@ -167,7 +222,7 @@ def remove(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         id_long.alias("doc_id"), "text", tie.alias("tie"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
         F.pmod(F.coalesce(id_long, F.lit(NULL_ID)).bitwiseXOR(tie), F.lit(shards)).alias("shard"),
     )
-    marks = repeats(keyed, shards, total, size)
+    marks = repeats(keyed, shards, total, Scratch(docs.sparkSession), size, most)
 
     def mark(rows: pa.Table, pieces: pa.Table) -> pa.Table:
         e = [_unpack(x, PLACE) for x in pieces.column("data").to_pylist()]
@@ -200,16 +255,23 @@ def remove(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             kept.append(b" ".join(own).decode())
         return pa.table({"row": rows.column("row"), "text": rows.column("text"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    row_type = keyed.schema["row"].dataType.simpleString()
-    schema = f"row {row_type}, text string, n_words bigint, n_removed bigint, kept string"
-    done = keyed.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(mark, schema)
-    return done.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.col("n_words").alias("_n_words"), F.col("n_removed").alias("_n_removed"), F.col("kept").alias("_kept"))
+    schema = StructType([keyed.schema["row"], *(StructField(c, t()) for c, t in (("text", StringType), ("n_words", LongType), ("n_removed", LongType), ("kept", StringType)))])
+    return keyed.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(mark, schema)
+
+
+def _own(c: str) -> Column:
+    return F.col("text") if c == "text" else F.col("row")[c]
+
+
+def remove(docs: DataFrame, size: int = WINDOW, most: int = MOST) -> DataFrame:
+    """``docs`` with _n_words, _n_removed and _kept (the kept words joined by single spaces) in place of columns of these names."""
+    new = {"_n_words": "n_words", "_n_removed": "n_removed", "_kept": "kept"}
+    return marked(docs, size, most).select(*[_own(c).alias(c) for c in docs.columns if c not in new], *[F.col(v).alias(c) for c, v in new.items()])
 
 
 def clean(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` without the repeated words, in its own columns.  A text of which nothing goes stays as it is; the others are
     their kept words joined by single spaces; a document that loses all its words goes."""
-    x = remove(docs, size)
-    x = x.where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_words")))
-    text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
-    return x.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    x = marked(docs, size).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
+    return x.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else _own(c)).alias(c) for c in docs.columns])

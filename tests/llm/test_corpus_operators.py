@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clauseaudit.llm import language_id, language_model, mixing, ngram_join, sketch, substring_dedup, toxicity
-from clauseaudit.llm.common import connected_components, mix
+from clauseaudit.llm.common import chunks, connected_components, mix
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -139,6 +140,27 @@ def test_substring_dedup(spark, small, odd, none):
     assert substring_dedup.clean(none).count() == 0
 
 
+def test_substring_dedup_slices(spark, small):
+    """With more slices of the hash space, each in a small sketch, the result and the share of candidates stay."""
+    docs = small.select("doc_id", "text")
+    whole, sliced = (Counter(map(tuple, substring_dedup.remove(docs, most=most).select("doc_id", "_n_removed", "_kept").collect())) for most in (1 << 30, 1 << 14))
+    assert whole == sliced
+    rng = random.Random(2)
+    texts = spark.createDataFrame([(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(2000))) for i in range(300)], "doc_id bigint, text string")
+    found = [np.concatenate([substring_dedup._minimizers(c, 20) for c in chunks([pa.RecordBatch.from_pydict({"text": [r.text]})])]) for r in texts.collect()]
+    least = np.unique(np.concatenate(found))
+    assert len(least) < substring_dedup.SHARE * 600_000
+    shares = []
+    for n in (1, 4):
+        let = 0
+        for k in range(n):
+            own = lambda batches, k=k, n=n: (m[sketch.slice_of(m, n) == k] for c in batches for m in [np.concatenate([substring_dedup._minimizers(x, 20) for x in chunks([c])])])
+            counted = sketch.build(texts.select("text"), own, len(least) / n, 2, (1,), 3.0, least=1 << 10, most=(1 << 18) // n)
+            let += int((counted.above(least[sketch.slice_of(least, n) == k]) > 0).sum())
+        shares.append(let / len(least))
+    assert max(shares) < 0.2 and abs(shares[0] - shares[1]) < 0.15
+
+
 def test_substring_dedup_copies(spark):
     """Of rows with one id and one text the first stays whole; rows without an id are told apart and spread."""
     rng = random.Random(9)
@@ -269,7 +291,7 @@ def test_toxicity(spark, odd, none):
     got = toxicity.score(docs, marks).collect()
     test = [r for r in got if r.held_out]
     assert np.mean([r.predicted == (r.doc_id % 8 == 0) for r in test]) > 0.97 and all(r.predicted == (r.score >= 0.5) for r in got)
-    kept = toxicity.keep_clean(docs.withColumn("_score", F.lit("clash")).drop("_score").withColumn("extra", F.lit(1)), marks)
+    kept = toxicity.keep_clean(docs.withColumn("extra", F.lit(1)), marks)
     assert kept.columns == ["doc_id", "text", "extra"] and 1280 < kept.count() < 1340
     null = spark.createDataFrame([(None, 1), (1, None), (3, 1), (3, 0), (3, 1)], "doc_id bigint, toxic int")
     assert toxicity.score(odd, null).count() == odd.count()
@@ -287,3 +309,16 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     want = Counter(tuple(r) for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect())
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == want
+
+
+INTERNAL = "_score score row _kept kept n_words _n_words _n_removed n_removed shard tie size source_size target taken _text _row _key _tie _range _src gone key component low first sig cell pivot a b data kind".split()
+
+
+def test_clashing_names(spark, odd):
+    """Columns of the input that are named like internal ones come out as they were."""
+    docs = odd.select("doc_id", "text", "source", "n_chars", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in INTERNAL])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id bigint, toxic int")
+    for got in (toxicity.keep_clean(docs, labels), ngram_join.keep_one(docs), substring_dedup.clean(docs), mixing.draw(docs)):
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for r in rows for c in INTERNAL)

@@ -8,8 +8,9 @@ There are about sqrt(rows) ranges, so neither a range nor the list of ranges of
 source that holds most rows is many ranges.  The global window is over one row per source.
 
 Null and empty texts have size 0 and nothing is taken; a null source is a source of its own, last in order.
-Documents with equal ids and texts are ties of the order and share their place stably by text hash; equal
-rows are interchangeable.  An empty table gives an empty result.  Extra columns pass through ``mix``.
+Keys are hashes of id and text, so rows of one id or without one are spread too; equal
+rows are interchangeable.  An empty table gives an empty result.  Extra columns pass through ``mix`` and ``draw``, whatever their
+names, but for those that ``mix`` itself gives.
 """
 
 from __future__ import annotations
@@ -52,14 +53,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return x.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.coalesce(F.col("found.level"), F.lit(float("inf")))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 7, source: str = "source") -> DataFrame:
-    """``docs`` (doc_id, text, source, others) with size, source_size, target and taken, one row for each row.
+def mixed(docs: DataFrame, columns: list[str], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 7, source: str = "source") -> DataFrame:
+    """_row (a struct of ``columns``), size, source_size, target and taken, one row for each row of ``docs``.
 
     ``taken`` is full epochs times the size, plus the part of the document before the cut of the last epoch;
     per source the sum is the rounded target.  The result depends on the rows only, not on partitions.
     """
     buckets = max(1, math.isqrt(docs.count()))
-    x = docs.select(F.struct(*docs.columns).alias("_row"), n_words(F.col("text")).alias("size"), "doc_id", F.col(source).alias("source"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_key"), F.xxhash64(F.col("text")).alias("_tie"))
+    tie = F.xxhash64(F.col("text"))
+    x = docs.select(F.struct(*columns).alias("_row"), n_words(F.col("text")).alias("size"), "doc_id", F.col(source).alias("source"), F.xxhash64(F.col("doc_id"), tie, F.lit(seed)).alias("_key"), tie.alias("_tie"))
     x = x.withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))  # a key that null has too
     # The upper 31 bits of the key choose the range, so ranges follow the order of keys.
     x = x.withColumn("_range", F.floor((F.shiftright("_key", 33) + F.lit(1 << 30)) * F.lit(buckets) / F.lit(float(1 << 31))).cast("long"))
@@ -76,18 +78,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     x = x.withColumn("_epochs", epochs)
     left = budget - F.col("_epochs") * F.col("source_size") - F.col("_start") - F.col("_within")
     taken = F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(left, F.col("size")))
-    inner = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return x.select(*inner, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return x.select("_row", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, columns: list[str] | None = None, **options) -> DataFrame:
+    """``docs`` (doc_id, text, source, others; or only ``columns`` of it, which are all that is shuffled) with size, source_size, target
+    and taken, in place of columns of these names."""
+    names = [c for c in columns or docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return mixed(docs, names, **options).select(*[F.col("_row")[c].alias(c) for c in names], "size", "source_size", "target", "taken")
 
 
 def draw(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of the input's columns: each document once for each epoch that takes it.  Where the cut falls
     inside a document, its last copy keeps the words before the cut, joined by single spaces."""
-    x = mix(docs, **options)
+    text = F.col("_row")["text"]
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    clean = F.regexp_replace("text", f"^{WORD_SPLIT}", "")
+    clean = F.regexp_replace(text, f"^{WORD_SPLIT}", "")
     cut_text = F.array_join(F.slice(F.split(clean, WORD_SPLIT), 1, part), " ")
-    texts = F.concat(F.array_repeat(F.col("text"), whole), F.when(part > 0, F.array(cut_text)).otherwise(F.array().cast("array<string>")))
-    x = x.withColumn("_text", F.explode(texts))
-    return x.select(*(F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+    texts = F.concat(F.array_repeat(text, whole), F.when(part > 0, F.array(cut_text)).otherwise(F.array().cast("array<string>")))
+    x = mixed(docs, docs.columns, **options).select("_row", F.explode(texts).alias("_text"))
+    return x.select(*((F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col("_row")[c]).alias(c) for c in docs.columns))

@@ -28,7 +28,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read_documents(spark, sf_dir), columns=["doc_id"])
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

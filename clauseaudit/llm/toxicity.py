@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from clauseaudit.llm.common import LOWER, chunks, mix, word_hashes, words
 
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _score, one row for each row."""
+    """row (a struct of all columns of ``docs``) and score, one row for each row."""
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,21 +147,18 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
         for chunk in chunks(batches):
             row, col = features(chunk.buf, chunk.off)
             score = _sigmoid(m.margins(row, col, len(chunk)))
-            yield pa.RecordBatch.from_arrays([*chunk.rows.columns, pa.array(score)], names=[*chunk.rows.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(chunk.rows.columns, fields=list(chunk.rows.schema)), pa.array(score)], names=["row", "score"])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("_score", DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType().add("row", docs.schema).add("score", DoubleType()))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    x = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
+    x = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels)).select("row.doc_id", "score")
     held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False))
-    return x.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return x.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted to be toxic."""
-    return with_scores(docs, train(docs, labels)).where("_score < 0.5").select(*docs.columns)
+    return with_scores(docs, train(docs, labels)).where("score < 0.5").select(*[F.col("row")[c].alias(c) for c in docs.columns])

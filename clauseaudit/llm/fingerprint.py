@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A paragraph is a line; a line of over 120 characters is cut at sentence ends, and what is still longer into pieces of 40 to 120
+A paragraph is a line; a line of over 160 characters is cut at sentence ends, and what is over 240 into pieces of 100 to 240
 characters that end where the text itself says (certain letters before a space), so that texts of one line have several.  The
 fingerprint of a text has three tables of ``BASE`` cells; each distinct paragraph's 64-bit digest is put into one cell of each: a
 count, the xor of digests and the xor of check hashes.  Fingerprints of two versions subtract cell by cell, and peeling cells
@@ -9,7 +9,7 @@ sketches as the paragraphs need, each for the digests of one residue, so that ea
 fails is made again with twice the cells until it peels (at most five times; then its few digests are compared themselves).
 Likeness is common / all distinct paragraphs, from the recovered digests and the counts.
 
-Sketches are kept sparse (only cells in use).  Null and empty texts have no paragraphs: two such texts are
+Null and empty texts have no paragraphs: two such texts are
 alike (1), one against another text is not (0).  Ties of doc_id are ordered by text hash, null ids come last;
 repeated rows stand next to each other.  Only doc_id and text are read, so other columns cannot clash.  An empty
 table gives no rows.  In a table of one row the next document is the row itself.
@@ -21,9 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASE = 4  # cells of each of a fingerprint's three tables
-EACH = 6  # digests of both sides that a sketch is given when the fingerprints do not peel
+EACH, LEAST = 4, 2  # of larger sketches: digests of both sides for each, and cells of its tables at first
 GROWTH = 5
-_CELL = "struct<p:int,c:int,k:bigint,x:bigint>"
 _SIDES = "struct<left:int,right:int>"
 
 
@@ -34,61 +33,58 @@ def _let(value: str, name: str, body: str) -> str:
 
 def paragraphs(text: str) -> str:
     """SQL: distinct digests of a text's paragraphs."""
-    pieces = "regexp_extract_all(s, '(?s).{40,120}?[,;:)eanst](?=[ \\t])|.{1,120}', 0)"
-    sentences = f"flatten(transform(split(l, '(?<=[.!?]) '), s -> if(length(s) > 120, {pieces}, array(s))))"
-    lines = f"flatten(transform(split({text}, '\\n'), l -> if(length(l) > 120, {sentences}, array(l))))"
+    pieces = "regexp_extract_all(s, '(?s).{100,240}?[,;:)eanst](?=[ \\t])|.{1,240}', 0)"
+    sentences = f"flatten(transform(split(l, '(?<=[.!?]) '), s -> if(length(s) > 240, {pieces}, array(s))))"
+    lines = f"flatten(transform(split({text}, '\\n'), l -> if(length(l) > 160, {sentences}, array(l))))"
     return f"array_distinct(transform(filter({lines}, l -> l <> ''), l -> xxhash64(l)))"
 
 
-def _place(key: str, j: int | str, m: str) -> str:
-    """SQL: cell of a digest in table j of m cells, from bits of its own."""
-    return f"cast(pmod(shiftright({key}, 24 + 13 * {j}), {m}) as int)"
+def _at(key: str, m: str) -> str:
+    """SQL: the digest's cells, one in each table of m (a power of two) cells; each table has bits of its own."""
+    return "array(" + ", ".join(f"{j} * {m} + cast(shiftright({key}, {24 + 13 * j}) & ({m} - 1) as int)" for j in range(3)) + ")"
 
 
-def fingerprint(keys: str) -> str:
-    """SQL: the three tables of BASE cells, those in use in order."""
-    own = f"filter({keys}, k -> {_place('k', f'(p div {BASE})', str(BASE))} = p % {BASE})"
-    cell = "named_struct('p', cast(p as int), 'c', size(ks), 'k', aggregate(ks, 0L, (s, k) -> s ^ k), 'x', aggregate(ks, 0L, (s, k) -> s ^ xxhash64(k, 99)))"
-    return f"filter(transform(sequence(0, {3 * BASE - 1}), p -> {_let(own, 'ks', cell)}), z -> z.c > 0)"
+def _items(keys: str, sign: int, m: str) -> str:
+    """SQL: digests with their sign, check hash and cells."""
+    return f"transform({keys}, k -> named_struct('c', {sign}, 'k', k, 'x', xxhash64(k, 99), 'at', {_at('k', m)}))"
 
 
-def _put(key: str, sign: str, m: str) -> str:
-    """SQL: the three cells of one digest."""
-    return "array(" + ", ".join(f"named_struct('p', {j} * {m} + {_place(key, j, m)}, 'c', {sign}, 'k', {key}, 'x', xxhash64({key}, 99))" for j in range(3)) + ")"
+def sketch(items: str, m: str) -> str:
+    """SQL: the three tables of m cells of digests (``_items``) with their signs."""
+    add = "named_struct('c', t.c + e.c, 'k', t.k ^ e.k, 'x', t.x ^ e.x)"
+    return f"transform(sequence(0, 3 * {m} - 1), p -> aggregate({items}, named_struct('c', 0, 'k', 0L, 'x', 0L), (t, e) -> if(array_contains(e.at, p), {add}, t)))"
 
 
-def _combine(cells: str) -> str:
-    """SQL: add cells of the same place; empty cells go."""
-    none = f"cast(null as {_CELL})"
-    return f"""aggregate(sort_array({cells}), named_struct('done', cast(array() as array<{_CELL}>), 'last', {none}), (a, e) ->
-      if(a.last is null, named_struct('done', a.done, 'last', e),
-      if(a.last.p = e.p, named_struct('done', a.done, 'last', named_struct('p', e.p, 'c', a.last.c + e.c, 'k', a.last.k ^ e.k, 'x', a.last.x ^ e.x)),
-      named_struct('done', if(a.last.c = 0 and a.last.k = 0 and a.last.x = 0, a.done, concat(a.done, array(a.last))), 'last', e))),
-      a -> if(a.last is null or (a.last.c = 0 and a.last.k = 0 and a.last.x = 0), a.done, concat(a.done, array(a.last))))"""
+def fingerprint(keys: str) -> str:
+    """SQL: the three tables of BASE cells."""
+    return _let(_items(keys, 1, str(BASE)), "items", sketch("items", str(BASE)))
 
 
 def subtract(a: str, b: str) -> str:
-    """SQL: the sketch a minus the sketch b (of the same size)."""
-    return _combine(f"concat({a}, transform({b}, z -> named_struct('p', z.p, 'c', -z.c, 'k', z.k, 'x', z.x)))")
+    """SQL: the fingerprint a minus the fingerprint b."""
+    return f"zip_with({a}, {b}, (y, z) -> named_struct('c', y.c - z.c, 'k', y.k ^ z.k, 'x', y.x ^ z.x))"
 
 
 def peel(cells: str, m: str) -> str:
-    """SQL: how many digests only the left and only the right side have, recovered from a difference; null where peeling fails."""
-    pure = "array_distinct(transform(filter(s.cells, z -> abs(z.c) = 1 and z.x = xxhash64(z.k, 99)), z -> named_struct('c', z.c, 'k', z.k)))"
-    removed = f"flatten(transform(pure, q -> {_put('q.k', '-q.c', m)}))"
-    step = _let(pure, "pure", f"""if(size(pure) = 0, named_struct('cells', s.cells, 'left', s.left, 'right', s.right, 'open', false), named_struct(
-      'cells', {_combine(f'concat(s.cells, {removed})')},
-      'left', s.left + size(filter(pure, q -> q.c = 1)), 'right', s.right + size(filter(pure, q -> q.c = -1)), 'open', true))""")
-    return f"""aggregate(sequence(1, 16), named_struct('cells', {cells}, 'left', 0, 'right', 0, 'open', true), (s, i) ->
-      if(s.open and size(s.cells) > 0, {step}, s), s -> if(size(s.cells) = 0, named_struct('left', s.left, 'right', s.right), cast(null as {_SIDES})))"""
+    """SQL: how many digests only the left and only the right side have, recovered from a difference; null where peeling fails.
+
+    A step takes the digests that are alone in a cell of one table out of all three; it ends when no table has any more."""
+    pure = f"filter(slice(s.cells, (i % 3) * {m} + 1, {m}), z -> abs(z.c) = 1 and z.x = xxhash64(z.k, 99))"
+    pure = f"transform({pure}, z -> named_struct('c', z.c, 'k', z.k, 'x', z.x, 'at', {_at('z.k', m)}))"
+    without = f"transform(s.cells, (z, p) -> aggregate(pure, z, (t, q) -> if(array_contains(q.at, p), named_struct('c', t.c - q.c, 'k', t.k ^ q.k, 'x', t.x ^ q.x), t)))"
+    step = _let(pure, "pure", f"""if(size(pure) = 0, named_struct('cells', s.cells, 'left', s.left, 'right', s.right, 'idle', s.idle + 1), named_struct(
+      'cells', {without}, 'left', s.left + size(filter(pure, q -> q.c = 1)), 'right', s.right + size(filter(pure, q -> q.c = -1)), 'idle', 0))""")
+    return f"""aggregate(sequence(0, 14), named_struct('cells', {cells}, 'left', 0, 'right', 0, 'idle', 0), (s, i) -> if(s.idle >= 3, s, {step}),
+      s -> if(exists(s.cells, z -> z.c <> 0 or z.k <> 0 or z.x <> 0), cast(null as {_SIDES}), named_struct('left', s.left, 'right', s.right)))"""
 
 
 def _larger(a: str, b: str) -> str:
     """SQL: the same from larger sketches of the digests a and b, one for each pair of residues."""
-    difference = _combine(f"flatten(concat(transform(a2, q -> {_put('q', '1', 'm')}), transform(b2, q -> {_put('q', '-1', 'm')})))")
     # As long as nothing is found, twice the cells; the sums are those of two sketches and their difference.
-    again = f"aggregate(sequence(0, {GROWTH - 1}), cast(null as {_SIDES}), (found, i) -> if(found is not null, found, {_let(f'{BASE} * cast(pow(2, i) as int)', 'm', peel(difference, 'm'))}))"
-    one = f"coalesce({again}, named_struct('left', size(array_except(a2, b2)), 'right', size(array_except(b2, a2))))"
+    items = f"concat({_items('a2', 1, 'm')}, {_items('b2', -1, 'm')})"
+    attempt = _let(f"shiftleft({LEAST}, i)", "m", peel(_let(items, "items", sketch("items", "m")), "m"))
+    again = f"aggregate(sequence(0, {GROWTH - 1}), cast(null as {_SIDES}), (found, i) -> if(found is not null, found, {attempt}))"
+    one = f"if(size(a2) + size(b2) = 0, named_struct('left', 0, 'right', 0), coalesce({again}, named_struct('left', size(array_except(a2, b2)), 'right', size(array_except(b2, a2)))))"
     part = lambda keys, residue, i: f"filter({keys}, k -> pmod({residue}, g) = {i})"
     inner = _let(part("a1", "shiftright(k, 12)", "j"), "a2", _let(part("b1", "shiftright(k, 12)", "j"), "b2", one))
     outer = _let(part(a, "k", "i"), "a1", _let(part(b, "k", "i"), "b1", f"transform(sequence(0, g - 1), j -> {inner})"))
@@ -104,7 +100,8 @@ def likeness(a_keys: str, a_sketch: str, b_keys: str, b_sketch: str) -> Column:
 
 
 def as_text(cells: str) -> str:
-    return f"array_join(transform({cells}, z -> concat(hex(z.p), ':', z.c, ':', hex(z.k))), ',')"
+    """SQL: a fingerprint's cells in use, with their places."""
+    return f"array_join(filter(transform({cells}, (z, p) -> if(z.c > 0, concat(hex(p), ':', z.c, ':', hex(z.k)), '')), z -> z <> ''), ',')"
 
 
 def with_next(docs: DataFrame, ranges: int = 256, rows: int = 4000) -> DataFrame:

@@ -95,3 +95,22 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
         y = x.agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name))
         out = y if out is None else out.unionByName(y)
     return out
+
+
+def mapping_eval(cases: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(mention, expected_unmapped) against the results of ``mapping.map_product``: each case PASS or FAIL."""
+    x = cases.join(mapped.select("mention", "is_unmapped", "canonical_name", "confidence"), "mention", "left")
+    return x.withColumn("status", F.when(F.col("is_unmapped").eqNullSafe(F.col("expected_unmapped")), "PASS").otherwise("FAIL"))
+
+
+def mapping_summary(results: DataFrame) -> DataFrame:
+    """One row over ``mapping_eval``: cases, passed ones, those expected to be unmapped and how many are, and the gate."""
+    out = F.count_if("expected_unmapped")
+    right = F.count_if(F.col("expected_unmapped") & F.col("is_unmapped"))
+    return results.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "PASS").alias("passed"), out.alias("total_unmapped"), right.alias("unmapped_correct"), (out == right).alias("gate"))
+
+
+def failed_cases(results: DataFrame) -> DataFrame:
+    """What the gates report of each failed case: its language, and the rules that are missing and those that are too many."""
+    x = results.where("not passed")
+    return x.select("case_id", "kind", "language", F.array_except("expected", "got").alias("missing"), F.array_except("got", "expected").alias("unexpected"))

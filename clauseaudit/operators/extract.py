@@ -34,9 +34,12 @@ def _starts(matches: str, gaps: str) -> str:
 def with_citations(clauses: DataFrame) -> DataFrame:
     """``clauses`` with an array column ``citations``; all columns of the input stay."""
     folded = fold_digits(F.col("text"))
-    names = {"_m": 0, "_body": 2, "_num": 3, "_part": 4, "_year": 5}
+    names = {"_body": 2, "_num": 3, "_part": 4, "_year": 5}
     x = clauses.withColumn("_f", folded)
-    x = x.withColumns({n: F.regexp_extract_all("_f", F.lit(CITATION), F.lit(g)) for n, g in names.items()} | {"_gap": F.split("_f", CITATION, -1)})
+    # Two passes over a clause; the groups come from the short matches.
+    x = x.withColumns({"_m": F.regexp_extract_all("_f", F.lit(CITATION), F.lit(0)), "_gap": F.split("_f", CITATION, -1)})
+    group = lambda g: F.transform("_m", lambda m: F.regexp_extract(m, CITATION, g))
+    x = x.withColumns({n: group(g) for n, g in names.items()})
     x = x.withColumn("_s", F.expr(_starts("_m", "_gap")))
     number = "split(trim(c._num), r'(?U:\\s)*-(?U:\\s)*')"
     late = f"c._year = '' and size({number}) > 1 and element_at({number}, -1) rlike '^(19|20)[0-9]{{2}}$'"
@@ -44,7 +47,7 @@ def with_citations(clauses: DataFrame) -> DataFrame:
         'raw', substring(text, c._s + 1, length(c._m)), 'span_start', c._s, 'span_end', c._s + length(c._m),
         'is_number', concat(if(c._body = '', 'IS ', concat('IS/', c._body, ' ')), array_join(if({late}, slice({number}, 1, size({number}) - 1), {number}), '-')),
         'part', nullif(c._part, ''), 'year', try_cast(if({late}, element_at({number}, -1), nullif(c._year, '')) as int)))"""
-    return x.withColumn("citations", F.expr(item)).drop("_f", "_gap", "_s", *names)
+    return x.withColumn("citations", F.expr(item)).drop("_f", "_m", "_gap", "_s", *names)
 
 
 def extract_citations(clauses: DataFrame) -> DataFrame:

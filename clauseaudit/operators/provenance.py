@@ -28,6 +28,7 @@ PROHIBITED_SNIPPETS = (
     "copyright bureau of indian standards",
     "all rights reserved. no part of this publication may be reproduced",
 )
+# Names in a reference that betray copied text.
 EVIDENCE_MARKS = ("full_standard", "standard_text", "is_text")
 
 
@@ -142,3 +143,12 @@ def coverage_report(tables: dict[str, DataFrame]) -> DataFrame:
         ).withColumn("table_name", F.lit(name))
         out = x if out is None else out.unionByName(x)
     return out
+
+
+def coverage_counts(products: DataFrame, standards: DataFrame, maps: DataFrame, certification: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: products, families, standards, mapped pairs, certification rules and links."""
+    n = lambda x, c: x.agg(F.count("*").alias(c))
+    x = products.agg(F.count("*").alias("products"), F.count_distinct("family").alias("families"))
+    for y, c in ((standards, "standards"), (maps, "maps"), (certification, "certification_rules"), (links, "links")):
+        x = x.join(n(y, c))  # rows of one each
+    return x

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseaudit.operators.rules import Facts
+
 
 def latest(x: DataFrame, keys: list[str], ts: str = "ts", *ties: str) -> DataFrame:
     """The last row of each key."""
@@ -65,6 +68,37 @@ def recent(x: DataFrame, order: list[str], limit: int = 50, offset: int = 0) ->
     return x.orderBy(*[F.desc(c) for c in order]).offset(offset).limit(limit)
 
 
+def page(x: DataFrame, columns: list[str], key: str = "id", offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of a table's public columns in order of its key; the limit is the feature."""
+    return x.select(*columns).orderBy(key).offset(offset).limit(limit)
+
+
+def get_by_id(x: DataFrame, value: object, key: str = "id") -> DataFrame:
+    """The row with an id (none if it does not exist)."""
+    return x.where(F.col(key) == F.lit(value))
+
+
+def finding_filter(findings: DataFrame, severity: str = "ALL", clause_id: str | None = None) -> DataFrame:
+    """Findings of a severity (or all), of one clause if it is given."""
+    x = findings if severity == "ALL" else findings.where(F.col("severity") == severity)
+    return x if clause_id is None else x.where(F.col("clause_id") == clause_id)
+
+
+def recent_audit_logs(log: DataFrame, limit: int = 100, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The newest log rows; at most 500."""
+    return recent(log, ["ts", *ties], min(limit, 500))
+
+
+def terms_sorted(terms: DataFrame) -> DataFrame:
+    return terms.orderBy("term")
+
+
+def edited_clause_findings(findings: DataFrame, edited: DataFrame, facts: Facts, evaluate: Callable[[Facts], DataFrame]) -> DataFrame:
+    """Findings after officers' edits of clauses (doc_id, clause_id): the edited clauses alone are evaluated again (``evaluate`` of ``facts``
+    with their new extractions), and their findings replaced."""
+    return replace_clause_findings(findings, edited, evaluate(facts).join(edited.select("doc_id", "clause_id").distinct(), ["doc_id", "clause_id"], "left_semi"))
+
+
 def findings_with_clause_text(findings: DataFrame, clauses: DataFrame) -> DataFrame:
     """Findings with their clause's snippet and the report's defaults."""
     from clauseaudit.functions.text import snippet

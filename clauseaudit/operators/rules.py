@@ -145,10 +145,10 @@ def _r08_rows(f: Facts) -> DataFrame:
     dim = links.select(F.col("source_standard_id").alias("std_id"), F.struct(*links.columns).alias("link")).join(target, F.col("link.target_standard_id") == F.col("_t"))
     dim = dim.withColumn("allied_base", base_number(F.col("allied")))
     scope = ["doc_id"] if f.document_scope else list(KEY)
-    x = _known(f).withColumn("std_id", F.col("std.id")).join(dim, "std_id")
-    for number in ("allied_base", "allied"):
-        x = x.join(f.cited.withColumnRenamed("number", number), [*scope, number], "left_anti")
-    return x
+    x = _known(f).withColumn("std_id", F.col("std.id")).join(dim, "std_id").withColumn("link_id", F.col("link.id"))
+    # Links whose target is cited, by either of its numbers: one anti-join over the few citations of targets.
+    numbers = dim.select(F.col("link.id").alias("link_id"), F.explode(F.array("allied", "allied_base")).alias("number"))
+    return x.join(f.cited.join(numbers, "number").select(*scope, "link_id").distinct(), [*scope, "link_id"], "left_anti")
 
 
 def r08_allied_absent(f: Facts) -> DataFrame:
@@ -223,7 +223,7 @@ def shared(f: Facts) -> Facts:
 
 
 def evaluate(f: Facts, rules: tuple[str, ...]) -> DataFrame:
-    if len(rules) > 1:
+    if len(rules) > 1 or rules[0] in ("R08", "R11"):  # these read the citations twice
         f = shared(f)
     out = RULES[rules[0]](f)
     for r in rules[1:]:

@@ -119,11 +119,11 @@ def mentions_certification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.mentions_certification(F.col("html")).alias("mentions"), T.cache_key(F.trim("html"), F.lit("v1"), F.lit("m")).alias("key"))
 
 
-@query("SELECT doc_id, phrase, span_start, CAST(span_start + length(phrase) AS INT) AS span_end FROM (SELECT doc_id, 'the' AS phrase, CAST(strpos(text, 'the') - 1 AS INT) AS span_start FROM documents WHERE contains(text, 'the'))")
+@query("WITH d AS (SELECT doc_id, replace(replace(text, ' and ', ' ISI quality '), ' of ', ' as per BIS ') AS t FROM documents), s AS (SELECT doc_id, phrase, string_split(t, phrase) AS parts FROM d, (VALUES ('the'), ('ISI quality'), ('as per BIS')) AS p(phrase)), u AS (SELECT *, unnest(range(1, len(parts))) AS i FROM s) SELECT doc_id, phrase, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(phrase) AS INT) AS span_start, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + i * length(phrase) AS INT) AS span_end FROM u")
 def extract_vague(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First occurrence of a pattern in each document; all occurrences are found, the first is compared."""
-    x = extract.extract_vague(table(spark, sf_dir, "documents").select("doc_id", "text"), ("(?-i)the",))
-    return x.where("hit_no = 0").select("doc_id", "phrase", "span_start", "span_end")
+    """All occurrences of all patterns, and of one more, in documents of which two common words are replaced by vague wording."""
+    x = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace("text", F.lit(" and "), F.lit(" ISI quality ")), F.lit(" of "), F.lit(" as per BIS ")).alias("text"))
+    return extract.extract_vague(x, (*extract.VAGUE_PATTERNS, "(?-i)the")).select("doc_id", "phrase", "span_start", "span_end")
 
 
 @query("WITH x AS (SELECT l_orderkey % 1000 AS k, l_partkey, l_suppkey, l_linenumber, 'IS ' || (10000 + l_partkey) || ': 2010' AS raw, CASE WHEN l_suppkey % 5 = 0 THEN 1999 ELSE 2010 END AS year, CASE WHEN l_linenumber % 2 = 0 THEN 4 ELSE 3 END AS s FROM lineitem) SELECT count(*) FILTER (s = 4 AND contains(raw, CAST(year AS VARCHAR))) AS kept, count(*) FILTER (NOT (s = 4 AND contains(raw, CAST(year AS VARCHAR)))) AS dropped, count(*) FILTER (s = 4 AND NOT contains(raw, CAST(year AS VARCHAR))) AS invented FROM x")
@@ -174,7 +174,7 @@ def upload_safety_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 6
     name = F.element_at(F.array(*map(F.lit, ("/a.txt", "/a.PDF", "/a.pdf", "/a.exe", "/a.docx", "/b.txt"))), (k + 1).cast("int"))
     head = F.when(k == 2, "%PDF-").when(k == 4, "MZ").otherwise("x")
-    content = F.when(k == 5, "").otherwise(F.concat(head, "html"))
+    content = F.when(k == 5, "").otherwise(F.concat(head, F.coalesce("html", F.lit(""))))
     return io.upload_safety_gate(table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), name).alias("path"), content.cast("binary").alias("content")))
 
 
@@ -296,6 +296,23 @@ def product_rules_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", "canonical_name", F.coalesce(F.size("rules"), F.lit(0)).cast("long").alias("n_rules"), F.coalesce(F.array_join(F.transform("rules", lambda z: z["instrument"]), ";"), F.lit("")).alias("instruments"))
 
 
+@query(f"SELECT id, canonical_name, family FROM ({bindings.PRODUCTS}) ORDER BY id LIMIT 4 OFFSET 2")
+def list_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the products of the catalogue."""
+    return review.page(bindings.reference(spark, sf_dir).products, ["id", "canonical_name", "family"], offset=2, limit=4)
+
+
+@query(f"SELECT id, is_number, status FROM ({_STD}) WHERE id = 21")
+def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.get_by_id(bindings.sql(spark, sf_dir, bindings.STANDARDS), 21).select("id", "is_number", "status")
+
+
+@query(f"SELECT (SELECT count(*) FROM ({bindings.PRODUCTS})) AS products, (SELECT count(DISTINCT family) FROM ({bindings.PRODUCTS})) AS families, (SELECT count(*) FROM ({_STD})) AS standards, (SELECT count(*) FROM ({bindings.MAPS.format(part='part')})) AS maps, (SELECT count(*) FROM ({bindings.CERTIFICATION.format(part='part')})) AS certification_rules, (SELECT count(*) FROM ({bindings.LINKS.format(part='part')})) AS links")
+def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = bindings.reference(spark, sf_dir)
+    return provenance.coverage_counts(r.products, r.standards, r.maps, r.certification_rules, r.links)
+
+
 # Review: events as the log of actions
 
 
@@ -350,6 +367,17 @@ def recent_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.recent(_events(spark, sf_dir).select("event_id", "ts"), ["ts", "event_id"], 100, 10)
 
 
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+def recent_audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest log rows: more are asked for than are given."""
+    return review.recent_audit_logs(_events(spark, sf_dir).select("event_id", "ts"), 2000, ("event_id",))
+
+
+@query("SELECT p_partkey AS id, p_name AS term FROM part ORDER BY term")
+def vague_terms_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.terms_sorted(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("term")))
+
+
 @query("SELECT coalesce(b.p_partkey, a.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS action FROM (SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 <> 0) a RIGHT JOIN (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE p_name END AS p_name, p_size FROM part) b USING (p_partkey) WHERE a.p_partkey IS NULL OR a.p_name IS DISTINCT FROM b.p_name")
 def row_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
@@ -402,6 +430,25 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics(_results(spark, sf_dir))
 
 
+@query(f"SELECT case_id, kind, language, array_to_string(list_filter(expected, lambda e: NOT list_contains(got, e)), ';') AS missing, array_to_string(list_filter(got, lambda g: NOT list_contains(expected, g)), ';') AS unexpected FROM ({_RES}) WHERE NOT passed")
+def failed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details of the cases that the gates fail."""
+    return evaluate.failed_cases(_results(spark, sf_dir)).withColumns({"missing": F.array_join("missing", ";"), "unexpected": F.array_join("unexpected", ";")})
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS case_id, lang AS language, CASE WHEN toxic = 1 THEN 'R09' END AS expected_rules, CAST(length(text) AS INT) AS n, md5(text) AS clause_md5 FROM labels JOIN documents USING (doc_id) WHERE text <> ''")
+def scan_eval_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents written as the cases' CSV, with their quotes, commas and line breaks, and read again."""
+    import tempfile
+    import uuid
+
+    x = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where("text <> ''")
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/cases-{uuid.uuid4().hex}"
+    io.write_eval_corpus(x.select(F.col("doc_id").cast("string").alias("case_id"), F.col("lang").alias("language"), F.lit("defect").alias("kind"), F.col("text").alias("clause"), F.when(F.col("toxic") == 1, "R09").alias("expected_rules"), F.lit("a, \"b\"").alias("notes")), folder)
+    y = io.scan_eval_corpus(spark, folder).where(F.col("notes") == 'a, "b"')
+    return y.select("case_id", "language", "expected_rules", F.length("clause").alias("n"), F.md5("clause").alias("clause_md5"))
+
+
 @query(f"SELECT language, count(*) FILTER (passed) AS passed, count(*) AS total, count(*) FILTER (passed) / count(*) AS rate, CASE WHEN count(*) FILTER (passed) / count(*) >= 0.9 THEN 'SUPPORTED' ELSE 'NOT_SUPPORTED' END AS status, printf('%d of %d (%.1f%%)', count(*) FILTER (passed), count(*), 100.0 * count(*) FILTER (passed) / count(*)) AS summary FROM ({_RES}) GROUP BY 1")
 def language_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.language_quality_gate(_results(spark, sf_dir))
@@ -467,12 +514,10 @@ def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import tempfile
     import uuid
 
-    from pyspark.sql.types import StructField, StructType, TimestampType
-
     from clauseaudit.streaming import intake
 
     docs = table(spark, sf_dir, "documents")
-    schema = StructType([*docs.select("doc_id", "text").schema.fields, StructField("intake_ts", TimestampType())])
+    schema = docs.select("doc_id", "text").schema
     terms = spark.sql("SELECT id, term, '' AS explanation FROM VALUES (1, 'license'), (2, 'copyright') AS t(id, term)")
     folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseaudit.operators import diff, evaluate, mapping, rules
+from clauseaudit.operators import diff, evaluate, mapping, review, rules
 from clauseaudit.operators.extract import extract_citations, match_vague_terms
-from clauseaudit.operators.rules import Facts
 from clauseaudit.sources import bindings
 from clauseaudit.sources.bindings import facts
 
@@ -22,7 +23,7 @@ def flat(x: DataFrame) -> DataFrame:
 
 def _rule(rule: str, doc: str = "l_orderkey"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flat(rules.RULES[rule](facts(spark, sf_dir, doc)))
+        return flat(rules.evaluate(facts(spark, sf_dir, doc), (rule,)))
 
     return query
 
@@ -79,26 +80,47 @@ def cited_number_set_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).cited
 
 
-def _r2_r4(f: Facts) -> DataFrame:
-    return rules.evaluate(f, ("R02", "R03", "R04"))
-
-
 def severity_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.severity_counts(_r2_r4(facts(spark, sf_dir)), ["doc_id"])
+    return evaluate.severity_counts(rules.evaluate_documents(facts(spark, sf_dir, MANY)), ["doc_id"])
 
 
 def audit_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
-    return evaluate.audit_summary(f.clauses, _r2_r4(f))
+    f = facts(spark, sf_dir, MANY)
+    return evaluate.audit_summary(f.clauses, rules.evaluate_documents(f))
 
 
 def fired_rules_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _r2_r4(facts(spark, sf_dir)).withColumnRenamed("doc_id", "case_id")
+    x = rules.evaluate_documents(facts(spark, sf_dir, MANY)).withColumnRenamed("doc_id", "case_id")
     return evaluate.fired_rules(x).select("case_id", F.array_join("got", ";").alias("got"))
 
 
 def evidence_completeness_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.evidence_completeness(_r2_r4(facts(spark, sf_dir)))
+    return evaluate.evidence_completeness(rules.evaluate_documents(facts(spark, sf_dir, MANY)))
+
+
+def finding_filter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of all rules."""
+    return flat(review.finding_filter(rules.evaluate_documents(facts(spark, sf_dir, MANY)), "ERROR")).drop("span_start", "span_end")
+
+
+def mapping_eval_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names whose last noun is (or is not) a product, and how they are mapped."""
+    cases = bindings.sql(spark, sf_dir, f"SELECT DISTINCT p_name AS mention, {bindings.NOUN} NOT IN (SELECT canonical_name FROM ({bindings.PRODUCTS})) AS expected_unmapped FROM {{part}}")
+    mapped = mapping.map_product(cases.select("mention"), bindings.reference(spark, sf_dir).products)
+    return evaluate.mapping_eval(cases, mapped).select("mention", "expected_unmapped", "is_unmapped", "status")
+
+
+def mapping_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.mapping_summary(mapping_eval_q(spark, sf_dir))
+
+
+def edited_clauses_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every fifth part's clauses the year of the citations is struck out: those clauses are evaluated again."""
+    f = facts(spark, sf_dir)
+    some = ("R02", "R03", "R04", "R05")
+    edited = f.clauses.where("part_key % 5 = 0").select("doc_id", "clause_id")
+    new = dataclasses.replace(f, resolved=f.resolved.withColumn("year", F.lit(None).cast(f.resolved.schema["year"].dataType)))
+    return flat(review.edited_clause_findings(rules.evaluate(f, some), edited, new, lambda g: rules.evaluate(g, some))).select("doc_id", "clause_id", "rule_id", "row_id")
 
 
 def _drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +159,7 @@ QUERIES = {f"rule_{r.lower()}_{n}": _rule(r, d) for r, n, d in (
     "extract_citations": extract_citations_q, "resolve_standard": resolve_standard_q, "resolve_standard_strict": lambda s, d: resolve_standard_q(s, d, False), "suggest_near": suggest_near_q,
     "match_vague_terms": match_vague_q, "map_product": map_product_q, "resolve_product": resolve_product_q, "used_rows": used_rows_q, "evaluate_documents": evaluate_documents_q, "evaluate_clauses": evaluate_clauses_q,
     "cited_number_set": cited_number_set_q, "severity_counts": severity_counts_q, "audit_summary": audit_summary_q, "fired_rules": fired_rules_q, "eval_evidence_completeness": evidence_completeness_q,
-    "clause_diff": clause_diff_q, "finding_diff": finding_diff_q, "diff_summary": diff_summary_q,
+    "finding_filter": finding_filter_q, "mapping_eval": mapping_eval_q, "mapping_summary": mapping_summary_q, "edited_clauses": edited_clauses_q, "clause_diff": clause_diff_q, "finding_diff": finding_diff_q, "diff_summary": diff_summary_q,
 }
 
 
@@ -213,8 +235,9 @@ def _all(doc: str, drop: tuple[str, ...] = ()) -> str:
     return f"{_views(doc)} SELECT rule_id, severity, count(*) AS n, count(DISTINCT (doc_id, clause_id)) AS n_clauses FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
 
 
-def _r2_r4_sql() -> str:
-    return " UNION ALL ".join(_branches("l_orderkey")[r].removeprefix(_views()) for r in ("R02", "R03", "R04"))
+def _every(doc: str = MANY, some: tuple[str, ...] | None = None) -> str:
+    """Findings of all (or some) rules, without the shared views."""
+    return " UNION ALL ".join(x.removeprefix(_views(doc)) for r, x in _branches(doc).items() if some is None or r in some)
 
 
 _A = "a AS (SELECT * FROM cl), b AS (SELECT doc_id, clause_id, ordinal, part_key, CASE WHEN part_key % 5 = 0 THEN text || ' Revised.' ELSE text END AS text FROM cl WHERE part_key % 7 <> 0)"
@@ -244,8 +267,16 @@ SELECT mention, CASE WHEN score >= 0.75 THEN id END AS product_id, CASE WHEN sco
 def oracle() -> dict[str, str]:
     own, many = _branches("l_orderkey"), _branches(MANY)
     out = {q: (many if q.startswith("rule_r11") else own)[q[5:8].upper()] for q in QUERIES if q.startswith("rule_r")}
-    v = _views()
+    v, m = _views(), _views(MANY)
+    noun = f"SELECT DISTINCT p_name AS mention, {bindings.NOUN} NOT IN (SELECT canonical_name FROM ({bindings.PRODUCTS})) AS expected_unmapped FROM part"
+    cases = f"SELECT mention, expected_unmapped, is_unmapped, CASE WHEN is_unmapped = expected_unmapped THEN 'PASS' ELSE 'FAIL' END AS status FROM ({noun}) JOIN ({_MAP_PRODUCT}) USING (mention)"
+    four = "doc_id, clause_id, rule_id, row_id"
+    struck = _every("l_orderkey", ("R02", "R04", "R05"))  # no year, no finding of R03
     return out | {
+        "finding_filter": f"{m} SELECT doc_id, clause_id, rule_id, severity, message_en, row_id, url, verified_on FROM ({_every()}) WHERE severity = 'ERROR'",
+        "mapping_eval": cases,
+        "mapping_summary": f"SELECT count(*) AS total, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (expected_unmapped) AS total_unmapped, count(*) FILTER (expected_unmapped AND is_unmapped) AS unmapped_correct, count(*) FILTER (expected_unmapped) = count(*) FILTER (expected_unmapped AND is_unmapped) AS gate FROM ({cases})",
+        "edited_clauses": f"{v}, ed AS (SELECT doc_id, clause_id FROM cl WHERE part_key % 5 = 0) SELECT {four} FROM ({_every('l_orderkey', ('R02', 'R03', 'R04', 'R05'))}) ANTI JOIN ed USING (doc_id, clause_id) UNION ALL SELECT {four} FROM ({struck}) SEMI JOIN ed USING (doc_id, clause_id)",
         "extract_citations": f"{v} SELECT doc_id, clause_id, 0 AS cit_no, raw, span_start, span_end, is_number, part, year FROM cite",
         "resolve_standard": f"{v} SELECT doc_id, clause_id, is_number, is_number AS base_number, sid AS standard_id, snum AS resolved_number FROM res",
         "resolve_standard_strict": f"{v} SELECT c.doc_id, c.clause_id, c.is_number, c.is_number AS base_number, s.id AS standard_id, s.is_number AS resolved_number FROM cite c LEFT JOIN std s ON s.is_number = c.is_number",
@@ -256,10 +287,10 @@ def oracle() -> dict[str, str]:
         "used_rows": f"{v} SELECT * FROM {_USED}",
         "evaluate_documents": _all(MANY), "evaluate_clauses": _all("l_orderkey", ("R11",)).replace("x.doc_id = r.doc_id AND x.is_number IN", "x.doc_id = r.doc_id AND x.clause_id = r.clause_id AND x.is_number IN"),
         "cited_number_set": f"{v} SELECT DISTINCT doc_id, is_number AS number FROM cite",
-        "severity_counts": f"{v} SELECT doc_id, count(*) FILTER (severity = 'ERROR') AS error, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFO') AS info, count(*) FILTER (severity = 'CANNOT_VERIFY') AS cannot_verify FROM ({_r2_r4_sql()}) GROUP BY 1",
-        "audit_summary": f"{v} SELECT doc_id, total_clauses, coalesce(total_findings, 0) AS total_findings FROM (SELECT doc_id, count(*) AS total_clauses FROM cl GROUP BY 1) LEFT JOIN (SELECT doc_id, count(*) AS total_findings FROM ({_r2_r4_sql()}) GROUP BY 1) USING (doc_id)",
-        "fired_rules": f"{v} SELECT doc_id AS case_id, string_agg(DISTINCT rule_id, ';' ORDER BY rule_id) AS got FROM ({_r2_r4_sql()}) GROUP BY 1",
-        "eval_evidence_completeness": f"{v} SELECT count(*) FILTER (url IS NOT NULL OR verified_on IS NOT NULL) AS complete, count(*) AS total FROM ({_r2_r4_sql()})",
+        "severity_counts": f"{m} SELECT doc_id, count(*) FILTER (severity = 'ERROR') AS error, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFO') AS info, count(*) FILTER (severity = 'CANNOT_VERIFY') AS cannot_verify FROM ({_every()}) GROUP BY 1",
+        "audit_summary": f"{m} SELECT doc_id, total_clauses, coalesce(total_findings, 0) AS total_findings FROM (SELECT doc_id, count(*) AS total_clauses FROM cl GROUP BY 1) LEFT JOIN (SELECT doc_id, count(*) AS total_findings FROM ({_every()}) GROUP BY 1) USING (doc_id)",
+        "fired_rules": f"{m} SELECT doc_id AS case_id, string_agg(DISTINCT rule_id, ';' ORDER BY rule_id) AS got FROM ({_every()}) WHERE rule_id <> 'R14' GROUP BY 1",
+        "eval_evidence_completeness": f"{m} SELECT count(*) FILTER (url IS NOT NULL OR verified_on IS NOT NULL) AS complete, count(*) AS total FROM ({_every()}) WHERE rule_id IN ('R02', 'R03', 'R04', 'R05', 'R06', 'R07', 'R08', 'R13')",
         "clause_diff": f"{v}, {_A}, {_CDIFF} SELECT * FROM cd", "finding_diff": f"{v}, {_A}, {_FDIFF} SELECT * FROM fd",
         "diff_summary": f"{v}, {_A}, {_CDIFF}, {_FDIFF} SELECT (SELECT count(*) FILTER (change = 'added') FROM cd) AS added_clauses, (SELECT count(*) FILTER (change = 'removed') FROM cd) AS removed_clauses, (SELECT count(*) FILTER (change = 'modified') FROM cd) AS modified_clauses, (SELECT count(*) FILTER (change = 'unchanged') FROM cd) AS unchanged_clauses, (SELECT count(*) FILTER (change = 'added') FROM fd) AS added_findings, (SELECT count(*) FILTER (change = 'resolved') FROM fd) AS resolved_findings, (SELECT count(*) FILTER (change = 'retained') FROM fd) AS retained_findings, (SELECT count(*) FROM fa) AS total_a, (SELECT count(*) FROM fb) AS total_b",
     }

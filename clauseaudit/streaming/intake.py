@@ -5,16 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
 def stream_audit(spark: SparkSession, source: str, schema: StructType, audit: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Read Parquet files of documents (doc_id, text, intake_ts) as they appear and append each batch's findings to ``sink``.
+    """Read Parquet files of documents (doc_id, text, intake_ts) as they appear and append each batch's findings to ``sink``.  Without an
+    intake_ts the time is that of the file's last change.
 
     A document that arrives again within the delay is taken once.  A document is one row, so document-scope rules see all of it
     in one batch.  A batch overwrites its own folder when it is run again after a failure, so findings appear once."""
-    docs = spark.readStream.schema(schema).parquet(source).withWatermark("intake_ts", delay).dropDuplicatesWithinWatermark(["doc_id"])
+    docs = spark.readStream.schema(schema).parquet(source)
+    if "intake_ts" not in schema.names:
+        docs = docs.withColumn("intake_ts", F.col("_metadata.file_modification_time"))
+    docs = docs.withWatermark("intake_ts", delay).dropDuplicatesWithinWatermark(["doc_id"])
 
     def write(batch: DataFrame, number: int) -> None:
         audit(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")

@@ -85,3 +85,22 @@ def test_append_and_reports(spark, tmp_path):
     assert r.has_banner and '"total_findings":1' in r.report
     row = io.csv_report(f.withColumns({"finding_id": F.lit("f"), "span_end": F.lit(None).cast("int"), "url": F.lit(None).cast("string"), "verified_on": F.lit("x")})).first()
     assert row.url == "" and list(row.asDict()) == list(io.CSV_COLUMNS)
+
+
+def test_eval_corpus_round_trip(spark, tmp_path):
+    rows = [("1", "en", "clean", 'a, "quoted"\nline', "R01;R02", None), ("2", "hi", "defect", "लैपटॉप", None, "n")]
+    io.write_eval_corpus(spark.createDataFrame(rows, "case_id string, language string, kind string, clause string, expected_rules string, notes string"), str(tmp_path / "c"))
+    assert sorted(map(tuple, io.scan_eval_corpus(spark, str(tmp_path / "c")).collect())) == rows
+
+
+def test_audit_and_restore_reports(spark, tmp_path):
+    f = spark.createDataFrame([("d", "c1", "R01", "INFO", None, "m")], "doc_id string, clause_id string, rule_id string, severity string, span_start int, message_en string")
+    a = spark.createDataFrame([("d", "u", datetime.datetime(2026, 1, 1))], "doc_id string, user_id string, ts timestamp")
+    log = io.append_audit(f, str(tmp_path / "f"), "2026-01-01", a, f.select("doc_id", "clause_id")).collect()
+    assert [(r.action, r.record_id) for r in log] == [("CREATE_AUDIT", "d")] and spark.read.parquet(str(tmp_path / "f_clauses")).count() == 1
+    t = spark.range(5)
+    io.snapshot_tables({"t": t}, str(tmp_path / "s"), "2")
+    assert spark.read.parquet(str(tmp_path / "s/_manifest_rows")).first().app_version == "2"
+    assert io.rows_restored(spark, str(tmp_path / "s"), {"t": t.where("id < 3")}, {"t": ["id"]}).first().rows_restored == 2
+    files = io.ingest_limits(spark.createDataFrame([("a", 10, 1), ("b", 10, 500)], "doc_id string, n_bytes long, page_count int"))
+    assert [tuple(r) for r in io.ingest_errors(files).collect()] == [("b", "too many pages")]

@@ -18,6 +18,7 @@ def cites(spark, *texts):
 
 
 def test_citations(spark):
+    # Citations and their parts.
     got = cites(spark, "conform to IS 13252 (Part 1): 2010.", "IS/IEC 62368 Part 1: 2023", "IS 302-2-25", "IS 13252-2010", "लैपटॉप IS १३२५२ (भाग १): २०१०", "this is 2010 units and ISO 9001", None, "")
     rows = [(r.clause_id, r.raw, r.is_number, r.part, r.year) for r in got]
     assert rows[0] == (0, "IS 13252 (Part 1): 2010", "IS 13252", "1", 2010)
@@ -119,3 +120,21 @@ def test_percentiles_and_gate(spark):
     fired = spark.createDataFrame([("c1", "R06"), ("c1", "R05"), ("c1", "R14"), ("c3", "R10")], "case_id string, rule_id string")
     m = evaluate.metrics(evaluate.case_results(cases, evaluate.fired_rules(fired))).first()
     assert (m.planted, m.caught, m.false_alarms, m.abstained, m.gate) == (2, 2, 0, 1, True)
+
+
+def test_mapping_eval(spark):
+    cases = spark.createDataFrame([("3 ring", False), ("solar kiln", True), ("rings", True)], "mention string, expected_unmapped boolean")
+    products = spark.createDataFrame([(1, "ring", "f", '["rings"]', "[]")], PRODUCT)
+    x = evaluate.mapping_eval(cases, mapping.map_product(cases, products))
+    assert {r.mention: r.status for r in x.collect()} == {"3 ring": "PASS", "solar kiln": "PASS", "rings": "FAIL"}
+    assert evaluate.mapping_summary(x).first().asDict() == {"total": 3, "passed": 2, "total_unmapped": 2, "unmapped_correct": 1, "gate": False}
+
+
+def test_lookups_and_filters(spark):
+    f = spark.createDataFrame([("c1", "ERROR"), ("c1", "INFO"), ("c2", "ERROR")], "clause_id string, severity string")
+    assert review.finding_filter(f).count() == 3 and review.finding_filter(f, "ERROR").count() == 2 and review.finding_filter(f, "ERROR", "c2").count() == 1
+    t = spark.range(10).withColumn("v", F.lit("x"))
+    assert review.get_by_id(t, 3).count() == 1 and review.get_by_id(t, 99).count() == 0
+    assert [r.id for r in review.page(t, ["id"], offset=4, limit=3).collect()] == [4, 5, 6]
+    log = spark.range(600).select(F.col("id").cast("timestamp").alias("ts"))
+    assert review.recent_audit_logs(log).count() == 100 and review.recent_audit_logs(log, 9999).count() == 500

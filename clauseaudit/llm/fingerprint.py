@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASE = 4  # cells of each of a fingerprint's three tables
-EACH, LEAST = 4, 2  # of larger sketches: digests of both sides for each, and cells of its tables at first
+EACH, LEAST = 6, 4  # of larger sketches: digests of both sides for each, and cells of its tables at first
 GROWTH = 5
 _SIDES = "struct<left:int,right:int>"
 
@@ -74,7 +74,7 @@ def peel(cells: str, m: str) -> str:
     without = f"transform(s.cells, (z, p) -> aggregate(pure, z, (t, q) -> if(array_contains(q.at, p), named_struct('c', t.c - q.c, 'k', t.k ^ q.k, 'x', t.x ^ q.x), t)))"
     step = _let(pure, "pure", f"""if(size(pure) = 0, named_struct('cells', s.cells, 'left', s.left, 'right', s.right, 'idle', s.idle + 1), named_struct(
       'cells', {without}, 'left', s.left + size(filter(pure, q -> q.c = 1)), 'right', s.right + size(filter(pure, q -> q.c = -1)), 'idle', 0))""")
-    return f"""aggregate(sequence(0, 14), named_struct('cells', {cells}, 'left', 0, 'right', 0, 'idle', 0), (s, i) -> if(s.idle >= 3, s, {step}),
+    return f"""aggregate(sequence(0, 8), named_struct('cells', {cells}, 'left', 0, 'right', 0, 'idle', 0), (s, i) -> if(s.idle >= 3, s, {step}),
       s -> if(exists(s.cells, z -> z.c <> 0 or z.k <> 0 or z.x <> 0), cast(null as {_SIDES}), named_struct('left', s.left, 'right', s.right)))"""
 
 
@@ -130,13 +130,14 @@ def with_next(docs: DataFrame, ranges: int = 256, rows: int = 4000) -> DataFrame
     row = F.struct(F.col("text").alias("next_text"), F.col("keys").alias("next_keys"))
     x = x.select("doc_id", "text", "keys", "_q", "_range", F.lead(row).over(w).alias("_lead"), F.row_number().over(w).alias("_n"))
     # Heads of the ranges, one small row each; and of the quantiles, whose number is fixed, the next one's first range.
-    heads = x.where("_n = 1").select("_q", "_range", F.struct(F.col("text").alias("next_text"), F.col("keys").alias("next_keys")).alias("_head"))
+    heads = x.where("_n = 1").select("_q", "_range", "text")
     tops = heads.groupBy("_q").agg(F.max("_range").alias("_top"))
     down = Window.orderBy(F.desc("_q"))
     tops = tops.select("_q", F.coalesce(F.lead(F.struct("_q", "_top")).over(down), F.first(F.struct("_q", "_top")).over(down)).alias("_then"))
     following = F.lead(F.struct("_q", F.col("_range").alias("_top"))).over(Window.partitionBy("_q").orderBy(F.desc("_range")))
     after = heads.select("_q", "_range", following.alias("_following")).join(tops, "_q").select("_q", "_range", F.coalesce("_following", "_then").alias("_then"))
-    after = after.select("_q", "_range", F.col("_then._q").alias("_tq"), F.col("_then._top").alias("_tr")).join(heads.select(F.col("_q").alias("_tq"), F.col("_range").alias("_tr"), "_head"), ["_tq", "_tr"]).select("_q", "_range", "_head")
+    after = after.select("_q", "_range", F.col("_then._q").alias("_tq"), F.col("_then._top").alias("_tr")).join(heads.select(F.col("_q").alias("_tq"), F.col("_range").alias("_tr"), "text"), ["_tq", "_tr"])
+    after = after.select("_q", "_range", F.struct(F.col("text").alias("next_text"), F.expr(paragraphs("text")).alias("next_keys")).alias("_head"))
     return x.join(after, ["_q", "_range"]).withColumn("_lead", F.coalesce("_lead", "_head")).select("doc_id", "text", "keys", "_lead.*")
 
 

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from clauseaudit.llm import byte_bpe, mixing, ngram_join, substring_dedup, toxicity
-from clauseaudit.llm.common import cut, read_documents
+from clauseaudit.llm.common import Scratch, read_documents
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
-    docs = read_documents(spark, sf_dir)
+    docs, scratch = read_documents(spark, sf_dir), Scratch(spark)
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.cut(stage(spark, docs, sf_dir))
+        if len(scratch.held) > 1:
+            scratch.free(before)
     return STAGES[-1][1](spark, docs, sf_dir)

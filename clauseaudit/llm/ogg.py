@@ -162,7 +162,7 @@ def payload_of(text: bytes) -> bytes:
 
 def store(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """One row per document: sizes, digests of the payload read back and of the media, and a feature string
-    (pages, packets, streams, duration, mean and roughness of the samples).  ``keep_media`` adds the media.
+    (pages, packets, streams, duration and mean of the samples).  ``keep_media`` adds the media.
     """
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     if keep_media:

@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     # Unlabelled: any training row, the confirmed ones too, so that its mix is the corpus's.
     ids = rows.select("doc_id").orderBy(order, "doc_id").limit(most_unlabelled).distinct()
     unlabelled = (r["text"] for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(order, "doc_id").limit(most_unlabelled).select("text").toLocalIterator())
-    return fit(positive, unlabelled, min(max(prior, 1e-4), 0.5))
+    return fit(positive, unlabelled, min(max(prior, 1e-4), 1 - 1e-4))
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseaudit.llm import byte_bpe, centroids, chat, collocations, fingerprint, language_id, language_model, mixing, ngram_join, ogg, substring_dedup, toxicity
+from clauseaudit.llm import byte_bpe, centroids, chat, collocations, fingerprint, html_text, language_id, language_model, mixing, ngram_join, ogg, substring_dedup, toxicity
 from clauseaudit.llm.common import read_documents
 
 
@@ -64,5 +64,9 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_chat, op4_mixing, op5_lm_score, op6_language_id, op7_fingerprint, op8_toxicity, op9_substring_dedup, op10_media_ogg, op11_collocations, op12_centroids)}
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_chat, op4_mixing, op5_lm_score, op6_language_id, op7_fingerprint, op8_toxicity, op9_substring_dedup, op10_media_ogg, op11_collocations, op12_centroids, op13_html_text)}
 ORACLE: dict[str, str] = {"op3_chat": chat.SQL, "op11_collocations": collocations.SQL, "op12_centroids": centroids.SQL}

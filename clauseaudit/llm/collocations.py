@@ -8,7 +8,7 @@ before (fingerprint, count) is shuffled.
 
 A last pass verifies: inside a chunk the occurrences of a fingerprint are compared, as sequences of words told apart by their bytes, with the
 occurrence that the fingerprint points to; those that differ become groups of their own.  Only then are phrases made to text, once a
-group, and counted by their text, together with the least (doc_id, word number) as a pointer to an occurrence.  So the counts are of texts: equal
+group, and added up by their text in shards of the fingerprints, together with the least (doc_id, word number) as a pointer to an occurrence.  So the counts are of texts: equal
 fingerprints of different phrases cost work but change nothing.
 
 Everything is per language (null: ``und``).  Null and empty texts have no words; repeated rows count as often as they occur; an empty
@@ -23,15 +23,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseaudit.llm import sketch
-from clauseaudit.llm.common import LOWER, Chunk, Scratch, chunks, mix, word_hashes, words
+from clauseaudit.llm.common import LOWER, Chunk, Scratch, chunks, mix, text_bytes, word_hashes, words
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 CHUNK = 4 << 20  # bytes
 FLUSH = 4 << 20  # entries
+PHRASES = 400_000  # of a task, between two additions
 BUCKETS = 64
 NO_ID = (1 << 63) - 1
 _U = np.uint64
@@ -141,53 +143,104 @@ def _told_apart(runs: Runs) -> np.ndarray:
     return number
 
 
-def _groups(at: np.ndarray, keys: np.ndarray, word: np.ndarray, lang: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For groups of equal runs: the occurrences they point to (the first in ``at``) and their sizes.  Runs with one fingerprint and different words part."""
+def _groups(at: np.ndarray, keys: np.ndarray, word: np.ndarray, lang: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For groups of equal runs: the occurrences they point to (the first in ``at``), their fingerprints and their sizes.  Runs with one fingerprint and different words part."""
     while len(at):
-        _, first, group = np.unique(keys, return_index=True, return_inverse=True)
+        own, first, group = np.unique(keys, return_index=True, return_inverse=True)
         head = at[first[group]]
         same = lang[at] == lang[head]
         for i in range(size):
             same &= word[at + i] == word[head + i]
-        yield at[first], np.bincount(group[same], minlength=len(first))
+        yield at[first], own, np.bincount(group[same], minlength=len(first))
         at, keys = at[~same], keys[~same]
 
 
-def phrases(keyed: DataFrame, frequent: sketch.Sketch | None, longest: int) -> DataFrame:
-    """(lang, size, phrase, n, doc_id, word) of all runs that may be frequent, counted by their text; size 0 counts all words of the language."""
+def _strings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Strings of byte ranges."""
+    off = np.append(0, np.cumsum(ends - starts))
+    data = buf[np.repeat(starts - off[:-1], np.diff(off)) + np.arange(off[-1])]
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data))
+
+
+def _spaced(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words with one space after each, and the start and end of each word."""
+    length = runs.ends - runs.starts + 1
+    stop = np.cumsum(length)
+    begin = stop - length
+    at = np.repeat(runs.starts - begin, length) + np.arange(int(length.sum()))
+    out = np.append(runs.buf, np.uint8(0x20))[at]
+    out[stop - 1] = 0x20
+    return out, begin, stop - 1
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """One row for each text: the sum of its counts and its first place."""
+    rows = pa.concat_tables(tables).combine_chunks().sort_by([("doc_id", "ascending"), ("word", "ascending")])
+    out = rows.group_by(["shard", "lang", "size", "phrase"], use_threads=False).aggregate([("n", "sum"), ("doc_id", "first"), ("word", "first")])
+    return out.select(["shard", "lang", "size", "phrase", "n_sum", "doc_id_first", "word_first"]).rename_columns(COLUMNS.names)
+
+
+COLUMNS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()), ("doc_id", pa.int64()), ("word", pa.int64())])
+PACKED = "shard bigint, rows array<struct<lang:string,size:int,phrase:string,n:bigint,doc_id:bigint,word:bigint>>"
+
+
+def phrases(keyed: DataFrame, frequent: sketch.Sketch | None, longest: int, shards: int, least: int) -> DataFrame:
+    """(lang, size, phrase, n, doc_id, word) of the runs that occur ``least`` times, counted by their text; size 0 counts all words of the language."""
+
+    def of_chunk(chunk: Chunk) -> pa.Table:
+        runs = Runs(chunk)
+        ids = chunk.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        begin = np.searchsorted(runs.row, np.arange(len(chunk)))
+        code = chunk.column("lang").dictionary_encode()
+        names, lang = code.dictionary, code.indices.to_numpy()[runs.row]
+        n = np.bincount(lang, minlength=len(names))
+        none = np.zeros(len(names), np.int64)
+        out = [pa.Table.from_arrays([pa.array(none), names, pa.array(none, pa.int32()), pa.array([""] * len(names)), pa.array(n, pa.int64()), pa.array(none + NO_ID), pa.array(none)], schema=COLUMNS)]
+        if frequent is None or not len(runs.starts):
+            return out[0]
+        word, (buf, starts, ends) = _told_apart(runs), _spaced(runs)
+        for size in range(1, longest + 1):
+            at = np.flatnonzero(runs.whole(size))
+            keys = runs.fingerprints(at, size)
+            keep = frequent.above(keys) > 0
+            at, keys = at[keep], keys[keep]
+            # In order of id and place, so that a group points to its first occurrence.
+            order = np.lexsort((at - begin[runs.row[at]], ids[runs.row[at]]))
+            for head, key, n in _groups(at[order], keys[order], word, lang, size):
+                row = runs.row[head]
+                texts = _strings(buf, starts[head], ends[head + size - 1])
+                columns = [pa.array((key % _U(shards)).astype(np.int64)), names.take(pa.array(lang[head])), pa.array(np.full(len(head), size, np.int32)), texts, pa.array(n, pa.int64()), pa.array(ids[row]), pa.array(head - begin[row])]
+                out.append(pa.Table.from_arrays(columns, schema=COLUMNS))
+        return pa.concat_tables(out)
+
+    def send(held: list[pa.Table]) -> pa.RecordBatch:
+        """One row for each shard with all its phrases."""
+        rows = _added(held).sort_by("shard").combine_chunks()
+        shard = rows["shard"].to_numpy()
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        body = pa.StructArray.from_arrays([x.combine_chunks() for x in rows.columns[1:]], fields=list(COLUMNS)[1:])
+        return pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(shard)), pa.int32()), body)], names=["shard", "rows"])
 
     def materialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for chunk in chunks(batches, limit=CHUNK):
-            runs = Runs(chunk)
-            langs = chunk.column("lang").to_pylist()
-            ids = chunk.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            begin = np.searchsorted(runs.row, np.arange(len(chunk)))
-            total: dict[str, int] = {}
-            for lang, n in zip(langs, np.bincount(runs.row, minlength=len(chunk)).tolist()):
-                total[lang] = total.get(lang, 0) + n
-            data = runs.buf.tobytes()
-            codes = {x: i for i, x in enumerate(total)}
-            lang_of = np.array([codes[x] for x in langs], np.int64)[runs.row]
-            out: list[tuple] = [(x, 0, "", n, NO_ID, 0) for x, n in total.items()]
-            word = _told_apart(runs) if frequent is not None and len(runs.starts) else None
-            for size in range(1, longest + 1) if word is not None else ():
-                at = np.flatnonzero(runs.whole(size))
-                keys = runs.fingerprints(at, size)
-                keep = frequent.above(keys) > 0
-                at, keys = at[keep], keys[keep]
-                # In order of id and place, so that a group points to its first occurrence.
-                order = np.lexsort((at - begin[runs.row[at]], ids[runs.row[at]]))
-                for head, n in _groups(at[order], keys[order], word, lang_of, size):
-                    rows = runs.row[head]
-                    for i, m, r, d, w in zip(head.tolist(), n.tolist(), rows.tolist(), ids[rows].tolist(), (head - begin[rows]).tolist()):
-                        text = b" ".join([data[runs.starts[j] : runs.ends[j]] for j in range(i, i + size)]) if size > 1 else data[runs.starts[i] : runs.ends[i]]
-                        out.append((langs[r], size, text.decode("utf-8", "replace"), m, d, w))
-            for a in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 20_000]), (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["lang", "size", "phrase", "n", "doc_id", "word"])
-
-    rows = keyed.mapInArrow(materialise, "lang string, size int, phrase string, n bigint, doc_id bigint, word bigint")
-    found = rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "word")).alias("at"))
-    return found.select("lang", "size", "phrase", "n", F.nullif(F.col("at.doc_id"), F.lit(NO_ID)).alias("doc_id"), F.col("at.word").alias("word"))
+            held.append(of_chunk(chunk))
+            if sum(map(len, held)) > PHRASES:
+                held = [_added(held)]
+                if len(held[0]) > PHRASES // 2:
+                    yield send(held)
+                    held = []
+        if held:
+            yield send(held)
+
+    def add(pieces: pa.Table) -> pa.Table:
+        rows = pa.concat_arrays(pieces.column("rows").chunks).flatten()
+        table = pa.Table.from_arrays([pa.array(np.zeros(len(rows), np.int64)), *rows.flatten()], names=COLUMNS.names).cast(COLUMNS)
+        found = _added([table]).drop_columns("shard")
+        return found.filter(pc.or_(pc.greater_equal(found["n"], least), pc.equal(found["size"], 0)))
+
+    found = keyed.mapInArrow(materialise, PACKED).groupBy("shard").applyInArrow(add, "lang string, size int, phrase string, n bigint, doc_id bigint, word bigint")
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -213,7 +266,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         for t in tables[1:]:
             union = union.unionByName(t)
         everything = plane(union, many)
-    out = scratch.cut(phrases(keyed, everything, size).where((F.col("n") >= least) | (F.col("size") == 0)))
+    shards = max(256, text_bytes(docs) // (4 << 20))
+    out = scratch.cut(phrases(keyed, everything, size, shards, least))
     if everything is not None:
         everything.free()
     scratch.free(*[t for t, _ in scratch.held[:-1]])

@@ -23,11 +23,12 @@ from collections.abc import Iterator, Set
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.5
+ROWS = 500  # pages of a batch of results
 
 # Names of HTML elements.
 BLOCKS = frozenset(
@@ -243,10 +244,20 @@ def main_lines(html: str) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = ["\n\n".join(main_lines(h)) if isinstance(h, str) and h else "" for h in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                text = ["\n\n".join(main_lines(h)) if h else "" for h in rows.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    kept = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return kept.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")
+    kept = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return kept.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+
+
+#: The same for pages that mark their text as one plain article of paragraphs and headings, as the given table does.
+SQL = r"""WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS blocks FROM pages),
+r AS (SELECT page_id, url, list_transform(blocks, lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS blocks FROM a),
+b AS (SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM r),
+c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c"""

@@ -69,4 +69,4 @@ def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_chat, op4_mixing, op5_lm_score, op6_language_id, op7_fingerprint, op8_toxicity, op9_substring_dedup, op10_media_ogg, op11_collocations, op12_centroids, op13_html_text)}
-ORACLE: dict[str, str] = {"op3_chat": chat.SQL, "op11_collocations": collocations.SQL, "op12_centroids": centroids.SQL}
+ORACLE: dict[str, str] = {"op3_chat": chat.SQL, "op11_collocations": collocations.SQL, "op12_centroids": centroids.SQL, "op13_html_text": html_text.SQL}

@@ -157,6 +157,11 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def quoted(*names: str) -> str:
+    """The path to a column or field whatever its name holds, dots and backticks too."""
+    return ".".join("`" + n.replace("`", "``") + "`" for n in names)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names.  Only a local master, which has one machine, may name none: it gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

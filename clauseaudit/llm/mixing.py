@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseaudit.llm.common import WORD_SPLIT
+from clauseaudit.llm.common import WORD_SPLIT, quoted
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -61,7 +61,7 @@ def mixed(docs: DataFrame, columns: list[str], weights: tuple[int, ...] = WEIGHT
     """
     buckets = max(1, math.isqrt(docs.count()))
     tie = F.xxhash64(F.col("text"))
-    x = docs.select(F.struct(*columns).alias("_row"), n_words(F.col("text")).alias("size"), "doc_id", F.col(source).alias("source"), F.xxhash64(F.col("doc_id"), tie, F.lit(seed)).alias("_key"), tie.alias("_tie"))
+    x = docs.select(F.struct(*map(quoted, columns)).alias("_row"), n_words(F.col("text")).alias("size"), "doc_id", F.col(source).alias("source"), F.xxhash64(F.col("doc_id"), tie, F.lit(seed)).alias("_key"), tie.alias("_tie"))
     x = x.withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))  # a key that null has too
     # The upper 31 bits of the key choose the range, so ranges follow the order of keys.
     x = x.withColumn("_range", F.floor((F.shiftright("_key", 33) + F.lit(1 << 30)) * F.lit(buckets) / F.lit(float(1 << 31))).cast("long"))
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, columns: list[str] | None = None, **options) -> DataFra
     """``docs`` (doc_id, text, source, others; or only ``columns`` of it, which are all that is shuffled) with size, source_size, target
     and taken, in place of columns of these names."""
     names = [c for c in columns or docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return mixed(docs, names, **options).select(*[F.col("_row")[c].alias(c) for c in names], "size", "source_size", "target", "taken")
+    return mixed(docs, names, **options).select(*[F.col(quoted("_row", c)).alias(c) for c in names], "size", "source_size", "target", "taken")
 
 
 def draw(docs: DataFrame, **options) -> DataFrame:
@@ -98,4 +98,4 @@ def draw(docs: DataFrame, **options) -> DataFrame:
     cut_text = F.array_join(F.slice(F.split(clean, WORD_SPLIT), 1, part), " ")
     texts = F.concat(F.array_repeat(text, whole), F.when(part > 0, F.array(cut_text)).otherwise(F.array().cast("array<string>")))
     x = mixed(docs, docs.columns, **options).select("_row", F.explode(texts).alias("_text"))
-    return x.select(*((F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col("_row")[c]).alias(c) for c in docs.columns))
+    return x.select(*((F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col(quoted("_row", c))).alias(c) for c in docs.columns))

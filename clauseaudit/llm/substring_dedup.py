@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from clauseaudit.llm import sketch
-from clauseaudit.llm.common import Chunk, Scratch, chunks, mix, text_bytes, window_hashes, word_hashes, words
+from clauseaudit.llm.common import Chunk, Scratch, chunks, mix, quoted, text_bytes, window_hashes, word_hashes, words
 
 WINDOW = 20
 RUN = 8  # words of a minimizer
@@ -219,7 +219,7 @@ def marked(docs: DataFrame, size: int = WINDOW, most: int = MOST) -> DataFrame:
     id_long = F.col("doc_id").cast("long")
     tie = F.xxhash64("text")
     keyed = docs.select(
-        id_long.alias("doc_id"), "text", tie.alias("tie"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
+        id_long.alias("doc_id"), "text", tie.alias("tie"), F.struct(*[quoted(c) for c in docs.columns if c != "text"]).alias("row"),
         F.pmod(F.coalesce(id_long, F.lit(NULL_ID)).bitwiseXOR(tie), F.lit(shards)).alias("shard"),
     )
     marks = repeats(keyed, shards, total, Scratch(docs.sparkSession), size, most)
@@ -260,7 +260,7 @@ def marked(docs: DataFrame, size: int = WINDOW, most: int = MOST) -> DataFrame:
 
 
 def _own(c: str) -> Column:
-    return F.col("text") if c == "text" else F.col("row")[c]
+    return F.col("text") if c == "text" else F.col(quoted("row", c))
 
 
 def remove(docs: DataFrame, size: int = WINDOW, most: int = MOST) -> DataFrame:

@@ -6,8 +6,11 @@ prior * R_p(-)), and a step in which the second part is negative climbs it inste
 positives among the labelled training rows.  Training reads a bounded sample: at most ``most_positive`` and
 ``most_unlabelled`` rows, those with the smallest hashes of their ids.  Scoring covers every whole text.
 
-Null and empty texts have no words and get the score of the bias alone.  Without positives the score is the prior's
-side: 0.  Rows are scored alone, so ties and repeated rows get equal scores; labels are joined after one row for each id is made
+A feature is learnt only if positives have it clearly more often than unlabelled texts (six standard errors, and 1 % of the positives, three at least).  Sigmoid steps leave the bias
+where the logistic ones put it.
+
+Null and empty texts have no words and get the score of the bias alone.  Without positives the score is 0; without a feature that tells, it is the
+prior for every text, and ``keep_clean`` drops nothing.  Rows are scored alone, so ties and repeated rows get equal scores; labels are joined after one row for each id is made
 (toxic if any says so).  Extra columns are ignored by ``score`` and kept by ``keep_clean``.
 """
 
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from clauseaudit.llm.common import LOWER, chunks, mix, word_hashes, words
+from clauseaudit.llm.common import LOWER, chunks, mix, quoted, word_hashes, words
 
 DIMENSIONS = 1 << 18
 _LETTER = np.zeros(256, bool)
@@ -47,8 +50,8 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: np.ndarray, bias: float, learnt: bool = True):
+        self.weights, self.bias, self.learnt = weights, bias, learnt
 
     def margins(self, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
         """Sum of the weights of a text's words, and the bias."""
@@ -78,13 +81,11 @@ def _blocks(texts: Iterable[str], size: int = 100) -> tuple[list[tuple[np.ndarra
     return out, n
 
 
-def fit(positive: Iterable[str], unlabelled: Iterable[str], prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-6, slack: float = 0.25, sigmas: float = 6.0) -> Model:
-    """Adam on the non-negative risk estimator over all rows of both kinds.
-
-    The clamp acts where the estimated negative risk falls below -slack * prior, which allows for sampling noise."""
+def fit(positive: Iterable[str], unlabelled: Iterable[str], prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-6, sigmas: float = 6.0) -> Model:
+    """Adam on the non-negative risk estimator over all rows of both kinds."""
     (blocks_p, n_p), (blocks_u, n_u) = _blocks(positive), _blocks(unlabelled)
     if not n_p or not n_u:
-        return Model(np.zeros(DIMENSIONS), -30.0 if not n_p else 0.0)
+        return Model(np.zeros(DIMENSIONS), -30.0 if not n_p else 0.0, False)
     # Features that positives have clearly more often than unlabelled texts; others could only be learned by heart.
     share_p, share_u = (sum(np.bincount(col, minlength=DIMENSIONS) for _, col in blocks) / n for blocks, n in ((blocks_p, n_p), (blocks_u, n_u)))
     noise = np.sqrt(share_u * (1 - share_u) / n_p + share_u / n_u + 1e-12)
@@ -95,6 +96,8 @@ def fit(positive: Iterable[str], unlabelled: Iterable[str], prior: float, steps:
     used, both = np.unique(np.concatenate([cp, cu]), return_inverse=True)
     cp, cu = both[: len(cp)], both[len(cp) :]
     n = len(used)
+    if not n:
+        return Model(np.zeros(DIMENSIONS), float(np.log(prior / (1 - prior))), False)
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     w[-1] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
@@ -109,7 +112,7 @@ def fit(positive: Iterable[str], unlabelled: Iterable[str], prior: float, steps:
         else:
             negative = su.mean() - prior * sp.mean()
             du, dp, up = su * (1 - su) / n_u, -prior * sp * (1 - sp) / n_p, -prior * sp * (1 - sp) / n_p
-        if negative < (-slack * prior if convex else 0):  # the estimate overfits: step back
+        if negative < 0:  # the estimate overfits: step back
             du, dp = -du, -dp
         else:
             dp = dp + up
@@ -160,5 +163,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted to be toxic."""
-    return with_scores(docs, train(docs, labels)).where("score < 0.5").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """``docs`` without those predicted to be toxic; all of them if no feature could be learnt."""
+    model = train(docs, labels)
+    if not model.learnt:
+        return docs
+    return with_scores(docs, model).where("score < 0.5").select(*[F.col(quoted("row", c)).alias(c) for c in docs.columns])

@@ -299,6 +299,23 @@ def test_toxicity(spark, odd, none):
     assert {r.predicted for r in toxicity.score(odd, null.where("false")).collect()} == {0}
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.5, 0.6, 0.8])
+def test_toxicity_at_any_prior(prior):
+    """With words that tell, texts are told apart; without, every score is the prior and nothing is learnt."""
+    rng = random.Random(1)
+    text = lambda bad: " ".join([f"w{rng.randrange(50)}" for _ in range(30)] + ["vilest"] * bad)
+    unlabelled = [text(rng.random() < prior) for _ in range(800)]
+    model = toxicity.fit([text(True) for _ in range(300)], unlabelled, prior)
+
+    def scores(m, texts):
+        row, col = toxicity.features(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+        return m.margins(row, col, len(texts))
+
+    assert model.learnt and np.array_equal(scores(model, unlabelled) > 0, ["vilest" in t for t in unlabelled])
+    blind = toxicity.fit([text(False) for _ in range(300)], unlabelled, prior)
+    assert not blind.learnt and np.allclose(1 / (1 + np.exp(-scores(blind, unlabelled))), prior)
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "substring_dedup", "mixing", "byte_bpe"]
@@ -311,7 +328,7 @@ def test_pipeline(spark):
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == want
 
 
-INTERNAL = "_score score row _kept kept n_words _n_words _n_removed n_removed shard tie size source_size target taken _text _row _key _tie _range _src gone key component low first sig cell pivot a b data kind".split()
+INTERNAL = "_score score row _kept kept n_words _n_words _n_removed n_removed shard tie size source_size target taken _text _row _key _tie _range _src gone key component low first sig cell pivot a b data kind a.b a`b".split()
 
 
 def test_clashing_names(spark, odd):

@@ -304,15 +304,15 @@ def test_toxicity_at_any_prior(prior):
     """With words that tell, texts are told apart; without, every score is the prior and nothing is learnt."""
     rng = random.Random(1)
     text = lambda bad: " ".join([f"w{rng.randrange(50)}" for _ in range(30)] + ["vilest"] * bad)
-    unlabelled = [text(rng.random() < prior) for _ in range(800)]
-    model = toxicity.fit([text(True) for _ in range(300)], unlabelled, prior)
+    unlabelled = [text(rng.random() < prior) for _ in range(3000)]
+    model = toxicity.fit([text(True) for _ in range(800)], unlabelled, prior)
 
     def scores(m, texts):
         row, col = toxicity.features(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
         return m.margins(row, col, len(texts))
 
     assert model.learnt and np.array_equal(scores(model, unlabelled) > 0, ["vilest" in t for t in unlabelled])
-    blind = toxicity.fit([text(False) for _ in range(300)], unlabelled, prior)
+    blind = toxicity.fit([text(False) for _ in range(800)], unlabelled, prior)
     assert not blind.learnt and np.allclose(1 / (1 + np.exp(-scores(blind, unlabelled))), prior)
 
 

@@ -32,34 +32,39 @@ def _starts(matches: str, gaps: str) -> str:
 
 
 def with_citations(clauses: DataFrame) -> DataFrame:
-    """``clauses`` with an array column ``citations``; all columns of the input stay."""
+    """``clauses`` with an array column ``citations``; all columns of the input stay.
+
+    Matches and the gaps between them are bound once, as the only element of an array, so that no copy of the pattern runs over a
+    clause again; the groups of a match come from one replacement in the short match."""
     folded = fold_digits(F.col("text"))
-    names = {"_body": 2, "_num": 3, "_part": 4, "_year": 5}
-    x = clauses.withColumn("_f", folded)
-    # Two passes over a clause; the groups come from the short matches.
-    x = x.withColumns({"_m": F.regexp_extract_all("_f", F.lit(CITATION), F.lit(0)), "_gap": F.split("_f", CITATION, -1)})
-    group = lambda g: F.transform("_m", lambda m: F.regexp_extract(m, CITATION, g))
-    x = x.withColumns({n: group(g) for n, g in names.items()})
-    x = x.withColumn("_s", F.expr(_starts("_m", "_gap")))
-    number = "split(trim(c._num), r'(?U:\\s)*-(?U:\\s)*')"
-    late = f"c._year = '' and size({number}) > 1 and element_at({number}, -1) rlike '^(19|20)[0-9]{{2}}$'"
-    item = f"""transform(arrays_zip(_m, _s, _body, _num, _part, _year), c -> named_struct(
-        'raw', substring(text, c._s + 1, length(c._m)), 'span_start', c._s, 'span_end', c._s + length(c._m),
-        'is_number', concat(if(c._body = '', 'IS ', concat('IS/', c._body, ' ')), array_join(if({late}, slice({number}, 1, size({number}) - 1), {number}), '-')),
-        'part', nullif(c._part, ''), 'year', try_cast(if({late}, element_at({number}, -1), nullif(c._year, '')) as int)))"""
-    return x.withColumn("citations", F.expr(item)).drop("_f", "_m", "_gap", "_s", *names)
+    both = F.array(F.struct(F.regexp_extract_all(folded, F.lit(CITATION), F.lit(0)).alias("m"), F.split(folded, CITATION, -1).alias("gap")))
+
+    def parts(z: Column) -> Column:
+        start = lambda i: F.aggregate(F.slice(z["gap"], 1, i + 1), F.lit(0), lambda a, y: a + F.length(y)) + F.aggregate(F.slice(z["m"], 1, i), F.lit(0), lambda a, y: a + F.length(y))
+        return F.transform(z["m"], lambda m, i: F.struct(m.alias("m"), start(i).cast("int").alias("s"), F.split(F.regexp_replace(m, CITATION, "$2|$3|$4|$5"), "\\|").alias("g")))
+
+    found = F.transform(both, parts)[0]
+    x = clauses.withColumn("_c", found)
+    number = "split(trim(c.g[1]), r'(?U:\\s)*-(?U:\\s)*')"
+    late = f"c.g[3] = '' and size({number}) > 1 and element_at({number}, -1) rlike '^(19|20)[0-9]{{2}}$'"
+    item = f"""transform(_c, c -> named_struct(
+        'raw', substring(text, c.s + 1, length(c.m)), 'span_start', c.s, 'span_end', c.s + length(c.m),
+        'is_number', concat(if(c.g[0] = '', 'IS ', concat('IS/', c.g[0], ' ')), array_join(if({late}, slice({number}, 1, size({number}) - 1), {number}), '-')),
+        'part', nullif(c.g[2], ''), 'year', try_cast(if({late}, element_at({number}, -1), nullif(c.g[3], '')) as int)))"""
+    return x.withColumn("citations", F.expr(item)).drop("_c")
 
 
 def extract_citations(clauses: DataFrame) -> DataFrame:
     """One row for each citation: the clause's columns (without text), cit_no and the citation's fields."""
     keep = [c for c in clauses.columns if c not in ("text", "citations")]
-    x = with_citations(clauses).select(*keep, F.posexplode("citations").alias("cit_no", "c"))
-    return x.select(*keep, "cit_no", "c.*")
+    x = with_citations(clauses).select(*keep, F.posexplode("citations").alias("cit_no", "_citation"))
+    return x.select(*keep, "cit_no", "_citation.*")
 
 
-def first_citation(text: str = "text") -> Column:
-    """First citation of ``with_citations``, or null."""
-    return F.try_element_at(F.col("citations"), F.lit(1))
+def normalize_citation(x: DataFrame, column: str) -> DataFrame:
+    """``x`` with the struct ``citation``: the first citation in ``column`` with its number, part and year, or null; the other columns stay."""
+    held = x.select(F.struct(*x.columns).alias("row"), F.col(column).alias("text"))
+    return with_citations(held).select("row.*", F.try_element_at("citations", F.lit(1)).alias("citation"))
 
 
 def extract_vague(clauses: DataFrame, patterns: tuple[str, ...] = VAGUE_PATTERNS) -> DataFrame:

@@ -10,7 +10,7 @@ import dataclasses
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseaudit.functions.text import base_number, finding_id, is_stale, mentions_certification, render
@@ -33,6 +33,7 @@ class Facts:
     cited: DataFrame  # scope key and number
     reference: ReferenceData
     document_scope: bool
+    citations: DataFrame  # doc_id, clause_id, ordinal, cit_no, span_start, span_end, number (its base), year, part
 
 
 def build_facts(clauses: DataFrame, citations: DataFrame, mentions: DataFrame, reference: ReferenceData, vague: DataFrame | None = None, document_scope: bool = True) -> Facts:
@@ -52,8 +53,9 @@ def build_facts(clauses: DataFrame, citations: DataFrame, mentions: DataFrame, r
     if vague is not None:
         found = found.join(vague.select(*KEY).distinct(), list(KEY), "left_anti").unionByName(vague.select(*KEY, "span_start", "span_end", "term", "explanation"))
     scope = ["doc_id"] if document_scope else list(KEY)
-    cited = resolved.select(*scope, F.col("base_number").alias("number")).distinct()
-    return Facts(clauses, resolved, near, products, abstained, found, cited, reference, document_scope)
+    cited = citations.select(*scope, base_number(F.col("is_number")).alias("number")).distinct()
+    places = citations.select(*KEY, "ordinal", "cit_no", "span_start", "span_end", base_number(F.col("is_number")).alias("number"), "year", "part")
+    return Facts(clauses, resolved, near, products, abstained, found, cited, reference, document_scope, places)
 
 
 def _finding(x: DataFrame, rule: str, params: dict[str, Column] | None = None, conflict: Column | None = None, span: bool = True, **evidence: Column) -> DataFrame:
@@ -164,14 +166,20 @@ def r10_abstain(f: Facts) -> DataFrame:
     return _finding(f.abstained, "R10")
 
 
+def first_two_locations(citations: DataFrame) -> DataFrame:
+    """doc_id, number, a and b: the first two places of each number that a document cites more than once.  Each task keeps its own two
+    places of a number before anything is shuffled."""
+    order = ["ordinal", "cit_no", "clause_id", "span_start", "span_end"]
+    key = ["doc_id", "number"]
+    two = citations.select(*key, *order).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("place <= 2")
+    at = lambda n: F.max(F.when(F.col("place") == n, F.struct(*order)))
+    return two.groupBy(*key).agg(at(1).alias("a"), at(2).alias("b")).where("b is not null")
+
+
 def r11_contradiction(f: Facts) -> DataFrame:
-    order = F.struct("ordinal", "cit_no", "clause_id", "span_start", "span_end")
-    x = f.resolved.groupBy("doc_id", "base_number").agg(
-        F.count("*").alias("n"), F.count_distinct("year").alias("years"), F.count_distinct("part").alias("parts"), F.min(order).alias("a")
-    ).where("n > 1 and (years > 1 or parts > 1)")
-    # The second citation: the least of those after the first; a second aggregation rather than a list of all.
-    rest = f.resolved.select("doc_id", "base_number", order.alias("o")).join(x.select("doc_id", "base_number", "a"), ["doc_id", "base_number"]).where("o > a")
-    x = x.join(rest.groupBy("doc_id", "base_number").agg(F.min("o").alias("b")), ["doc_id", "base_number"])
+    differ = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    odd = f.citations.groupBy("doc_id", "number").agg((differ("year") | differ("part")).alias("odd")).where("odd").select("doc_id", "number")
+    x = first_two_locations(f.citations).join(odd, ["doc_id", "number"])
     x = x.select("doc_id", F.col("a.clause_id").alias("clause_id"), "a.span_start", "a.span_end", F.col("b.clause_id").alias("b_clause"))
     return _finding(x, "R11", {"location_a": F.col("clause_id"), "location_b": F.col("b_clause")}, locations=F.array("clause_id", "b_clause"))
 
@@ -217,14 +225,19 @@ RULES: dict[str, Callable[[Facts], DataFrame]] = {
 }
 
 
+FACTS = ("clauses", "resolved", "near", "products", "cited", "citations")
+
+
 def shared(f: Facts) -> Facts:
     """The frames that several rules read, kept for the session (``spark.catalog.clearCache`` frees them; lost blocks are computed again)."""
-    return dataclasses.replace(f, **{n: getattr(f, n).persist(StorageLevel.MEMORY_AND_DISK) for n in ("clauses", "resolved", "near", "products", "cited")})
+    return dataclasses.replace(f, **{n: getattr(f, n).persist(StorageLevel.MEMORY_AND_DISK) for n in FACTS})
 
 
 def evaluate(f: Facts, rules: tuple[str, ...]) -> DataFrame:
-    if len(rules) > 1 or rules[0] in ("R08", "R11"):  # these read the citations twice
+    if len(rules) > 1 or rules[0] == "R08":  # R08 reads the citations twice
         f = shared(f)
+    elif rules[0] == "R11":
+        f = dataclasses.replace(f, citations=f.citations.persist(StorageLevel.MEMORY_AND_DISK))
     out = RULES[rules[0]](f)
     for r in rules[1:]:
         out = out.unionByName(RULES[r](f))

@@ -7,10 +7,11 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseaudit.operators import diff, evaluate, mapping, review, rules
+from clauseaudit.operators import diff, evaluate, incremental, mapping, review, rules
 from clauseaudit.operators.extract import extract_citations, match_vague_terms
 from clauseaudit.sources import bindings
 from clauseaudit.sources.bindings import facts
+from clauseaudit.sources.scratch import shared_folder
 
 FLAT = ("doc_id", "clause_id", "rule_id", "severity", "span_start", "span_end", "message_en", "row_id", "url", "verified_on")
 MANY = "l_orderkey % 300"  # documents of many orders, for the rules that need repeats
@@ -123,6 +124,15 @@ def edited_clauses_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(review.edited_clause_findings(rules.evaluate(f, some), edited, new, lambda g: rules.evaluate(g, some))).select("doc_id", "clause_id", "rule_id", "row_id")
 
 
+def incremental_audit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all rules after edits of clauses and of reference rows: a stored audit, brought up to date."""
+    old, new = (bindings.reference(spark, sf_dir, edited) for edited in (False, True))
+    before, after = (bindings.clauses(spark, sf_dir, MANY, edited).select("doc_id", "clause_id", "ordinal", "text", "mention") for edited in (False, True))
+    state = incremental.audit(before, old, bindings.extract, shared_folder(spark, "audit"))
+    spark.catalog.clearCache()
+    return flat(incremental.update(state, after, old, new, bindings.extract, shared_folder(spark, "update")).findings)
+
+
 def _drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a = bindings.clauses(spark, sf_dir).select("doc_id", "clause_id", "ordinal", "text", "part_key")
     b = a.where("part_key % 7 <> 0").withColumn("text", F.when(F.col("part_key") % 5 == 0, F.concat("text", F.lit(" Revised."))).otherwise(F.col("text")))
@@ -159,7 +169,7 @@ QUERIES = {f"rule_{r.lower()}_{n}": _rule(r, d) for r, n, d in (
     "extract_citations": extract_citations_q, "resolve_standard": resolve_standard_q, "resolve_standard_strict": lambda s, d: resolve_standard_q(s, d, False), "suggest_near": suggest_near_q,
     "match_vague_terms": match_vague_q, "map_product": map_product_q, "resolve_product": resolve_product_q, "used_rows": used_rows_q, "evaluate_documents": evaluate_documents_q, "evaluate_clauses": evaluate_clauses_q,
     "cited_number_set": cited_number_set_q, "severity_counts": severity_counts_q, "audit_summary": audit_summary_q, "fired_rules": fired_rules_q, "eval_evidence_completeness": evidence_completeness_q,
-    "finding_filter": finding_filter_q, "mapping_eval": mapping_eval_q, "mapping_summary": mapping_summary_q, "edited_clauses": edited_clauses_q, "clause_diff": clause_diff_q, "finding_diff": finding_diff_q, "diff_summary": diff_summary_q,
+    "finding_filter": finding_filter_q, "mapping_eval": mapping_eval_q, "mapping_summary": mapping_summary_q, "edited_clauses": edited_clauses_q, "incremental_audit": incremental_audit_q, "clause_diff": clause_diff_q, "finding_diff": finding_diff_q, "diff_summary": diff_summary_q,
 }
 
 
@@ -246,6 +256,15 @@ _FSIDE = "SELECT doc_id, clause_id, part_key AS finding_no, CASE WHEN part_key %
 _FDIFF = f"fa AS ({_FSIDE.format('a')}), fb AS ({_FSIDE.format('b')}), fd AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.clause_id, y.clause_id) AS clause_id, 'R09' AS rule_id, CAST(coalesce(x.s, y.s) AS INT) AS span_start, CAST(coalesce(x.e, y.e) AS INT) AS span_end, CASE WHEN x.doc_id IS NULL THEN 'added' WHEN y.doc_id IS NULL THEN 'resolved' ELSE 'retained' END AS change, coalesce(y.finding_no, x.finding_no) AS finding_no, 'INFO' AS severity FROM fa x FULL JOIN fb y ON x.doc_id = y.doc_id AND x.clause_id = y.clause_id AND x.s = y.s AND x.e = y.e)"
 
 
+def _edited_views(doc: str) -> str:
+    """The views over the edited clauses and reference tables."""
+    t, out = {"part": "part", "lineitem": "lineitem", "doc": doc}, _views(doc)
+    for old, new in bindings.EDITED.items():
+        for plain in (old.format(**t), old):
+            out = out.replace(f"({plain})", f"({new.format(**t)})", 1) if f"({plain})" in out and f"({new.format(**t)})" not in out else out
+    return out
+
+
 def _grams(x: str) -> str:
     return f"list_distinct(list_transform(range(length({x}) + 2), lambda i: substr('  ' || {x} || '  ', i + 1, 3)))"
 
@@ -277,6 +296,7 @@ def oracle() -> dict[str, str]:
         "mapping_eval": cases,
         "mapping_summary": f"SELECT count(*) AS total, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (expected_unmapped) AS total_unmapped, count(*) FILTER (expected_unmapped AND is_unmapped) AS unmapped_correct, count(*) FILTER (expected_unmapped) = count(*) FILTER (expected_unmapped AND is_unmapped) AS gate FROM ({cases})",
         "edited_clauses": f"{v}, ed AS (SELECT doc_id, clause_id FROM cl WHERE part_key % 5 = 0) SELECT {four} FROM ({_every('l_orderkey', ('R02', 'R03', 'R04', 'R05'))}) ANTI JOIN ed USING (doc_id, clause_id) UNION ALL SELECT {four} FROM ({struck}) SEMI JOIN ed USING (doc_id, clause_id)",
+        "incremental_audit": f"{_edited_views(MANY)} SELECT {', '.join(FLAT)} FROM ({_every()})",
         "extract_citations": f"{v} SELECT doc_id, clause_id, 0 AS cit_no, raw, span_start, span_end, is_number, part, year FROM cite",
         "resolve_standard": f"{v} SELECT doc_id, clause_id, is_number, is_number AS base_number, sid AS standard_id, snum AS resolved_number FROM res",
         "resolve_standard_strict": f"{v} SELECT c.doc_id, c.clause_id, c.is_number, c.is_number AS base_number, s.id AS standard_id, s.is_number AS resolved_number FROM cite c LEFT JOIN std s ON s.is_number = c.is_number",

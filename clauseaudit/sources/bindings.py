@@ -73,6 +73,18 @@ SELECT CAST(id AS INT) AS id, term, 'en' AS language, explanation
 FROM (VALUES (1, 'ISI quality', 'Names no number.'), (2, 'as per BIS', 'Names the bureau only.')) AS t(id, term, explanation)
 """
 
+#: The same after officers' edits: of clauses in every twentieth document, and of some rows of each reference table.
+EDITED = {
+    CLAUSES: f"""SELECT doc_id, ordinal, clause_id, part_key, mention, CASE WHEN doc_id % 20 = 3 AND part_key % 5 = 0 THEN replace(replace(text, ': 19', ': 20'), 'ISI quality', 'as per BIS') ELSE text END AS text
+ FROM ({CLAUSES}) c WHERE NOT (doc_id % 20 = 3 AND part_key % 7 = 1) UNION ALL SELECT doc_id, ordinal + 100000, concat('n', clause_id), part_key, mention, text FROM ({CLAUSES}) d WHERE doc_id % 20 = 4 AND part_key % 11 = 0""",
+    STANDARDS: f"""SELECT id, is_number, part, CASE WHEN id % 83 = 0 THEN publication_year + 1 ELSE publication_year END AS publication_year, CASE WHEN id % 89 = 0 THEN 'Withdrawn' ELSE status END AS status, catalogue_url, verified_on, is_conflict
+ FROM ({STANDARDS}) s WHERE id % 101 <> 0""",
+    MAPS: f"SELECT id, product_id, standard_id, source_url, verified_on, is_conflict FROM ({MAPS}) m WHERE id % 102 <> 0",
+    CERTIFICATION: f"SELECT id, product_id, specified_standard_id, scheme, concat(instrument, CASE WHEN id = 3 THEN ' amended' ELSE '' END) AS instrument, source_url, verified_on, is_conflict FROM ({CERTIFICATION}) c WHERE id <> 2",
+    LINKS: f"SELECT id, source_standard_id, CAST(CASE WHEN id % 70 = 0 THEN target_standard_id + 1 ELSE target_standard_id END AS INT) AS target_standard_id, source_url, verified_on, is_conflict FROM ({LINKS}) k WHERE id % 90 <> 0",
+    VAGUE: f"SELECT id, term, language, CASE WHEN id = 2 THEN 'Names an office.' ELSE explanation END AS explanation FROM ({VAGUE}) v",
+}
+
 
 def sql(spark: SparkSession, sf_dir: str, text: str, **names: str) -> DataFrame:
     """A view's rows over the Parquet tables of ``sf_dir``."""
@@ -80,19 +92,24 @@ def sql(spark: SparkSession, sf_dir: str, text: str, **names: str) -> DataFrame:
     return spark.sql(text.format(**(tables | names)))
 
 
-def clauses(spark: SparkSession, sf_dir: str, doc: str = "l_orderkey") -> DataFrame:
-    return sql(spark, sf_dir, CLAUSES, doc=doc)
+def clauses(spark: SparkSession, sf_dir: str, doc: str = "l_orderkey", edited: bool = False) -> DataFrame:
+    return sql(spark, sf_dir, EDITED[CLAUSES] if edited else CLAUSES, doc=doc)
 
 
-def reference(spark: SparkSession, sf_dir: str) -> ReferenceData:
-    x = [sql(spark, sf_dir, t) for t in (STANDARDS, PRODUCTS, MAPS, CERTIFICATION, LINKS, VAGUE)]
+def reference(spark: SparkSession, sf_dir: str, edited: bool = False) -> ReferenceData:
+    x = [sql(spark, sf_dir, EDITED.get(t, t) if edited else t) for t in (STANDARDS, PRODUCTS, MAPS, CERTIFICATION, LINKS, VAGUE)]
     return ReferenceData(*x, as_of=AS_OF)
 
 
+def extract(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Citations of clauses, and their product nouns as mentions."""
+    noun = F.element_at(F.split("mention", " "), -1)
+    at = F.expr("locate(mention, text) - 1")
+    mentions = c.select("doc_id", "clause_id", F.lit(0).alias("pos"), noun.alias("text"), at.alias("span_start"), (at + F.length("mention")).alias("span_end"), F.lit(None).cast("string").alias("canonical_product_id"))
+    return extract_citations(c.select("doc_id", "clause_id", "ordinal", "text")), mentions
+
+
 def facts(spark: SparkSession, sf_dir: str, doc: str = "l_orderkey", document_scope: bool = True) -> Facts:
     """Clauses, extracted citations and the product noun of each clause as its mention."""
     c = clauses(spark, sf_dir, doc)
-    cites = extract_citations(c.select("doc_id", "clause_id", "ordinal", "text"))
-    noun = F.element_at(F.split("mention", " "), -1)
-    mentions = c.select("doc_id", "clause_id", F.lit(0).alias("pos"), noun.alias("text"), F.expr("locate(mention, text) - 1").alias("span_start"), (F.expr("locate(mention, text) - 1 + length(mention)")).alias("span_end"), F.lit(None).cast("string").alias("canonical_product_id"))
-    return build_facts(c.select("doc_id", "clause_id", "ordinal", "text"), cites, mentions, reference(spark, sf_dir), document_scope=document_scope)
+    return build_facts(c.select("doc_id", "clause_id", "ordinal", "text"), *extract(c), reference(spark, sf_dir), document_scope=document_scope)

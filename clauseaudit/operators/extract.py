@@ -57,7 +57,8 @@ def with_citations(clauses: DataFrame) -> DataFrame:
 def extract_citations(clauses: DataFrame) -> DataFrame:
     """One row for each citation: the clause's columns (without text), cit_no and the citation's fields."""
     keep = [c for c in clauses.columns if c not in ("text", "citations")]
-    x = with_citations(clauses).select(*keep, F.posexplode("citations").alias("cit_no", "_citation"))
+    # The outer form: for the plain one Catalyst adds a filter with copies of the whole expression.
+    x = with_citations(clauses).select(*keep, F.posexplode_outer("citations").alias("cit_no", "_citation")).where("cit_no is not null")
     return x.select(*keep, "cit_no", "_citation.*")
 
 
@@ -95,6 +96,33 @@ def match_vague_terms(clauses: DataFrame, vague_terms: DataFrame) -> DataFrame:
     return x.withColumn("phrase", F.expr("substring(text, _at, length(term))")).drop("_at", "text")
 
 
+def _grams(text: Column) -> Column:
+    """Distinct runs of three characters; a shorter text is its own and only run."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(3))))
+
+
+def match_many_terms(clauses: DataFrame, terms: DataFrame) -> DataFrame:
+    """What ``match_vague_terms`` gives, for dictionaries of any size: an equi-join on one run of three characters of each term (its
+    anchor, the one that the fewest terms have), then a look into the text.
+
+    Terms of one or two characters are looked up by such runs of the texts, and only where the dictionary has them; null and empty terms match nothing."""
+    t = terms.where("length(term) > 0").select(F.col("id").alias("term_id"), "term", "explanation", F.lower("term").alias("_low"))
+    grams = t.select("term_id", "_low", F.explode(_grams(F.col("_low"))).alias("_g"))
+    counts = grams.groupBy("_g").agg(F.count("*").alias("_n"))
+    anchors = grams.join(counts, "_g").groupBy("term_id", "_low").agg(F.min(F.struct("_n", "_g")).alias("_a")).select("term_id", "_low", F.col("_a._g").alias("_g"))
+    dictionary = t.join(anchors, ["term_id", "_low"])
+    low = F.lower("text")
+    # Runs of one and two characters are made only if a term is as short: an aggregate of the dictionary, one row.
+    short = t.agg(F.coalesce(F.min(F.length("_low")) < 3, F.lit(False))).scalar()
+    runs = F.when(F.length(low) > 2, _grams(low)).otherwise(F.array().cast("array<string>"))
+    ones = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(F.substring(low, i, F.lit(1)), F.substring(low, i, F.lit(2)))))
+    x = clauses.withColumn("_g", F.explode(F.array_distinct(F.when(short, F.concat(runs, ones)).otherwise(runs))))
+    x = x.join(dictionary, "_g").withColumn("_at", F.expr("locate(_low, lower(text))")).where("_at > 0")
+    x = x.withColumn("span_start", F.col("_at") - 1).withColumn("span_end", F.col("_at") - 1 + F.length("term"))
+    return x.withColumn("phrase", F.expr("substring(text, _at, length(term))")).drop("_at", "_g", "_low", "text")
+
+
 _SPAN_OK = "x.span_start is not null and x.span_end is not null and 0 <= x.span_start and x.span_start < x.span_end and x.span_end <= length(text) and substring(text, x.span_start + 1, x.span_end - x.span_start) = x.{key}"
 
 

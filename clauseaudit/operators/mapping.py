@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseaudit.functions.text import WORD, base_number, normalise_mention, token_jaccard, trigram_dice
+from clauseaudit.functions.text import WORD, base_number, normalise_mention, token_jaccard, tokens, trigram_dice, trigrams
 from clauseaudit.sources.reference import product_terms
 
 
-def scored_candidates(mentions: DataFrame, products: DataFrame) -> DataFrame:
-    """(mention) x products -> mention, product_id, canonical_name, score, method for candidates of 0.40 or more.
+LEAST = 0.40  # of Dice's or Jaccard's coefficient for a fuzzy candidate
+_TERM = ["product_id", "position"]
+
+
+def _rarest(sets: DataFrame, owner: list[str], counts: DataFrame, share: float) -> DataFrame:
+    """The rarest elements of each set, as many as must hold one of those that a similar set shares: all but ``share`` of them, and one."""
+    x = sets.select(*owner, F.size("elements").alias("size"), F.explode("elements").alias("element")).join(counts, "element", "left")
+    x = x.withColumn("at", F.row_number().over(Window.partitionBy(*owner).orderBy(F.coalesce("n", F.lit(0)), "element")))
+    return x.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * F.lit(share)) + 1).select(*owner, "element")
+
+
+def _similar(q: DataFrame, terms: DataFrame, elements: Callable[[Column], Column], share: float) -> DataFrame:
+    """(mention, product_id, position) of pairs that share one of both sides' rarest elements: an inverted index on those of the terms."""
+    of_terms = terms.select(*_TERM, elements(F.col("term")).alias("elements"))
+    counts = of_terms.select(F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("n"))
+    own = _rarest(q.select("mention", elements(F.col("_q")).alias("elements")), ["mention"], counts, share)
+    return own.join(_rarest(of_terms, _TERM, counts, share), "element").select("mention", *_TERM)
+
 
-    Give distinct mentions: the cost is mentions times terms.  The terms of a curated product table are the small side.
-    """
+def candidate_pairs(q: DataFrame, terms: DataFrame) -> DataFrame:
+    """(mention, product_id, position) of all pairs that can score: equi-joins only, by equal texts, by the longest word of a synonym, and by the rarest
+    trigrams and words.
+
+    Dice of t needs t / 2 * (a + b) shared trigrams and so b >= a * t / (2 - t), that is a share of t / (2 - t) of either set; Jaccard of t
+    needs a share of t."""
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"{WORD}+"), F.lit(0)))
+    longest = F.coalesce(F.try_element_at(F.array_sort(F.transform(runs(F.col("_norm")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), F.lit(1))["w"], F.lit(""))
+    equal = q.join(terms.select(*_TERM, F.when(F.col("position") == 0, F.col("_lname")).otherwise(F.col("_norm")).alias("_q")), "_q").select("mention", *_TERM)
+    # A synonym without words has the key of the empty word, which all mentions have.
+    words = q.select("mention", F.explode(F.array_append(runs(F.col("_q")), "")).alias("w")).join(terms.where("position > 0").select(*_TERM, longest.alias("w")), "w").select("mention", *_TERM)
+    fuzzy = _similar(q, terms, trigrams, LEAST / (2 - LEAST) - 1e-9).unionByName(_similar(q, terms.where("position > 0"), tokens, LEAST - 1e-9))
+    return equal.unionByName(words).unionByName(fuzzy).distinct()
+
+
+def scored_candidates(mentions: DataFrame, products: DataFrame) -> DataFrame:
+    """mention, product_id, canonical_name, score, method for candidates of 0.40 or more, of distinct mentions."""
     terms = product_terms(products).withColumn("_norm", normalise_mention(F.col("term"))).withColumn("_lname", F.lower("canonical_name"))
     q = mentions.select("mention").withColumn("_q", normalise_mention(F.col("mention")))
-    x = q.crossJoin(terms)
+    return score_pairs(candidate_pairs(q, terms).join(q, "mention").join(terms, _TERM))
+
+
+def score_pairs(x: DataFrame) -> DataFrame:
+    """The best score of each mention and product among pairs of mentions (_q) and terms."""
     is_name = F.col("position") == 0
     norm, query = F.col("_norm"), F.col("_q")
     quoted = F.regexp_replace(norm, "([\\\\.\\[\\]{}()*+?^$|\\-])", "\\\\$1")
@@ -56,24 +93,26 @@ def map_product(mentions: DataFrame, products: DataFrame, threshold: float = 0.7
 
 def confirm_mapping(results: DataFrame, confirmations: DataFrame) -> DataFrame:
     """Officer's last confirmation (mention, officer, notes, ts) on each result."""
-    last = _latest(confirmations, "mention").select("mention", "officer", "notes")
+    last = _latest(confirmations, "mention", "officer", "notes").select("mention", "officer", "notes")
     return results.join(last, "mention", "left").withColumn("officer_confirmed", F.col("officer").isNotNull())
 
 
 def override_mapping(results: DataFrame, overrides: DataFrame, products: DataFrame) -> DataFrame:
-    """Officer's last override (mention, name, officer, ts); a known name takes its canonical spelling."""
-    last = _latest(overrides, "mention").select("mention", "name", "officer")
-    known = products.groupBy(F.lower("canonical_name").alias("_l")).agg(F.max("canonical_name").alias("_known"))
+    """Officer's last override (mention, name, officer, ts); a known name takes its canonical spelling and its product's id, another name has no
+    id.  No candidates are left."""
+    last = _latest(overrides, "mention", "name", "officer").select("mention", "name", "officer")
+    known = products.groupBy(F.lower("canonical_name").alias("_l")).agg(F.max_by(F.struct(F.col("canonical_name").alias("name"), "id"), F.struct("canonical_name", "id")).alias("_known"))
     x = results.join(last, "mention", "left").join(known, F.lower("name") == F.col("_l"), "left").drop("_l")
     done = F.col("name").isNotNull()
     return x.withColumns({
-        "canonical_name": F.when(done, F.coalesce("_known", "name")).otherwise(F.col("canonical_name")), "confidence": F.when(done, 1.0).otherwise(F.col("confidence")),
+        "canonical_name": F.when(done, F.coalesce("_known.name", "name")).otherwise(F.col("canonical_name")), "product_id": F.when(done, F.col("_known.id")).otherwise(F.col("product_id")), "confidence": F.when(done, 1.0).otherwise(F.col("confidence")),
         "method": F.when(done, "OFFICER_OVERRIDE").otherwise(F.col("method")), "is_unmapped": F.col("is_unmapped") & ~done,
+        "candidates": F.when(~done, F.col("candidates")).otherwise(F.array().cast(results.schema["candidates"].dataType)),
     }).drop("name", "_known")
 
 
-def _latest(x: DataFrame, *keys: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("ts"))
+def _latest(x: DataFrame, key: str, *ties: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(F.desc("ts"), *[F.desc(t) for t in ties])
     return x.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

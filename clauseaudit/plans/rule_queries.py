@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseaudit.operators import diff, evaluate, incremental, mapping, review, rules
-from clauseaudit.operators.extract import extract_citations, match_vague_terms
+from clauseaudit.operators.extract import extract_citations, match_many_terms, match_vague_terms
 from clauseaudit.sources import bindings
 from clauseaudit.sources.bindings import facts
 from clauseaudit.sources.scratch import shared_folder
@@ -50,12 +50,41 @@ def match_vague_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_vague_terms(c, bindings.reference(spark, sf_dir).vague_terms).select("doc_id", "clause_id", "term_id", "phrase", "span_start", "span_end")
 
 
+_TERMS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 1 THEN upper(p_name) WHEN p_partkey = 2 THEN 'of' ELSE concat('is ', CAST(10000 + 7 * p_partkey AS STRING)) END AS term, p_name AS explanation FROM {part}"
+
+
+def match_many_terms_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term for every part: catalogue numbers, some names, and a word of two letters."""
+    x = match_many_terms(bindings.clauses(spark, sf_dir).select("doc_id", "clause_id", "text"), bindings.sql(spark, sf_dir, _TERMS))
+    return x.select("doc_id", "clause_id", "term_id", "phrase", "span_start", "span_end")
+
+
 def map_product_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = bindings.reference(spark, sf_dir)
     x = mapping.map_product(bindings.sql(spark, sf_dir, "SELECT DISTINCT p_name AS mention FROM {part}"), r.products)
     return x.select("mention", "product_id", "canonical_name", "confidence", "method", "is_unmapped", F.size("candidates").cast("long").alias("n_candidates"))
 
 
+_MENTIONS = """SELECT DISTINCT concat(CASE WHEN p_partkey % 4 = 0 THEN '12 ' ELSE '' END, CASE p_partkey % 5 WHEN 0 THEN split_part(p_name, ' ', 2) WHEN 1 THEN concat(split_part(p_name, ' ', 2), 's') WHEN 2 THEN concat('Steel ', split_part(p_name, ' ', 2), 's, ', split_part(p_name, ' ', 1))
+ WHEN 3 THEN 'x' ELSE p_name END) AS mention FROM {part}"""
+
+
+def map_product_hits_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, synonyms, synonyms inside a longer mention, parts of short synonyms and other names: every kind of score."""
+    r = bindings.reference(spark, sf_dir)
+    more = spark.sql("SELECT CAST(8 AS INT) AS id, 'cross' AS canonical_name, 'signs' AS family, '[\"x\"]' AS synonyms_en, '[\"x y\", \"xx\"]' AS synonyms_hi")
+    x = mapping.map_product(bindings.sql(spark, sf_dir, _MENTIONS), r.products.unionByName(more))
+    return x.select("mention", "product_id", "confidence", "method")
+
+
+def override_mapping_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Officers' overrides of mapped names, two at one time and one to a name that is no product's."""
+    r = bindings.reference(spark, sf_dir)
+    x = mapping.map_product(bindings.sql(spark, sf_dir, "SELECT DISTINCT p_name AS mention FROM {part}"), r.products)
+    o = bindings.sql(spark, sf_dir, f"SELECT DISTINCT p_name AS mention, n AS name, 'Asha' AS officer, 1 AS ts FROM {{part}} JOIN (VALUES ('RING'), ('Bolt'), ('own name')) AS t(n) ON {bindings.NOUN} IN ('gear', 'anvil') AND (n = 'own name') = ({bindings.NOUN} = 'anvil')")
+    return mapping.override_mapping(x, o, r.products).select("mention", "product_id", "canonical_name", "confidence", "method", "is_unmapped", F.size("candidates").cast("long").alias("n_candidates"))
+
+
 def resolve_product_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = bindings.reference(spark, sf_dir)
     m = bindings.sql(spark, sf_dir, f"SELECT p_partkey, {bindings.NOUN} AS text, CASE WHEN p_partkey % 4 = 0 THEN 'Rings' END AS canonical_product_id FROM {{part}}")
@@ -167,7 +196,7 @@ QUERIES = {f"rule_{r.lower()}_{n}": _rule(r, d) for r, n, d in (
     ("R11", "contradiction", MANY), ("R12", "malformed", "l_orderkey"), ("R13", "wrong_family", "l_orderkey"), ("R14", "stale_row", "l_orderkey"),
 )} | {
     "extract_citations": extract_citations_q, "resolve_standard": resolve_standard_q, "resolve_standard_strict": lambda s, d: resolve_standard_q(s, d, False), "suggest_near": suggest_near_q,
-    "match_vague_terms": match_vague_q, "map_product": map_product_q, "resolve_product": resolve_product_q, "used_rows": used_rows_q, "evaluate_documents": evaluate_documents_q, "evaluate_clauses": evaluate_clauses_q,
+    "match_vague_terms": match_vague_q, "match_many_terms": match_many_terms_q, "map_product": map_product_q, "map_product_hits": map_product_hits_q, "override_mapping": override_mapping_q, "resolve_product": resolve_product_q, "used_rows": used_rows_q, "evaluate_documents": evaluate_documents_q, "evaluate_clauses": evaluate_clauses_q,
     "cited_number_set": cited_number_set_q, "severity_counts": severity_counts_q, "audit_summary": audit_summary_q, "fired_rules": fired_rules_q, "eval_evidence_completeness": evidence_completeness_q,
     "finding_filter": finding_filter_q, "mapping_eval": mapping_eval_q, "mapping_summary": mapping_summary_q, "edited_clauses": edited_clauses_q, "incremental_audit": incremental_audit_q, "clause_diff": clause_diff_q, "finding_diff": finding_diff_q, "diff_summary": diff_summary_q,
 }
@@ -283,6 +312,20 @@ SELECT mention, CASE WHEN score >= 0.75 THEN id END AS product_id, CASE WHEN sco
 """
 
 
+#: All pairs of mentions and terms with every kind of score; a mention is lower-cased, without its leading quantity.
+_MAP_HITS = f"""
+WITH prod AS (SELECT id, canonical_name, [canonical_name || 's'] AS syns FROM ({bindings.PRODUCTS}) UNION ALL SELECT 8, 'cross', ['x', 'x y', 'xx']), n AS ({_MENTIONS.format(part='part')}),
+q AS (SELECT mention, regexp_replace(lower(mention), '^[0-9]+ ', '') AS q FROM n), p AS (SELECT id, canonical_name, unnest(syns) AS syn, unnest(range(len(syns))) AS position FROM prod),
+y AS (SELECT mention, q, id, syn, position, canonical_name, {_dice('q', 'canonical_name')} AS d0, {_dice('q', 'syn')} AS d1,
+ len(list_intersect(regexp_extract_all(q, '[a-z0-9]+'), string_split(syn, ' '))) / len(list_distinct(list_concat(regexp_extract_all(q, '[a-z0-9]+'), string_split(syn, ' ')))) AS j,
+ CASE WHEN q = syn THEN 0.98 WHEN length(syn) >= 3 AND regexp_matches(q, '(^|[^a-z0-9])' || syn || '($|[^a-z0-9])') THEN 0.92 WHEN length(syn) < 3 AND contains(syn, q) AND j >= 0.5 THEN 0.88 END AS hit FROM q, p),
+s AS (SELECT mention, id, bool_or(q = canonical_name) AS exact, arg_min(hit, position) FILTER (hit IS NOT NULL) AS hit, max(greatest(d0, d1, j)) AS fuzzy FROM y GROUP BY 1, 2),
+z AS (SELECT mention, id, CASE WHEN exact THEN 1.0 WHEN hit IS NOT NULL THEN hit WHEN fuzzy >= 0.4 THEN round_even(fuzzy, 3) END AS score, CASE WHEN exact THEN 'EXACT' WHEN hit IS NOT NULL THEN 'SYNONYM' ELSE 'FUZZY' END AS method FROM s),
+b AS (SELECT * FROM z WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) = 1)
+SELECT mention, CAST(CASE WHEN score >= 0.75 THEN id END AS INT) AS product_id, CAST(coalesce(score, 0) AS DOUBLE) AS confidence, CASE WHEN score >= 0.75 THEN method ELSE 'UNMAPPED' END AS method FROM n LEFT JOIN b USING (mention)
+"""
+
+
 def oracle() -> dict[str, str]:
     own, many = _branches("l_orderkey"), _branches(MANY)
     out = {q: (many if q.startswith("rule_r11") else own)[q[5:8].upper()] for q in QUERIES if q.startswith("rule_r")}
@@ -302,7 +345,10 @@ def oracle() -> dict[str, str]:
         "resolve_standard_strict": f"{v} SELECT c.doc_id, c.clause_id, c.is_number, c.is_number AS base_number, s.id AS standard_id, s.is_number AS resolved_number FROM cite c LEFT JOIN std s ON s.is_number = c.is_number",
         "suggest_near": f"{v} SELECT n.is_number, s.is_number AS candidate, min(s.id) AS catalogue_id FROM (SELECT DISTINCT is_number FROM res WHERE sid IS NULL) n JOIN std s ON levenshtein(n.is_number, s.is_number) = 1 OR levenshtein(n.is_number, regexp_replace(s.is_number, ' \\(Part \\d+\\)', '')) = 1 GROUP BY ALL",
         "match_vague_terms": f"{v} SELECT doc_id, clause_id, id AS term_id, substr(text, strpos(lower(text), lower(term)), length(term)) AS phrase, CAST(strpos(lower(text), lower(term)) - 1 AS INT) AS span_start, CAST(strpos(lower(text), lower(term)) - 1 + length(term) AS INT) AS span_end FROM cl JOIN vague ON contains(lower(text), lower(term))",
+        "match_many_terms": f"{v}, terms AS ({_TERMS.format(part='part')}) SELECT doc_id, clause_id, id AS term_id, substr(text, strpos(lower(text), lower(term)), length(term)) AS phrase, CAST(strpos(lower(text), lower(term)) - 1 AS INT) AS span_start, CAST(strpos(lower(text), lower(term)) - 1 + length(term) AS INT) AS span_end FROM cl JOIN terms ON contains(lower(text), lower(term))",
         "map_product": _MAP_PRODUCT,
+        "map_product_hits": _MAP_HITS,
+        "override_mapping": f"SELECT mention, CASE split_part(mention, ' ', 2) WHEN 'gear' THEN 1 WHEN 'anvil' THEN NULL ELSE product_id END AS product_id, CASE split_part(mention, ' ', 2) WHEN 'gear' THEN 'ring' WHEN 'anvil' THEN 'own name' ELSE canonical_name END AS canonical_name, CASE WHEN split_part(mention, ' ', 2) IN ('gear', 'anvil') THEN 1.0 ELSE confidence END AS confidence, CASE WHEN split_part(mention, ' ', 2) IN ('gear', 'anvil') THEN 'OFFICER_OVERRIDE' ELSE method END AS method, is_unmapped AND split_part(mention, ' ', 2) NOT IN ('gear', 'anvil') AS is_unmapped, CASE WHEN split_part(mention, ' ', 2) IN ('gear', 'anvil') THEN 0 ELSE n_candidates END AS n_candidates FROM ({_MAP_PRODUCT})",
         "resolve_product": f"{v} SELECT p_partkey, {bindings.NOUN} AS text, coalesce(k.id, p.id) AS product_id, coalesce(k.family, p.family) AS family FROM part LEFT JOIN prod k ON p_partkey % 4 = 0 AND k.canonical_name = 'ring' LEFT JOIN prod p ON p.canonical_name = {bindings.NOUN}",
         "used_rows": f"{v} SELECT * FROM {_USED}",
         "evaluate_documents": _all(MANY), "evaluate_clauses": _all("l_orderkey", ("R11",)).replace("x.doc_id = r.doc_id AND x.is_number IN", "x.doc_id = r.doc_id AND x.clause_id = r.clause_id AND x.is_number IN"),

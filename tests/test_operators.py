@@ -1,6 +1,8 @@
 """Segmentation, extraction, mapping, diffs, provenance, review and evaluation on small rows."""
 
 import datetime
+import json
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clauseaudit.functions import text as T
-from clauseaudit.operators import diff, evaluate, extract, mapping, provenance, review, segment
+from clauseaudit.operators import diff, evaluate, extract, mapping, provenance, review, rules, segment
 from clauseaudit.sources.reference import PRODUCT
 
 
@@ -138,3 +140,62 @@ def test_lookups_and_filters(spark):
     assert [r.id for r in review.page(t, ["id"], offset=4, limit=3).collect()] == [4, 5, 6]
     log = spark.range(600).select(F.col("id").cast("timestamp").alias("ts"))
     assert review.recent_audit_logs(log).count() == 100 and review.recent_audit_logs(log, 9999).count() == 500
+
+
+def test_candidates_equal_those_of_all_pairs(spark):
+    """Equi-joins on words and rarest trigrams lose no pair of mention and term that scores."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randrange(1, 7)))
+    phrase = lambda: rng.choice(["", "", "(", "-", "12 "]) + rng.choice([" ", "-", ", "]).join(word() for _ in range(rng.randrange(1, 4)))
+    products = [(i, phrase() or "p", "f", json.dumps([phrase() for _ in range(3)] + ["--", "x", "ab"][: i % 4]), "[]") for i in range(60)]
+    mentions = [(phrase(),) for _ in range(150)] + [(json.loads(p[3])[0],) for p in products[:20]] + [(f"with {p[1]} and",) for p in products[:20]] + [("",), ("--",), ("a -- b",)]
+    p = spark.createDataFrame(products, "id int, canonical_name string, family string, synonyms_en string, synonyms_hi string")
+    m = spark.createDataFrame(mentions, "mention string").distinct()
+    terms = mapping.product_terms(p).withColumn("_norm", T.normalise_mention(F.col("term"))).withColumn("_lname", F.lower("canonical_name"))
+    q = m.withColumn("_q", T.normalise_mention(F.col("mention")))
+    want = {tuple(r) for r in mapping.score_pairs(q.crossJoin(terms)).collect()}
+    got = mapping.scored_candidates(m, p)
+    assert {tuple(r) for r in got.collect()} == want and {r[4] for r in want} == {"EXACT", "SYNONYM", "FUZZY"}
+    assert not re.search("NestedLoop|Cartesian", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_many_terms_equal_a_scan_of_each(spark):
+    rng = random.Random(6)
+    text = lambda k: "".join(rng.choices("aAbBc İ", k=rng.randrange(k)))
+    clauses = spark.createDataFrame([(i, str(i), text(30)) for i in range(120)] + [(200, "n", None), (201, "e", "")], "doc_id int, clause_id string, text string")
+    for short in (1, 3):
+        terms = spark.createDataFrame([(i, "".join(rng.choices("abBc ", k=rng.randrange(short, 6))), "why") for i in range(80)], "id int, term string, explanation string")
+        got, want = extract.match_many_terms(clauses, terms), extract.match_vague_terms(clauses, terms)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count()
+        assert not re.search("NestedLoop|Cartesian", got._jdf.queryExecution().executedPlan().toString())
+    odd = spark.createDataFrame([(1, None, ""), (2, "", "")], "id int, term string, explanation string")
+    assert extract.match_many_terms(clauses, odd).count() == 0
+
+
+def test_pattern_runs_once_over_a_clause(spark):
+    """However many fields of a citation are read, the plan holds one search for matches."""
+    x = extract.extract_citations(spark.createDataFrame([(1, "IS 123: 2010")], "doc_id int, text string")).select("is_number", "year", "part", "span_start", "raw")
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("regexp_replace") == 1
+
+
+def test_first_citation_and_first_two_places(spark):
+    x = spark.createDataFrame([(1, "see IS 13252-2010 and IS 5"), (2, "none"), (3, None)], "id int, note string")
+    got = {r.id: r.citation for r in extract.normalize_citation(x, "note").collect()}
+    assert (got[1].is_number, got[1].year, got[2], got[3]) == ("IS 13252", 2010, None, None)
+    rows = [(1, "a", o, c, 0, 1, n, y, None) for o, c, n, y in ((3, 0, "IS 1", 2000), (1, 1, "IS 1", 2001), (1, 0, "IS 1", 2000), (2, 0, "IS 2", 2000))]
+    places = spark.createDataFrame(rows, "doc_id int, clause_id string, ordinal int, cit_no int, span_start int, span_end int, number string, year int, part string").repartition(3)
+    (two,) = rules.first_two_locations(places).collect()
+    assert (two.number, two.a.ordinal, two.a.cit_no, two.b.cit_no) == ("IS 1", 1, 0, 1)
+
+
+def test_override_and_confirmation(spark):
+    p = spark.createDataFrame([(1, "ring", "f", "[]", "[]"), (2, "Bolt", "f", "[]", "[]")], "id int, canonical_name string, family string, synonyms_en string, synonyms_hi string")
+    x = mapping.map_product(spark.createDataFrame([("ring",), ("cog",)], "mention string"), p)
+    o = spark.createDataFrame([("ring", "x", "A", 1), ("ring", "bolt", "A", 2), ("cog", "mine", "A", 2), ("cog", "cog wheel", "A", 2)], "mention string, name string, officer string, ts int")
+    got = {r.mention: r for r in mapping.override_mapping(x, o, p).collect()}
+    assert (got["ring"].product_id, got["ring"].canonical_name, got["ring"].candidates, got["ring"].method) == (2, "Bolt", [], "OFFICER_OVERRIDE")
+    assert (got["cog"].product_id, got["cog"].canonical_name, got["cog"].is_unmapped) == (None, "mine", False)  # of one time the greater name
+    c = spark.createDataFrame([("ring", "A", "old", 1), ("ring", "B", "new", 2)], "mention string, officer string, notes string, ts int")
+    got = {r.mention: r for r in mapping.confirm_mapping(x, c).collect()}
+    assert (got["ring"].officer_confirmed, got["ring"].officer, got["cog"].officer_confirmed) == (True, "B", False)

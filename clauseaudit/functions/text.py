@@ -155,9 +155,9 @@ def parse_synonyms(text: Column) -> Column:
 
 
 def finding_id(*parts: Column) -> Column:
-    """Short id that depends on what the finding says."""
+    """Id of 96 bits that depends on what the finding says."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-    return F.concat(F.lit("f_"), F.substring(F.sha2(text, 256), 1, 8))
+    return F.concat(F.lit("f_"), F.substring(F.sha2(text, 256), 1, 24))
 
 
 def row_to_json(*columns: str) -> Column:

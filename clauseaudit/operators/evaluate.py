@@ -51,15 +51,34 @@ def evidence_completeness(findings: DataFrame) -> DataFrame:
     return findings.where(needs).agg(F.count_if(has).alias("complete"), F.count("*").alias("total"))
 
 
+RANGES = 64
+
+
+def in_ranges(x: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """_k (a struct of the keys), _v, _c (how often the value occurs) and _b: the range of the key's values that it falls into.
+
+    A key's ranges are cut at its own approximate quantiles, a sketch of bounded size, so that a key with all rows is many ranges of about equal
+    size.  Equal values are one row."""
+    counts = x.where(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy("_k").agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"))
+    return counts.join(cuts, "_k").select("_k", "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
+
+
 def latency_percentiles(x: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = (0.50, 0.95, 0.99)) -> DataFrame:
-    """Values of rank floor(n p) + 1 (at most n), with least, mean, greatest and count.  Counts of equal values are summed up in order, so
-    no group is gathered into one row."""
-    c = x.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    c = c.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(w))
-    at = lambda p: F.min(F.when(F.col("_upto") >= F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1), F.col(value)))
-    return c.groupBy(*keys).agg(*[at(p).alias(f"p{round(p * 100)}") for p in points], F.min(value).alias("least"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.max(value).alias("greatest"), F.sum("_c").alias("n"))
+    """Values of rank floor(n p) + 1 (at most n), with least, mean, greatest and count of each key; null values do not count, null keys are a key.
+
+    Exact ranks: prefix sums over the ranges of a key (at most ``RANGES`` rows) tell in which range a rank lies and how far; only the rows of those ranges are
+    put in order, each range by itself."""
+    v = in_ranges(x, keys, value)
+    w = Window.partitionBy("_k")
+    parts = v.groupBy("_k", "_b").agg(F.sum("_c").alias("_m")).withColumn("_n", F.sum("_m").over(w)).withColumn("_before", F.sum("_m").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m"))
+    ranks = F.array(*[F.struct(F.lit(i).alias("p"), F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1).alias("rank")) for i, p in enumerate(points)])
+    wanted = parts.withColumn("_r", F.explode(ranks)).where("_before < _r.rank and _r.rank <= _before + _m").select("_k", "_b", F.col("_r.p").alias("_p"), (F.col("_r.rank") - F.col("_before")).alias("_rest"))
+    upto = F.sum("_c").over(Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = v.join(wanted.select("_k", "_b").distinct(), ["_k", "_b"], "left_semi").withColumn("_upto", upto)
+    found = inside.join(wanted, ["_k", "_b"]).where("_upto >= _rest").groupBy("_k").agg(*[F.min(F.when(F.col("_p") == i, F.col("_v"))).alias(f"p{round(p * 100)}") for i, p in enumerate(points)])
+    whole = v.groupBy("_k").agg(F.min("_v").alias("least"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.max("_v").alias("greatest"), F.sum("_c").alias("n"))
+    return found.join(whole, "_k").select("_k.*", *[f"p{round(p * 100)}" for p in points], "least", "mean", "greatest", "n")
 
 
 def extractor_scorecard(runs: DataFrame) -> DataFrame:

@@ -73,6 +73,13 @@ def page(x: DataFrame, columns: list[str], key: str = "id", offset: int = 0, lim
     return x.select(*columns).orderBy(key).offset(offset).limit(limit)
 
 
+def product_rules(products: DataFrame, rules: DataFrame) -> DataFrame:
+    """Products with ``rules``: their certification rules in order of id, none for a product without."""
+    own = rules.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in rules.columns if c not in ("id", "product_id")]))).alias("rules"))
+    nothing = F.array().cast(own.schema["rules"].dataType)
+    return products.join(own.withColumnRenamed("product_id", "id"), "id", "left").withColumn("rules", F.coalesce("rules", nothing))
+
+
 def get_by_id(x: DataFrame, value: object, key: str = "id") -> DataFrame:
     """The row with an id (none if it does not exist)."""
     return x.where(F.col(key) == F.lit(value))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clauseaudit.functions import text as T
 from clauseaudit.operators import evaluate, extract, provenance, review, segment
 from clauseaudit.sources import bindings, io
+from clauseaudit.sources.scratch import shared_folder
 
 AS_OF = bindings.AS_OF
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,18 +289,22 @@ def list_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings.sql(spark, sf_dir, bindings.STANDARDS).select("id", "is_number", "status").orderBy("id").offset(20).limit(50)
 
 
-@query(f"SELECT p.id, p.canonical_name, CAST(count(c.id) AS BIGINT) AS n_rules, coalesce(string_agg(c.instrument, ';' ORDER BY c.id), '') AS instruments FROM ({bindings.PRODUCTS}) p LEFT JOIN ({bindings.CERTIFICATION}) c ON c.product_id = p.id GROUP BY ALL")
+#: Products are the nouns of part names, certification rules come from suppliers.
+_NOUNS = "SELECT CAST(min(p_partkey) AS INT) AS id, split_part(p_name, ' ', 2) AS canonical_name, concat('family ', CAST(min(p_size) % 3 AS STRING)) AS family FROM {part} GROUP BY split_part(p_name, ' ', 2)"
+_RULES = f"SELECT CAST(s_suppkey AS INT) AS id, p.id AS product_id, concat('Order ', CAST(s_suppkey AS STRING)) AS instrument FROM {{supplier}} JOIN ({_NOUNS}) p ON p.id % 4 = s_suppkey % 5"
+_N, _C = _NOUNS.format(part="part"), _RULES.format(part="part", supplier="supplier")
+
+
+@query(f"SELECT p.id, p.canonical_name, CAST(count(c.id) AS BIGINT) AS n_rules, coalesce(string_agg(c.instrument, ';' ORDER BY c.id), '') AS instruments FROM ({_N}) p LEFT JOIN ({_C}) c ON c.product_id = p.id GROUP BY ALL")
 def product_rules_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = bindings.reference(spark, sf_dir)
-    c = r.certification_rules.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("id", "instrument"))).alias("rules"))
-    x = r.products.join(c, r.products["id"] == c["product_id"], "left")
-    return x.select("id", "canonical_name", F.coalesce(F.size("rules"), F.lit(0)).cast("long").alias("n_rules"), F.coalesce(F.array_join(F.transform("rules", lambda z: z["instrument"]), ";"), F.lit("")).alias("instruments"))
+    x = review.product_rules(bindings.sql(spark, sf_dir, _NOUNS), bindings.sql(spark, sf_dir, _RULES))
+    return x.select("id", "canonical_name", F.size("rules").cast("long").alias("n_rules"), F.array_join(F.transform("rules", lambda z: z["instrument"]), ";").alias("instruments"))
 
 
-@query(f"SELECT id, canonical_name, family FROM ({bindings.PRODUCTS}) ORDER BY id LIMIT 4 OFFSET 2")
+@query(f"SELECT id, canonical_name, family FROM ({_N}) ORDER BY id LIMIT 4 OFFSET 2")
 def list_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the products of the catalogue."""
-    return review.page(bindings.reference(spark, sf_dir).products, ["id", "canonical_name", "family"], offset=2, limit=4)
+    return review.page(bindings.sql(spark, sf_dir, _NOUNS), ["id", "canonical_name", "family"], offset=2, limit=4)
 
 
 @query(f"SELECT id, is_number, status FROM ({_STD}) WHERE id = 21")
@@ -439,11 +444,8 @@ def failed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS case_id, lang AS language, CASE WHEN toxic = 1 THEN 'R09' END AS expected_rules, CAST(length(text) AS INT) AS n, md5(text) AS clause_md5 FROM labels JOIN documents USING (doc_id) WHERE text <> ''")
 def scan_eval_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents written as the cases' CSV, with their quotes, commas and line breaks, and read again."""
-    import tempfile
-    import uuid
-
     x = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where("text <> ''")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/cases-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "cases")
     io.write_eval_corpus(x.select(F.col("doc_id").cast("string").alias("case_id"), F.col("lang").alias("language"), F.lit("defect").alias("kind"), F.col("text").alias("clause"), F.when(F.col("toxic") == 1, "R09").alias("expected_rules"), F.lit("a, \"b\"").alias("notes")), folder)
     y = io.scan_eval_corpus(spark, folder).where(F.col("notes") == 'a, "b"')
     return y.select("case_id", "language", "expected_rules", F.length("clause").alias("n"), F.md5("clause").alias("clause_md5"))
@@ -454,9 +456,16 @@ def language_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.language_quality_gate(_results(spark, sf_dir))
 
 
-@query("WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, min(value) FILTER (r >= least(n, floor(n * 0.5) + 1)) AS p50, min(value) FILTER (r >= least(n, floor(n * 0.95) + 1)) AS p95, min(value) FILTER (r >= least(n, floor(n * 0.99) + 1)) AS p99, min(value) AS least, max(value) AS greatest, count(*) AS n FROM x GROUP BY 1")
+@query("WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, min(value) FILTER (r >= least(n, floor(n * 0.5) + 1)) AS p50, min(value) FILTER (r >= least(n, floor(n * 0.95) + 1)) AS p95, min(value) FILTER (r >= least(n, floor(n * 0.99) + 1)) AS p99, min(value) AS least, max(value) AS greatest, round(avg(value), 4) AS mean, count(*) AS n FROM x GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.latency_percentiles(_events(spark, sf_dir), ["event_type"], "value").drop("mean")
+    return evaluate.latency_percentiles(_events(spark, sf_dir), ["event_type"], "value").withColumn("mean", F.round("mean", 4))
+
+
+@query("WITH x AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS n FROM lineitem) SELECT 'all' AS key, min(v) FILTER (r >= floor(n * 0.5) + 1) AS p50, min(v) FILTER (r >= floor(n * 0.95) + 1) AS p95, min(v) FILTER (r >= floor(n * 0.99) + 1) AS p99, min(v) AS least, max(v) AS greatest, count(*) AS n FROM x")
+def percentiles_of_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items under one key: its ranges are put in order apart."""
+    x = table(spark, sf_dir, "lineitem").withColumn("key", F.lit("all"))
+    return evaluate.latency_percentiles(x, ["key"], "l_extendedprice").drop("mean")
 
 
 @query("SELECT 'part' AS table_name, count(*) AS n FROM part UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'events', count(*) FROM events")
@@ -511,15 +520,12 @@ def snapshot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, 'paste_1' AS clause_id, id AS term_id, substr(t, strpos(lower(t), term), length(term)) AS phrase, CAST(strpos(lower(t), term) - 1 AS INT) AS span_start FROM (SELECT doc_id, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS t FROM documents) JOIN (VALUES (1, 'license'), (2, 'copyright')) AS v(id, term) ON contains(lower(t), term)")
 def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of files, cut into clauses and scanned for terms batch by batch; the sink's rows."""
-    import tempfile
-    import uuid
-
     from clauseaudit.streaming import intake
 
     docs = table(spark, sf_dir, "documents")
     schema = docs.select("doc_id", "text").schema
     terms = spark.sql("SELECT id, term, '' AS explanation FROM VALUES (1, 'license'), (2, 'copyright') AS t(id, term)")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
 
     def audit(batch: DataFrame) -> DataFrame:
         x = extract.match_vague_terms(segment.segment_clauses(batch).select("doc_id", "clause_id", "text"), terms)

@@ -199,3 +199,22 @@ def test_override_and_confirmation(spark):
     c = spark.createDataFrame([("ring", "A", "old", 1), ("ring", "B", "new", 2)], "mention string, officer string, notes string, ts int")
     got = {r.mention: r for r in mapping.confirm_mapping(x, c).collect()}
     assert (got["ring"].officer_confirmed, got["ring"].officer, got["cog"].officer_confirmed) == (True, "B", False)
+
+
+def test_percentiles_of_hot_null_and_tied_keys(spark):
+    rng = random.Random(7)
+    rows = [("hot", rng.randrange(5000)) for _ in range(6000)] + [(None, i % 3) for i in range(50)] + [("one", 9), ("ties", 4), ("ties", 4), ("none", None)]
+    x = spark.createDataFrame(rows, "k string, v int").repartition(3)
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        vs = sorted(v for q, v in rows if q == k and v is not None)
+        at = lambda p, vs=vs: vs[min(len(vs), int(len(vs) * p) + 1) - 1]
+        want[k] = (at(0.5), at(0.95), at(0.99), vs[0], sum(vs) / len(vs), vs[-1], len(vs))
+    assert {r.k: tuple(r)[1:] for r in evaluate.latency_percentiles(x, ["k"], "v").collect()} == want
+    assert evaluate.in_ranges(x.where("k = 'hot'"), ["k"], "v").select("_b").distinct().count() == evaluate.RANGES
+
+
+def test_product_rules(spark):
+    p = spark.createDataFrame([(1, "a"), (2, "b")], "id int, canonical_name string")
+    c = spark.createDataFrame([(8, 1, "y"), (7, 1, "x")], "id int, product_id int, instrument string")
+    assert {r.id: [z.instrument for z in r.rules] for r in review.product_rules(p, c).collect()} == {1: ["x", "y"], 2: []}

@@ -104,3 +104,20 @@ def test_audit_and_restore_reports(spark, tmp_path):
     assert io.rows_restored(spark, str(tmp_path / "s"), {"t": t.where("id < 3")}, {"t": ["id"]}).first().rows_restored == 2
     files = io.ingest_limits(spark.createDataFrame([("a", 10, 1), ("b", 10, 500)], "doc_id string, n_bytes long, page_count int"))
     assert [tuple(r) for r in io.ingest_errors(files).collect()] == [("b", "too many pages")]
+
+
+def test_snapshot_tree_names_the_changed_bucket(spark, tmp_path):
+    rows = [(i, f"v{i}", None if i % 7 else i / 3) for i in range(3000)] + [(5, "v5", 5.0), (5, "v5", 5.0)]
+    x = spark.createDataFrame(rows, "id int, v string, `a.b` double")
+    first = io.root(*io.leaves(x)).first()
+    assert first == io.root(*io.leaves(x.orderBy(F.desc("id")).repartition(5))).first() and first.n == 3002
+    assert io.root(*io.leaves(x.where("not (id = 5 and `a.b` = 5.0)").union(x.where("id = 5 and `a.b` = 5.0").limit(1)))).first() != first  # equal rows count each
+    assert io.root(*io.leaves(x.where("false"))).first().n == 0
+    assert io.leaves(x)[1] == 1 and io.leaves(spark.range(20_000))[1] == 2
+    io.snapshot_tables({"t": x, "u": x}, str(tmp_path))
+    assert io.verify_snapshot(spark, str(tmp_path)).count() == 0
+    changed = x.withColumn("v", F.when(F.col("id") == 77, "other").otherwise(F.col("v")))
+    changed.write.mode("overwrite").parquet(str(tmp_path / "u"))
+    (bad,) = io.verify_snapshot(spark, str(tmp_path)).collect()
+    trees = [{r.bucket: r.digest for r in io.leaves(t)[0].collect()} for t in (x, changed)]
+    assert (bad.table_name, bad.n, bad.n2) == ("u", 3002, 3002) and bad.bucket == min(b for b in trees[0] if trees[0][b] != trees[1][b])

@@ -509,6 +509,16 @@ def sink_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.agg(F.count("new_values").alias("n"), F.count_distinct(F.get_json_object("new_values", "$.event_type")).alias("kinds"))
 
 
+@query("SELECT CAST(event_id AS VARCHAR) AS record_id, 'EVENT' AS action, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch_id, DATE '2026-01-01' AS audit_date FROM events")
+def sink_audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log rows of events in two batches, one appended twice, and one that never was committed; read back."""
+    folder, x = shared_folder(spark, "append"), _events(spark, sf_dir)
+    for batch, own in (("even", "event_id % 2 = 0"), ("odd", "event_id % 2 <> 0"), ("even", "event_id % 2 = 0")):
+        io.append_audit(review.log_rows(x.where(own), "EVENT", "events", "event_id"), folder, "2026-01-01", batch=batch)
+    io.stage_batch({"findings": review.log_rows(x, "EVENT", "events", "event_id")}, folder, "failed", "2026-01-02")
+    return io.read_appended(spark, folder, "findings").select("record_id", "action", "batch_id", "audit_date")
+
+
 _SNAP = {"part": ("p_name", "p_partkey", "p_size"), "orders": ("o_custkey", "o_orderkey", "o_orderstatus"), "documents": ("doc_id", "lang", "n_chars", "source", "text")}
 _ITEM = "coalesce(CAST(length(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
 _ROWS = " UNION ALL ".join(f"SELECT '{t}' AS t, sha256({' || '.join(_ITEM.format(c) for c in cols)}) AS h FROM {t}" for t, cols in _SNAP.items())

@@ -79,7 +79,7 @@ def test_append_and_reports(spark, tmp_path):
     f = spark.createDataFrame([("d", "c1", "R01", "INFO", None, "m")], "doc_id string, clause_id string, rule_id string, severity string, span_start int, message_en string")
     io.append_audit(f, str(tmp_path / "t"), "2026-01-01")
     io.append_audit(f, str(tmp_path / "t"), "2026-01-02")
-    assert spark.read.parquet(str(tmp_path / "t")).where("audit_date = '2026-01-02'").count() == 1
+    assert io.read_appended(spark, str(tmp_path / "t"), "findings").where("audit_date = '2026-01-02'").count() == 1
     c = spark.createDataFrame([("d", "c1", 1, "text")], "doc_id string, clause_id string, ordinal int, text string")
     r = io.banner_check(io.json_report(c, f)).first()
     assert r.has_banner and '"total_findings":1' in r.report
@@ -97,7 +97,7 @@ def test_audit_and_restore_reports(spark, tmp_path):
     f = spark.createDataFrame([("d", "c1", "R01", "INFO", None, "m")], "doc_id string, clause_id string, rule_id string, severity string, span_start int, message_en string")
     a = spark.createDataFrame([("d", "u", datetime.datetime(2026, 1, 1))], "doc_id string, user_id string, ts timestamp")
     log = io.append_audit(f, str(tmp_path / "f"), "2026-01-01", a, f.select("doc_id", "clause_id")).collect()
-    assert [(r.action, r.record_id) for r in log] == [("CREATE_AUDIT", "d")] and spark.read.parquet(str(tmp_path / "f_clauses")).count() == 1
+    assert [(r.action, r.record_id) for r in log] == [("CREATE_AUDIT", "d")] and io.read_appended(spark, str(tmp_path / "f"), "clauses").count() == 1
     t = spark.range(5)
     io.snapshot_tables({"t": t}, str(tmp_path / "s"), "2")
     assert spark.read.parquet(str(tmp_path / "s/_manifest_rows")).first().app_version == "2"
@@ -121,3 +121,16 @@ def test_snapshot_tree_names_the_changed_bucket(spark, tmp_path):
     (bad,) = io.verify_snapshot(spark, str(tmp_path)).collect()
     trees = [{r.bucket: r.digest for r in io.leaves(t)[0].collect()} for t in (x, changed)]
     assert (bad.table_name, bad.n, bad.n2) == ("u", 3002, 3002) and bad.bucket == min(b for b in trees[0] if trees[0][b] != trees[1][b])
+
+
+def test_append_is_exactly_once(spark, tmp_path):
+    path = str(tmp_path)
+    f = spark.createDataFrame([("d", "c1")], "doc_id string, clause_id string")
+    a = spark.createDataFrame([("d", "u", datetime.datetime(2026, 1, 1))], "doc_id string, user_id string, ts timestamp")
+    io.stage_batch({"findings": f.union(f)}, path, "x", "2026-01-01")  # a run that failed before its commit
+    assert io.append_audit(f, path, "2026-01-01", a, batch="x").count() == 1
+    assert io.append_audit(f, path, "2026-01-01", a, batch="x").count() == 0  # again: nothing
+    io.append_audit(f, path, "2026-01-01", batch="y")
+    io.stage_batch({"findings": f}, path, "z", "2026-01-02")
+    got = io.read_appended(spark, path, "findings").select("batch_id", F.col("audit_date").cast("string")).collect()
+    assert sorted(map(tuple, got)) == [("x", "2026-01-01"), ("y", "2026-01-01")] and io.read_appended(spark, path, "audits").count() == 1

@@ -154,4 +154,4 @@ def test_fingerprints_peel(spark, n):
 
 
 def test_registered():
-    assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [q for n in range(1, 11) for q in queries.QUERIES if q.startswith(f"op{n}_")]
+    assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [q for n in range(1, 14) for q in queries.QUERIES if q.startswith(f"op{n}_")]

@@ -59,6 +59,31 @@ def upsert_terms(terms: DataFrame, new: DataFrame) -> DataFrame:
     return terms.unionByName(fresh.select(*terms.columns)).orderBy("term")
 
 
+def decision_log(findings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """A FINDING_DECISION row for every decision (finding_id, decision, reason, decided_by, ts) on a finding that exists."""
+    known = decisions.join(findings.select("finding_id").distinct(), "finding_id", "left_semi")
+    return log_rows(known, "FINDING_DECISION", "findings", "finding_id", "decided_by")
+
+
+def deletion_log(outcomes: DataFrame) -> DataFrame:
+    """A DELETE_AUDIT row for every request of ``delete_audits`` (with a ts) that was carried out."""
+    return log_rows(outcomes.where("outcome = 'DELETED'"), "DELETE_AUDIT", "audits", "audit_id")
+
+
+def purge_log(split: DataFrame, as_of: datetime.datetime, days: int = 30, user: str = "system") -> DataFrame:
+    """The one RETENTION_PURGE row of a run of ``retention_split``: how many sessions went, and the period; it is written if none went, too."""
+    x = split.agg(F.count_if("purged").alias("purged")).select(F.lit(as_of).alias("ts"), F.lit(user).alias("user_id"), F.lit("all").alias("record"), "purged", F.lit(days).alias("days"))
+    return log_rows(x, "RETENTION_PURGE", "sessions", "record").withColumn("purged", F.get_json_object("new_values", "$.purged").cast("long"))
+
+
+def upsert_errors(terms: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, term, error) of the new terms that ``upsert_terms`` does not take: their phrase exists, or an earlier new one has it."""
+    w = Window.partitionBy("term").orderBy("id")
+    x = new.join(terms.select("term", F.lit(True).alias("_old")).distinct(), "term", "left").withColumn("_rn", F.row_number().over(w))
+    error = F.when(F.col("_old"), "phrase exists").when(F.col("_rn") > 1, "phrase repeated")
+    return x.select("id", "term", error.alias("error")).where("error is not null")
+
+
 def delete_terms(terms: DataFrame, ids: DataFrame) -> DataFrame:
     return terms.join(ids.select("id"), "id", "left_anti").orderBy("term")
 

@@ -343,6 +343,27 @@ def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.retention_split(x, datetime.datetime(2024, 1, 20), 10).select("event_id", "purged")
 
 
+@query("SELECT 'RETENTION_PURGE' AS action, 'sessions' AS table_name, count(*) FILTER (ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 DAYS) AS purged FROM events")
+def retention_purge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = datetime.datetime(2024, 1, 20)
+    x = review.retention_split(_events(spark, sf_dir).withColumn("created_at", F.col("ts")), day, 10)
+    return review.purge_log(x, day, 10).select("action", "table_name", "purged")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS record_id, 'FINDING_DECISION' AS action, 'findings' AS table_name, ts, event_type AS decision FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("finding_id"))
+    d = _events(spark, sf_dir).select(F.col("user_id").alias("finding_id"), F.col("event_type").alias("decision"), F.lit("").alias("reason"), F.lit("o").alias("decided_by"), "ts")
+    return review.decision_log(f, d).select("record_id", "action", "table_name", "ts", F.get_json_object("new_values", "$.decision").alias("decision"))
+
+
+@query("SELECT p_partkey AS id, p_name AS term, CASE WHEN o THEN 'phrase exists' ELSE 'phrase repeated' END AS error FROM (SELECT p_partkey, p_name, p_name IN (SELECT p_name FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 50 <> 5) AS o, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part WHERE p_partkey % 5 <> 0) q WHERE o OR r > 1")
+def vague_terms_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New terms whose phrase is there or comes twice."""
+    x = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("term"))
+    return review.upsert_errors(x.where("id % 5 = 0 and id % 50 <> 5"), x.where("id % 5 <> 0"))
+
+
 _DEL = "SELECT o_orderkey AS audit_id, o_orderkey % 7 AS user_id, CASE WHEN o_orderkey % 10 = 0 THEN 'Admin' ELSE 'Officer' END AS role FROM orders WHERE o_orderkey % 2 = 0"
 
 
@@ -353,6 +374,19 @@ def delete_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.delete_audits(o.select(F.col("o_orderkey").alias("audit_id"), (F.col("o_custkey") % 7).alias("user_id")), req)[1].select("audit_id", "outcome")
 
 
+@query(f"SELECT CAST(audit_id AS VARCHAR) AS record_id, 'DELETE_AUDIT' AS action FROM ({_DEL}) r JOIN orders ON o_orderkey = audit_id WHERE role = 'Admin' OR o_custkey % 7 = r.user_id")
+def deletion_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    req = bindings.sql(spark, sf_dir, f"SELECT *, TIMESTAMP '2026-01-01 00:00:00' AS ts FROM ({_DEL.replace('FROM orders', 'FROM {orders}')}) r")
+    return review.deletion_log(review.delete_audits(o.select(F.col("o_orderkey").alias("audit_id"), (F.col("o_custkey") % 7).alias("user_id")), req)[1]).select("record_id", "action")
+
+
+@query(f"SELECT doc_id, error_message FROM ({_FILES}) WHERE error_message IS NOT NULL")
+def ingest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error list of a batch."""
+    return io.ingest_errors(_files(spark, sf_dir))
+
+
 @query("SELECT p_name AS term, CASE WHEN min(p_partkey) FILTER (p_partkey % 5 = 0) IS NOT NULL THEN min(p_partkey) FILTER (p_partkey % 5 = 0) ELSE min(p_partkey) END AS id FROM part GROUP BY 1")
 def vague_terms_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as terms: those of every fifth part are there, the others come new."""

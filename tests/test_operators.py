@@ -218,3 +218,20 @@ def test_product_rules(spark):
     p = spark.createDataFrame([(1, "a"), (2, "b")], "id int, canonical_name string")
     c = spark.createDataFrame([(8, 1, "y"), (7, 1, "x")], "id int, product_id int, instrument string")
     assert {r.id: [z.instrument for z in r.rules] for r in review.product_rules(p, c).collect()} == {1: ["x", "y"], 2: []}
+
+
+def test_log_rows_of_officers_work(spark):
+    day = datetime.datetime(2026, 2, 1)
+    f = spark.createDataFrame([("f1",)], "finding_id string")
+    d = spark.createDataFrame([("f1", "ACCEPT", "", "o", 1), ("f1", "REJECT", "why", "o", 2), ("f9", "ACCEPT", "", "o", 1)], "finding_id string, decision string, reason string, decided_by string, ts int")
+    assert sorted((r.action, r.record_id, r.user_id, json.loads(r.new_values)["decision"]) for r in review.decision_log(f, d).collect()) == [("FINDING_DECISION", "f1", "o", "ACCEPT"), ("FINDING_DECISION", "f1", "o", "REJECT")]
+    s = spark.createDataFrame([(1, day - datetime.timedelta(days=40)), (2, day), (3, None)], "id int, created_at timestamp")
+    for rows, n in ((s, 1), (s.where("id = 2"), 0)):
+        (log,) = review.purge_log(review.retention_split(rows, day), day).collect()
+        assert (log.action, log.purged, json.loads(log.new_values)["days"]) == ("RETENTION_PURGE", n, 30)
+    a = spark.createDataFrame([(1, "u"), (2, "u")], "audit_id int, user_id string")
+    r = spark.createDataFrame([(1, "u", "Officer", 5), (2, "v", "Officer", 5), (3, "v", "Admin", 5)], "audit_id int, user_id string, role string, ts int")
+    assert [(x.action, x.record_id, x.user_id) for x in review.deletion_log(review.delete_audits(a, r)[1]).collect()] == [("DELETE_AUDIT", "1", "u")]
+    t = spark.createDataFrame([(1, "old"), (1, "old")], "id int, term string")
+    n = spark.createDataFrame([(5, "old"), (6, "new"), (7, "new")], "id int, term string")
+    assert sorted(map(tuple, review.upsert_errors(t, n).collect())) == [(5, "old", "phrase exists"), (7, "new", "phrase repeated")]

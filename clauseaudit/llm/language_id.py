@@ -5,25 +5,25 @@ presence kernel over the exact n-grams of the landmarks (others are not counted)
 the inverse square root of the landmarks' own kernel, and one-versus-rest kernel ridge regression is solved
 in those coordinates.  Both are linear in a text's n-grams, so scoring sums a weight of each n-gram.
 
-Landmarks and training rows are a bounded sample of rows with a language: at most ``per_language`` of each language, those with the smallest hashes of their ids.  Every whole text is scored.  A null text
-or one without a letter is ``und`` with score 0; so is every text if there is nothing to learn from.  Ties between languages go to
+Training rows are a bounded sample of rows with a language: of each language at most ``per_language``, those with the smallest hashes of their ids, and of those as many as
+come before the language's share of ``max_bytes`` is used up (one at least).  Landmarks are drawn from all languages in turn, so a rare one has as many as it has rows.
+Every whole text is scored.  A null text or one without a letter (Unicode's class L, so no digit, fraction or Roman numeral sign) is ``und`` with score 0; so is every text if there is nothing to learn from.  Ties between languages go to
 the first by name.  Rows are scored alone; repeated rows agree and other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseaudit.llm.byte_bpe import LETTER, _classes
 from clauseaudit.llm.common import LOWER, chunks
 
 LENGTHS = (1, 2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
 _FLAGS = 32 << 20
 
 
@@ -93,7 +93,11 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float =
     if not names:
         return None
     raw = [t.encode() for t in texts]
-    chosen = np.random.default_rng(seed).permutation(len(raw))[: max(landmarks, 4 * len(names))]
+    drawn = np.random.default_rng(seed).permutation(len(raw))
+    own, turn = np.array(langs)[drawn], np.zeros(len(raw), np.int64)
+    for name in names:
+        turn[own == name] = np.arange((own == name).sum())
+    chosen = drawn[np.argsort(turn, kind="stable")][: max(landmarks, 4 * len(names))]
     grams = Grams([raw[i] for i in chosen])
     own = [grams.found(*_joined([b]))[1] for b in raw]
     has = np.zeros((grams.size, len(chosen)), np.uint8)
@@ -111,22 +115,36 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float =
     return Model(grams, weights, names)
 
 
-def train(docs: DataFrame, per_language: int = 400) -> Model | None:
+def train(docs: DataFrame, per_language: int = 400, max_bytes: int = 64 << 20) -> Model | None:
     """From documents whose crc32(doc_id as text) mod 3 is not 1: text and lang only."""
     learnt = "lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1"
+    order = [F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 1), F.col("doc_id")]
     rows = docs.select("doc_id", "lang").where(learnt)
-    known = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    ids: set[int] = set()
-    for lang in known:  # one bounded top-k of ids for each language, over the two narrow columns
-        ids.update(r["doc_id"] for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(per_language).select("doc_id").collect())
+    # Hashes below a bound that a language's count gives hold its first rows but for a chance of 1e-20, so few rows of a language with most rows are shuffled.
+    bound = (2 * per_language + 100) / F.col("count") * 2.0**63
+    near = rows.join(rows.groupBy("lang").count(), "lang").where(order[0] <= bound)
+    first = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= per_language)
+    ids = sorted({r["doc_id"] for r in first.select("doc_id").collect()})
     if not ids:
         return None
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "doc_id bigint")
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id bigint")
     got = docs.select("doc_id", "lang", "text").where(learnt).where("text is not null").join(F.broadcast(chosen), "doc_id", "left_semi")
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, -1))
+    langs = got.select("lang").distinct().count()
+    got = got.withColumn("_before", F.coalesce(size, F.lit(0))).where(F.col("_before") < max_bytes // max(1, langs)).select("doc_id", "lang", "text")
     pairs = sorted((r["doc_id"], r["lang"], r["text"]) for r in got.toLocalIterator())
     return fit([t for _, _, t in pairs], [lang for _, lang, _ in pairs])
 
 
+def lettered(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter."""
+    out = np.zeros(len(off) - 1, bool)
+    points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+    at = np.flatnonzero((buf & 0xC0) != 0x80)[_classes()[points] == LETTER]
+    out[np.searchsorted(off, at, side="right") - 1] = True
+    return out
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -135,13 +153,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         model = held.value
         for chunk in chunks(batches, limit=512 << 10):
             lang, score = ["und"] * len(chunk), np.zeros(len(chunk))
-            lettered = np.array([_LETTER.search(chunk.text(i).decode()) is not None for i in range(len(chunk))])
-            if model is not None and lettered.any():
+            known = lettered(chunk.buf, chunk.off)
+            if model is not None and known.any():
                 d = np.concatenate([model.decide(chunk.buf[chunk.off[a] : chunk.off[b]], chunk.off[a : b + 1] - chunk.off[a]) for a, b in _blocks(len(chunk), max(1, _FLAGS // model.grams.size))])
                 best = d.argmax(1)
                 e = np.exp(4 * (d - d.max(1, keepdims=True)))
-                score = np.where(lettered, (e / e.sum(1, keepdims=True)).max(1), 0.0)
-                lang = [model.names[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist())]
+                score = np.where(known, (e / e.sum(1, keepdims=True)).max(1), 0.0)
+                lang = [model.names[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist())]
             yield pa.RecordBatch.from_pydict({"doc_id": chunk.column("doc_id").cast(pa.int64()), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score.astype(np.float64))})
 
     x = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")

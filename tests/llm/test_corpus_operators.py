@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -263,6 +264,19 @@ def test_language_id(spark, small, odd, none):
     assert {r.lang_pred for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_letters(spark):
+    """Against the class of every character; numbers that are no digits are no letters."""
+    texts = ["½ ² ④ Ⅷ", "④ b", "", "__ 12 ١٢", "ñ", "😀", "क", "\u0301", "ǅ", "ªº"]
+    off = np.cumsum([0] + [len(t.encode()) for t in texts])
+    got = language_id.lettered(np.frombuffer("".join(texts).encode(), np.uint8), off)
+    assert got.tolist() == [any(unicodedata.category(c)[0] == "L" for c in t) for t in texts] and got.sum() == 5
+    rows = [(i, f"the word {i} of all", "en") for i in range(40)] + [(100 + i, f"das Wort {i} von vielen", "de") for i in range(3)] + [(200, "½ ² ④", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}[200] == ("und", 0.0)
+    few = language_id.train(docs, max_bytes=60)  # the shares of two languages: one or two short texts each
+    assert few.names == ["de", "en"]
+
+
 def test_language_id_long_texts(spark):
     """Two languages with very many n-grams: a text of 1 MB is told as well as a short one; 70 languages are all learnt."""
     rng = random.Random(4)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseaudit.functions.text import base_number, finding_id, is_stale, mentions_certification, render
+from clauseaudit.operators.catalogue import apply_catalogue
 from clauseaudit.operators.extract import match_vague_terms
 from clauseaudit.operators.mapping import first_near, resolve_product, resolve_standard
 from clauseaudit.sources.reference import MESSAGE, NO_EXPLANATION, RULE_SET_VERSION, SEVERITY, ReferenceData
@@ -34,6 +35,8 @@ class Facts:
     reference: ReferenceData
     document_scope: bool
     citations: DataFrame  # doc_id, clause_id, ordinal, cit_no, span_start, span_end, number (its base), year, part
+    catalogue: DataFrame | None = None  # versions of rules (see operators.catalogue); without them the fixed rules hold
+    audit_dates: DataFrame | None = None  # doc_id, audit_date: which version holds; without it that of reference.as_of
 
 
 def build_facts(clauses: DataFrame, citations: DataFrame, mentions: DataFrame, reference: ReferenceData, vague: DataFrame | None = None, document_scope: bool = True) -> Facts:
@@ -70,9 +73,16 @@ def _finding(x: DataFrame, rule: str, params: dict[str, Column] | None = None, c
         finding_id(F.lit(rule), F.col("doc_id"), F.col("clause_id"), start, message, proof["row_id"]).alias("finding_id"), F.lit(rule).alias("rule_id"), severity.alias("severity"), "doc_id", "clause_id",
         start.alias("span_start"), end.alias("span_end"), message.alias("message_en"), F.lit(None).cast("string").alias("message_hi"),
         F.when(F.lit(bool(evidence)), proof).alias("evidence"), F.lit(RULE_SET_VERSION).alias("rule_set_version"),
+        _params(params or {}).alias("_params"), F.coalesce(F.lit(False) if conflict is None else conflict, F.lit(False)).alias("_conflict"),
     )
 
 
+def _params(params: dict[str, Column]) -> Column:
+    """Values of a message's placeholders, for catalogues that word it in another way."""
+    items = [x for name, c in params.items() for x in (F.lit(name), F.coalesce(c.cast("string"), F.lit("")))]
+    return F.create_map(*items).cast("map<string,string>")
+
+
 def _date(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
@@ -233,15 +243,24 @@ def shared(f: Facts) -> Facts:
     return dataclasses.replace(f, **{n: getattr(f, n).persist(StorageLevel.MEMORY_AND_DISK) for n in FACTS})
 
 
-def evaluate(f: Facts, rules: tuple[str, ...]) -> DataFrame:
-    if len(rules) > 1 or rules[0] == "R08":  # R08 reads the citations twice
+def release(f: Facts) -> None:
+    """Frees what ``shared`` keeps."""
+    for n in FACTS:
+        getattr(f, n).unpersist()
+
+
+def evaluate(f: Facts, rules: tuple[str, ...], share: bool = True) -> DataFrame:
+    """Findings of ``rules``; with ``share`` off the caller keeps (and frees) the shared frames itself."""
+    if not share:
+        pass
+    elif len(rules) > 1 or rules[0] == "R08":  # R08 reads the citations twice
         f = shared(f)
     elif rules[0] == "R11":
         f = dataclasses.replace(f, citations=f.citations.persist(StorageLevel.MEMORY_AND_DISK))
     out = RULES[rules[0]](f)
     for r in rules[1:]:
         out = out.unionByName(RULES[r](f))
-    return out
+    return out.drop("_params", "_conflict") if f.catalogue is None else apply_catalogue(out, f.catalogue, f.reference.as_of, f.audit_dates)
 
 
 def evaluate_documents(f: Facts) -> DataFrame:

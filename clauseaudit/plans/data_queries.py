@@ -536,6 +536,18 @@ def sink_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.banner_check(io.json_report(f.clauses, rules.evaluate_documents(f)))
 
 
+@query("SELECT 'pending' AS decision, doc_id, CAST(length(text) AS VARCHAR) || ' \"#\", ' || chr(10) || '# ' || coalesce(lang, '') AS message_en, concat('https://x.example/', doc_id) AS url, source AS rule_id FROM documents")
+def sink_csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as findings with quotes, commas, line breaks and number signs in their messages, written under the banner and read back."""
+    message = F.concat(F.length("text").cast("string"), F.lit(' "#", \n# '), F.coalesce("lang", F.lit("")))
+    x = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("clause_id"), F.col("source").alias("rule_id"), message.alias("message_en"), F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string")).alias("url"), F.lit("pending").alias("decision"))
+    folder = f"{shared_folder(spark, 'report')}"
+    io.write_csv_report(x, folder, ("doc_id",))
+    y = io.read_csv_report(spark, folder, ("doc_id",))
+    empty = lambda c: F.when(F.col(c) != "", F.col(c))
+    return y.select(F.col("Decision").alias("decision"), F.col("doc_id").cast("long").alias("doc_id"), empty("English Message").alias("message_en"), F.col("Evidence URL").alias("url"), empty("Rule ID").alias("rule_id"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds FROM events")
 def sink_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as audit-log rows with their values as JSON, counted."""

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import dataclasses
+import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseaudit.operators import diff, evaluate, incremental, mapping, review, rules
-from clauseaudit.operators.extract import extract_citations, match_many_terms, match_vague_terms
+from clauseaudit.operators.extract import cross_check, extract_citations, fallback_chain, match_many_terms, match_vague_terms
+from clauseaudit.operators.extractor import PatternExtractor, cacheable, extract_with
+from clauseaudit.operators.incremental import put
 from clauseaudit.sources import bindings
 from clauseaudit.sources.bindings import facts
+from clauseaudit.sources.reference import rule_catalogue
 from clauseaudit.sources.scratch import shared_folder
+from clauseaudit.streaming.intake import stream_pages
 
 FLAT = ("doc_id", "clause_id", "rule_id", "severity", "span_start", "span_end", "message_en", "row_id", "url", "verified_on")
 MANY = "l_orderkey % 300"  # documents of many orders, for the rules that need repeats
@@ -162,6 +167,58 @@ def incremental_audit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(incremental.update(state, after, old, new, bindings.extract, shared_folder(spark, "update")).findings)
 
 
+#: Versions of rules that differ from the fixed ones: another severity and wording from a day on, none from a day on, none after a day, a placeholder that nothing fills.
+_CHANGED = """SELECT 'R03' AS rule_id, true AS enabled, 'ERROR' AS severity, 'Cited {{cited_year}}, listed {{catalogue_year}}.' AS message_en, '2' AS rule_set_version, DATE '2025-05-01' AS valid_from, CAST(NULL AS DATE) AS valid_to
+ UNION ALL SELECT 'R08', false, 'INFO', 'none', '2', DATE '2025-04-01', NULL UNION ALL SELECT 'R09', true, 'WARNING', 'See {{nothing}}: {{explanation}}', '2', DATE '2025-03-01', DATE '2025-06-01'"""
+_DATES = f"SELECT doc_id, DATE '2025-01-01' + CAST(doc_id AS INT) AS audit_date FROM (SELECT DISTINCT {MANY.replace('l_', 'o_')} AS doc_id FROM {{orders}}) o WHERE doc_id % 10 <> 0"
+
+
+def rules_as_data_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings under a catalogue of rule versions, each document under those of its own audit date (the day of the audit where it has none)."""
+    catalogue = rule_catalogue(spark).unionByName(bindings.sql(spark, sf_dir, _CHANGED), allowMissingColumns=True)
+    f = dataclasses.replace(facts(spark, sf_dir, MANY), catalogue=catalogue, audit_dates=bindings.sql(spark, sf_dir, _DATES))
+    x = rules.evaluate(f, ("R03", "R04", "R08", "R09"))
+    return x.select(*FLAT[:4], "message_en", "rule_set_version")
+
+
+class _NumberReader(PatternExtractor):
+    """Reads plain numbers only and fails on clauses about gizmos."""
+
+    def extract(self, clauses, language_hints):
+        if any("gizmo" in c for c in clauses):
+            raise ValueError("no gizmos")
+        return super().extract(clauses, language_hints)
+
+
+def extractor_hook_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second extractor through the hook, part of its results out of a cache, then the native one where it failed, cross-checked."""
+    c = bindings.clauses(spark, sf_dir).select("doc_id", "clause_id", "part_key", "text")
+    reader = _NumberReader(r"IS (?P<number>\d{2,6})(?: \(Part (?P<part>\d+)\))?(?:: (?P<year>(?:19|20)\d\d))?")
+    cache = put(cacheable(extract_with(c.where("part_key % 2 = 0"), reader)), shared_folder(spark, "cache"), "extractions")
+    got = extract_with(c, reader, cache)
+    found = got.where("error is null").select("key", "citations").dropDuplicates(["key"])
+    x = cross_check(fallback_chain(got.select("doc_id", "clause_id", "part_key", "text", "key", "cached", "error"), found, found.where("false")))
+    return x.select("doc_id", "clause_id", "provider", "cached", F.substring_index("error", ":", 1).alias("error"), "extraction_uncertain", F.size("citations").alias("n_citations"), F.try_element_at("citations", F.lit(1))["is_number"].alias("is_number"), F.try_element_at("citations", F.lit(1))["span_start"].alias("span_start"))
+
+
+def stream_pages_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses as pages that arrive in files, out of order and some of them twice: documents gathered by state, findings of all rules."""
+    c = bindings.clauses(spark, sf_dir, MANY)
+    n = c.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count"))
+    pages = c.join(n, "doc_id").select("doc_id", F.col("ordinal").alias("page_number"), "page_count", "text", (F.lit(datetime.datetime(2026, 1, 1)) + F.make_dt_interval(secs=F.col("ordinal"))).alias("intake_ts"))
+    folder = shared_folder(spark, "pages")
+    for i, part in enumerate((pages.where("page_number % 3 = 0"), pages.where("page_number % 3 <> 0 or page_number % 5 = 0"), pages.where("page_number % 7 = 0"))):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    def extract(batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        x = batch.select("doc_id", F.concat(F.lit("c"), F.col("page_number").cast("string")).alias("clause_id"), F.col("page_number").alias("ordinal"), "text")
+        named = x.withColumn("mention", F.regexp_extract("text", "^Supply of \\d+ ([a-z]+ [a-z]+)", 1))
+        return x, *bindings.extract(named)
+
+    stream_pages(spark, f"{folder}/in", pages.schema, extract, lambda: bindings.reference(spark, sf_dir), f"{folder}/out", f"{folder}/check", files_per_batch=2).awaitTermination()
+    return flat(spark.read.parquet(f"{folder}/out/batch=*"))
+
+
 def _drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a = bindings.clauses(spark, sf_dir).select("doc_id", "clause_id", "ordinal", "text", "part_key")
     b = a.where("part_key % 7 <> 0").withColumn("text", F.when(F.col("part_key") % 5 == 0, F.concat("text", F.lit(" Revised."))).otherwise(F.col("text")))
@@ -198,7 +255,7 @@ QUERIES = {f"rule_{r.lower()}_{n}": _rule(r, d) for r, n, d in (
     "extract_citations": extract_citations_q, "resolve_standard": resolve_standard_q, "resolve_standard_strict": lambda s, d: resolve_standard_q(s, d, False), "suggest_near": suggest_near_q,
     "match_vague_terms": match_vague_q, "match_many_terms": match_many_terms_q, "map_product": map_product_q, "map_product_hits": map_product_hits_q, "override_mapping": override_mapping_q, "resolve_product": resolve_product_q, "used_rows": used_rows_q, "evaluate_documents": evaluate_documents_q, "evaluate_clauses": evaluate_clauses_q,
     "cited_number_set": cited_number_set_q, "severity_counts": severity_counts_q, "audit_summary": audit_summary_q, "fired_rules": fired_rules_q, "eval_evidence_completeness": evidence_completeness_q,
-    "finding_filter": finding_filter_q, "mapping_eval": mapping_eval_q, "mapping_summary": mapping_summary_q, "edited_clauses": edited_clauses_q, "incremental_audit": incremental_audit_q, "clause_diff": clause_diff_q, "finding_diff": finding_diff_q, "diff_summary": diff_summary_q,
+    "finding_filter": finding_filter_q, "mapping_eval": mapping_eval_q, "mapping_summary": mapping_summary_q, "edited_clauses": edited_clauses_q, "incremental_audit": incremental_audit_q, "rules_as_data": rules_as_data_q, "extractor_hook": extractor_hook_q, "stream_pages_audit": stream_pages_q, "clause_diff": clause_diff_q, "finding_diff": finding_diff_q, "diff_summary": diff_summary_q,
 }
 
 
@@ -340,6 +397,14 @@ def oracle() -> dict[str, str]:
         "mapping_summary": f"SELECT count(*) AS total, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (expected_unmapped) AS total_unmapped, count(*) FILTER (expected_unmapped AND is_unmapped) AS unmapped_correct, count(*) FILTER (expected_unmapped) = count(*) FILTER (expected_unmapped AND is_unmapped) AS gate FROM ({cases})",
         "edited_clauses": f"{v}, ed AS (SELECT doc_id, clause_id FROM cl WHERE part_key % 5 = 0) SELECT {four} FROM ({_every('l_orderkey', ('R02', 'R03', 'R04', 'R05'))}) ANTI JOIN ed USING (doc_id, clause_id) UNION ALL SELECT {four} FROM ({struck}) SEMI JOIN ed USING (doc_id, clause_id)",
         "incremental_audit": f"{_edited_views(MANY)} SELECT {', '.join(FLAT)} FROM ({_every()})",
+        "rules_as_data": f"""{m}, dates AS ({_DATES.format(orders='orders')}), fnd AS (SELECT x.*, coalesce(audit_date, DATE '2026-01-01') AS d FROM ({_every(MANY, ('R03', 'R04', 'R08', 'R09'))}) x LEFT JOIN dates USING (doc_id)),
+ w AS (SELECT *, (rule_id = 'R03' AND d >= DATE '2025-05-01') OR (rule_id = 'R09' AND d >= DATE '2025-03-01') AS changed FROM fnd WHERE NOT (rule_id = 'R08' AND d >= DATE '2025-04-01') AND NOT (rule_id = 'R09' AND d >= DATE '2025-06-01'))
+ SELECT doc_id, clause_id, rule_id, CASE WHEN NOT changed OR severity = 'CANNOT_VERIFY' THEN severity WHEN rule_id = 'R03' THEN 'ERROR' ELSE 'WARNING' END AS severity,
+  CASE WHEN NOT changed THEN message_en WHEN rule_id = 'R03' THEN regexp_replace(message_en, '^The clause cites (\\d+)[.] The catalogue shows (\\d+) .*$', 'Cited \\1, listed \\2.') ELSE 'See {{nothing}}: {{explanation}}' END AS message_en, CASE WHEN changed THEN '2' ELSE '0.1.0' END AS rule_set_version FROM w""".replace("{{", "{").replace("}}", "}"),
+        "extractor_hook": f"""{v} SELECT doc_id, clause_id, CASE WHEN g THEN 'RegexFallback' ELSE 'primary' END AS provider, NOT g AND (part_key % 2 = 0 OR text IN (SELECT text FROM cl WHERE part_key % 2 = 0)) AS cached, CASE WHEN g THEN 'ValueError' END AS error, NOT g AND iec AS extraction_uncertain,
+ CAST(raw <> '' AND (g OR NOT iec) AS INT) AS n_citations, CASE WHEN raw <> '' AND (g OR NOT iec) THEN concat('IS', CASE WHEN iec THEN '/IEC' ELSE '' END, ' ', num) END AS is_number, CASE WHEN raw <> '' AND (g OR NOT iec) THEN CAST(strpos(text, raw) - 1 AS INT) END AS span_start
+ FROM (SELECT doc_id, clause_id, part_key, text, raw, g.num AS num, contains(text, 'IS/IEC') AS iec, contains(text, 'gizmo') AS g FROM m)""",
+        "stream_pages_audit": f"{m} SELECT {', '.join(FLAT)} FROM ({_every()})",
         "extract_citations": f"{v} SELECT doc_id, clause_id, 0 AS cit_no, raw, span_start, span_end, is_number, part, year FROM cite",
         "resolve_standard": f"{v} SELECT doc_id, clause_id, is_number, is_number AS base_number, sid AS standard_id, snum AS resolved_number FROM res",
         "resolve_standard_strict": f"{v} SELECT c.doc_id, c.clause_id, c.is_number, c.is_number AS base_number, s.id AS standard_id, s.is_number AS resolved_number FROM cite c LEFT JOIN std s ON s.is_number = c.is_number",

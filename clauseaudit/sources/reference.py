@@ -32,6 +32,7 @@ RULES = (
 )
 SEVERITY = {r[0]: r[2] for r in RULES}
 MESSAGE = {r[0]: r[3] for r in RULES}
+# Fixed value: the explanation of a term that has none.
 NO_EXPLANATION = "Refers to quality generally without specifying a standard number."
 
 STANDARD = "id int, is_number string, part string, publication_year int, status string, catalogue_url string, verified_on date, is_conflict boolean"
@@ -57,9 +58,9 @@ class ReferenceData:
 
 
 def rule_catalogue(spark: SparkSession) -> DataFrame:
-    """The catalogue as rows."""
-    schema = "rule_id string, name string, severity string, message_en string, message_hi string, rule_set_version string"
-    return spark.createDataFrame([(*r, None, RULE_SET_VERSION) for r in RULES], schema)
+    """The fixed rules as catalogue rows, enabled and valid at all times; ``operators.catalogue`` evaluates such rows."""
+    schema = "rule_id string, name string, severity string, message_en string, message_hi string, rule_set_version string, enabled boolean, valid_from date, valid_to date"
+    return spark.createDataFrame([(*r, None, RULE_SET_VERSION, True, None, None) for r in RULES], schema)
 
 
 def product_terms(products: DataFrame) -> DataFrame:
@@ -71,18 +72,19 @@ def product_terms(products: DataFrame) -> DataFrame:
 def load_reference_tables(spark: SparkSession, folder: str, strict: bool = True) -> dict[str, DataFrame]:
     """Five CSV files to dimensions with ids and resolved natural keys.
 
-    Rows with provenance problems stop a strict load; otherwise they go to ``quarantine``.  The first row of a natural key wins and rows
-    whose keys do not resolve are dropped."""
+    A table is ``<name>.csv``: one file, or a folder of files with a header each, which count in order of their names.  ``line_no`` is a row's place in
+    its file, the header being 1.  Rows with provenance problems stop a strict load; otherwise they go to ``quarantine``.  The first row of a
+    natural key (by file, then line) wins and rows whose keys do not resolve are dropped."""
     from clauseaudit.operators.provenance import provenance_check
 
-    read = lambda name: spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{folder}/{name}.csv").withColumn("line_no", F.monotonically_increasing_id() + 2)
+    read = lambda name: numbered(spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{folder}/{name}.csv"))
     good, bad = {}, []
     for name in ("standards", "product_standard_map", "certification_rules", "allied_links"):
         x = provenance_check(read(name), name)
-        bad.append(x.where(F.size("problems") > 0).select(F.lit(name).alias("table_name"), "line_no", "problems"))
+        bad.append(x.where(F.size("problems") > 0).select(F.lit(name).alias("table_name"), "file", "line_no", "problems"))
         good[name] = x.where(F.size("problems") == 0).drop("problems")
     quarantine = bad[0].unionByName(bad[1]).unionByName(bad[2]).unionByName(bad[3])
-    if strict and (first := quarantine.limit(1).collect()):
+    if strict and (first := quarantine.orderBy("table_name", "file", "line_no").limit(1).collect()):
         raise ValueError(f"{first[0]['table_name']} line {first[0]['line_no']}: {'; '.join(first[0]['problems'])}")
     first_of = lambda x, *keys: with_ids(_first(x, keys))
     standards = first_of(good["standards"], "is_number")
@@ -99,15 +101,28 @@ def load_reference_tables(spark: SparkSession, folder: str, strict: bool = True)
 def _first(x: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy("line_no")
+    w = Window.partitionBy(*keys).orderBy("file", "line_no")
     return x.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def numbered(x: DataFrame) -> DataFrame:
+    """``x``, read from files that are not split, with ``file`` (its name) and ``line_no``.
+
+    A task reads a file from its start to its end, so a row's number is its distance from the file's first row; one row a file is
+    shuffled and joined back."""
+    x = x.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).withColumn("_id", F.monotonically_increasing_id())
+    first = x.groupBy("file").agg(F.min("_id").alias("_first"))
+    return x.join(first, "file").withColumn("line_no", F.col("_id") - F.col("_first") + 2).drop("_id", "_first")
+
+
 def with_ids(x: DataFrame) -> DataFrame:
-    """Dense ids by line; reference tables are small curated files, so one sorted window is enough."""
+    """Dense ids from 1 in order of file and line: each file's rows are numbered apart, and the counts of the files before are added."""
     from pyspark.sql import Window
 
-    return x.withColumn("id", F.row_number().over(Window.orderBy("line_no")))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    offset = x.groupBy("file").agg(F.count("*").alias("_n")).select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("file").orderBy("line_no", *[c for c in x.columns if c not in ("file", "line_no")]))
+    return x.withColumn("_own", own).join(offset, "file").withColumn("id", (F.col("_own") + F.col("_offset")).cast("int")).drop("_own", "_offset")
 
 
 def empty_reference(spark: SparkSession, as_of: datetime.date, **tables: DataFrame) -> ReferenceData:

@@ -1,14 +1,16 @@
 """Uploads, snapshots, reference files and the stream."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from clauseaudit.operators.extract import extract_citations
 from clauseaudit.operators.segment import segment_clauses
 from clauseaudit.sources import io
 from clauseaudit.sources.reference import load_reference_tables, rule_catalogue
-from clauseaudit.streaming.intake import stream_audit
+from clauseaudit.streaming.intake import stream_audit, stream_pages
 
 
 def test_upload_gate(spark):
@@ -58,6 +60,58 @@ def test_reference_files(spark, tmp_path):
     assert rule_catalogue(spark).count() == 14
 
 
+def test_reference_folders(spark, tmp_path):
+    """Tables of several files: places in each file, dense ids over all, the first row of a key by file and line."""
+    _write(tmp_path)
+    (tmp_path / "standards.csv").unlink()
+    (tmp_path / "standards.csv").mkdir()
+    head = "is_number,title,publication_year,status,superseded_by,catalogue_url,verified_on,verified_by,second_checked_by,evidence_ref\n"
+    line = lambda n, title, url="https://x": f'IS {n},"{title}",2010,Active,,{url},2026-01-01,asha,ben,rec\n'
+    (tmp_path / "standards.csv" / "b.csv").write_text(head + line(5, "b5") + line(1, "b1") + line(9, "b9", "http://x"))
+    (tmp_path / "standards.csv" / "a.csv").write_text(head + line(1, "two\nlines") + line(8, "bad", "http://x") + line(2, "a2") + line(1, "again"))
+    t = load_reference_tables(spark, str(tmp_path), strict=False)
+    assert sorted((r.id, r.is_number, r.title, r.file, r.line_no) for r in t["standards"].collect()) == [(1, "IS 1", "two\nlines", "a.csv", 2), (2, "IS 2", "a2", "a.csv", 4), (3, "IS 5", "b5", "b.csv", 2)]
+    assert sorted((r.file, r.line_no) for r in t["quarantine"].collect()) == [("a.csv", 3), ("b.csv", 4)]
+    assert t["allied_links"].select("source_standard_id", "target_standard_id").collect() == [(1, 2)]
+    with pytest.raises(ValueError, match="standards line 3"):
+        load_reference_tables(spark, str(tmp_path))
+
+
+def test_pages_become_documents(spark, tmp_path):
+    """Pages out of order, repeated and late; a document that never is complete; a restart; findings of all rules, once."""
+    from test_rules import reference
+
+    schema = "doc_id string, page_number int, page_count int, text string, intake_ts timestamp"
+    at = lambda hour: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=hour)
+    one, two = "Pumps conforming to IS 999: 2010.", "Pumps conforming to IS 999: 2015."
+
+    def put(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def extract(batch):
+        x = batch.select("doc_id", F.concat(F.lit("p"), F.col("page_number").cast("string")).alias("clause_id"), F.col("page_number").alias("ordinal"), "text", "complete")
+        mentions = spark.createDataFrame([], "doc_id string, clause_id string, pos int, text string, span_start int, span_end int, canonical_product_id string")
+        seen.extend((r.doc_id, r.clause_id, r.complete) for r in x.collect())
+        return x, extract_citations(x.select("doc_id", "clause_id", "ordinal", "text")), mentions
+
+    seen = []
+    run = lambda: stream_pages(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, extract, lambda: reference(spark), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    put(("d", 2, 2, two, at(0)), ("e", 1, 3, one, at(0)), (None, 1, 1, one, at(0)))
+    run()
+    assert seen == []
+    put(("d", 1, 2, one, at(0.5)), ("d", 1, 2, "other", at(0.5)), ("e", 3, 3, None, at(0.5)))
+    run()
+    assert sorted(seen) == [("d", "p1", True), ("d", "p2", True)]
+    put(("d", 1, 2, "again", at(1)), ("f", 1, 1, "as per BIS", at(5)))
+    run()
+    put(("e", 2, 3, two, at(0.2)), ("g", 1, 1, one, at(9)))  # too late for e
+    run()
+    assert sorted(seen) == [("d", "p1", True), ("d", "p2", True), ("e", "p1", False), ("e", "p3", False), ("f", "p1", True), ("g", "p1", True)]
+    x = spark.read.parquet(str(tmp_path / "out/batch=*"))
+    assert x.where("rule_id = 'R11'").select("doc_id").collect() == [("d",)] and x.groupBy("finding_id").count().where("count > 1").count() == 0
+    assert {r.doc_id for r in x.where("rule_id = 'R09'").collect()} == {"f"}
+
+
 def test_stream(spark, tmp_path):
     def put(n, ids):
         rows = [(i, f"clause {i}\n\nsecond", datetime.datetime(2026, 1, 1, 0, n)) for i in ids]
@@ -83,8 +137,35 @@ def test_append_and_reports(spark, tmp_path):
     c = spark.createDataFrame([("d", "c1", 1, "text")], "doc_id string, clause_id string, ordinal int, text string")
     r = io.banner_check(io.json_report(c, f)).first()
     assert r.has_banner and '"total_findings":1' in r.report
-    row = io.csv_report(f.withColumns({"finding_id": F.lit("f"), "span_end": F.lit(None).cast("int"), "url": F.lit(None).cast("string"), "verified_on": F.lit("x")})).first()
-    assert row.url == "" and list(row.asDict()) == list(io.CSV_COLUMNS)
+    a = spark.createDataFrame([("d", 7, "tender.txt", "2026-01-01", "DONE")], "doc_id string, audit_id int, document_name string, created_at string, status string")
+    meta = json.loads(io.json_report(c, f, a).first().report)
+    assert [meta[k] for k in ("audit_id", "document_name", "created_at", "status")] == [7, "tender.txt", "2026-01-01", "DONE"]
+    row = io.csv_report(f.withColumns({"url": F.lit(None).cast("string"), "verified_on": F.lit("x")})).first()
+    assert row["Evidence URL"] == "" and list(row.asDict()) == list(io.CSV_COLUMNS)
+
+
+def test_csv_report_begins_with_the_banner(spark, tmp_path):
+    """Every file is a report of its own; a second report takes the place of the first, and one without findings has its head."""
+    path, texts = tmp_path / "r", ['a, "b"', "# no comment\nnext", "", "ü"]
+    rows = [(i, f"c{i}", texts[i % 4]) for i in range(40)]
+    f = spark.createDataFrame(rows, "doc_id int, clause_id string, message_en string").repartition(3)
+    for x, mode in ((f.where("doc_id < 0"), "overwrite"), (f, "overwrite"), (f.where("doc_id = 1"), "append")):
+        io.write_csv_report(x, str(path), ("doc_id",), mode)
+        files = sorted(path.glob("part-*"))
+        head = [p.read_text().split("\n")[:2] for p in files]
+        assert files and all(h == [f"# {io.BANNER}", ",".join((*io.CSV_COLUMNS, "doc_id"))] for h in head)
+        assert sorted(p.name for p in path.iterdir() if p not in files) == ["_SUCCESS"]
+    got = io.read_csv_report(spark, str(path), ("doc_id",)).select(F.col("doc_id").cast("int"), "Clause ID", "English Message")
+    assert sorted(map(tuple, got.collect())) == sorted([*rows, rows[1]])
+
+    def fail(batches):
+        for b in batches:
+            raise RuntimeError("lost")
+            yield b
+
+    with pytest.raises(Exception, match="lost"):
+        io.write_csv_report(f.mapInArrow(fail, f.schema), str(path), ("doc_id",))
+    assert io.read_csv_report(spark, str(path), ("doc_id",)).count() == 41 and not list(path.glob("_staged*"))
 
 
 def test_eval_corpus_round_trip(spark, tmp_path):

@@ -122,7 +122,8 @@ def train(docs: DataFrame, per_language: int = 400, max_bytes: int = 64 << 20) -
     rows = docs.select("doc_id", "lang").where(learnt)
     # Hashes below a bound that a language's count gives hold its first rows but for a chance of 1e-20, so few rows of a language with most rows are shuffled.
     bound = (2 * per_language + 100) / F.col("count") * 2.0**63
-    near = rows.join(rows.groupBy("lang").count(), "lang").where(order[0] <= bound)
+    # The counts are broadcast: one row a language, as many as the model has columns; a shuffle by language would gather those of a frequent one.
+    near = rows.join(F.broadcast(rows.groupBy("lang").count()), "lang").where(order[0] <= bound)
     first = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= per_language)
     ids = sorted({r["doc_id"] for r in first.select("doc_id").collect()})
     if not ids:

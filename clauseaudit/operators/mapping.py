@@ -128,13 +128,13 @@ def standard_keys(standards: DataFrame) -> DataFrame:
 def resolve_standard(citations: DataFrame, standards: DataFrame, alias: bool = True) -> DataFrame:
     """``citations`` with the struct ``std`` (null if unknown): by the whole number, else by its base.
 
-    Without ``alias`` the catalogue's base numbers are no keys."""
+    Without ``alias`` the catalogue's base numbers are no keys.  A column ``base_number`` of the citations is taken as it is."""
     if alias:
         keys = standard_keys(standards)
     else:
         w = Window.partitionBy("is_number").orderBy(F.desc("id"))
         keys = standards.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(F.col("is_number").alias("key"), F.struct(*standards.columns).alias("std"))
-    x = citations.withColumn("base_number", base_number(F.col("is_number")))
+    x = citations if "base_number" in citations.columns else citations.withColumn("base_number", base_number(F.col("is_number")))
     whole = keys.select(F.col("key").alias("is_number"), F.col("std").alias("_whole"))
     base = keys.select(F.col("key").alias("base_number"), F.col("std").alias("_base"))
     return x.join(whole, "is_number", "left").join(base, "base_number", "left").withColumn("std", F.coalesce("_whole", "_base")).drop("_whole", "_base")

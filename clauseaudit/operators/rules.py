@@ -35,6 +35,7 @@ class Facts:
     reference: ReferenceData
     document_scope: bool
     citations: DataFrame  # doc_id, clause_id, ordinal, cit_no, span_start, span_end, number (its base), year, part
+    extracted: DataFrame  # the citations as they came, with base_number; the frames above derive from it
     catalogue: DataFrame | None = None  # versions of rules (see operators.catalogue); without them the fixed rules hold
     audit_dates: DataFrame | None = None  # doc_id, audit_date: which version holds; without it that of reference.as_of
 
@@ -44,11 +45,12 @@ def build_facts(clauses: DataFrame, citations: DataFrame, mentions: DataFrame, r
     ``mentions`` (doc_id, clause_id, pos, text, span_start, span_end, canonical_product_id), ``vague`` phrases extracted elsewhere."""
     flag = F.col("mentions_certification") if "mentions_certification" in clauses.columns else None
     clauses = clauses.withColumn("mentions_certification", mentions_certification(F.col("text"), flag))
-    resolved = resolve_standard(citations, reference.standards)
+    extracted = citations.withColumn("base_number", base_number(F.col("is_number")))
+    resolved = resolve_standard(extracted, reference.standards)
     near = first_near(resolved.where("std is null"), reference.standards)
     m = resolve_product(mentions, reference.products)
     products = m.where("product is not null").select(*KEY, "product").distinct()
-    cites = citations.select(*KEY).distinct()
+    cites = extracted.select(*KEY).distinct()
     none = m.groupBy(*KEY).agg(F.count("product").alias("n"), F.min(F.struct("pos", "span_start", "span_end")).alias("f")).where("n = 0")
     abstained = none.join(cites, list(KEY), "left_anti").select(*KEY, "f.span_start", "f.span_end")
     found = match_vague_terms(clauses.select(*KEY, "text"), reference.vague_terms)
@@ -56,9 +58,9 @@ def build_facts(clauses: DataFrame, citations: DataFrame, mentions: DataFrame, r
     if vague is not None:
         found = found.join(vague.select(*KEY).distinct(), list(KEY), "left_anti").unionByName(vague.select(*KEY, "span_start", "span_end", "term", "explanation"))
     scope = ["doc_id"] if document_scope else list(KEY)
-    cited = citations.select(*scope, base_number(F.col("is_number")).alias("number")).distinct()
-    places = citations.select(*KEY, "ordinal", "cit_no", "span_start", "span_end", base_number(F.col("is_number")).alias("number"), "year", "part")
-    return Facts(clauses, resolved, near, products, abstained, found, cited, reference, document_scope, places)
+    cited = extracted.select(*scope, F.col("base_number").alias("number")).distinct()
+    places = extracted.select(*KEY, "ordinal", "cit_no", "span_start", "span_end", F.col("base_number").alias("number"), "year", "part")
+    return Facts(clauses, resolved, near, products, abstained, found, cited, reference, document_scope, places, extracted)
 
 
 def _finding(x: DataFrame, rule: str, params: dict[str, Column] | None = None, conflict: Column | None = None, span: bool = True, **evidence: Column) -> DataFrame:
@@ -235,11 +237,13 @@ RULES: dict[str, Callable[[Facts], DataFrame]] = {
 }
 
 
-FACTS = ("clauses", "resolved", "near", "products", "cited", "citations")
+FACTS = ("clauses", "extracted", "resolved", "near", "products", "cited")
 
 
 def shared(f: Facts) -> Facts:
-    """The frames that several rules read, kept for the session (``spark.catalog.clearCache`` frees them; lost blocks are computed again)."""
+    """The frames that several rules read, kept for the session (``spark.catalog.clearCache`` frees them; lost blocks are computed again).
+
+    The citations come first: what derives from them reads them where they are kept, so the pattern runs over each clause once."""
     return dataclasses.replace(f, **{n: getattr(f, n).persist(StorageLevel.MEMORY_AND_DISK) for n in FACTS})
 
 
@@ -253,7 +257,7 @@ def evaluate(f: Facts, rules: tuple[str, ...], share: bool = True) -> DataFrame:
     """Findings of ``rules``; with ``share`` off the caller keeps (and frees) the shared frames itself."""
     if not share:
         pass
-    elif len(rules) > 1 or rules[0] == "R08":  # R08 reads the citations twice
+    elif len(rules) > 1 or rules[0] in ("R08", "R14"):  # these read the citations more than once
         f = shared(f)
     elif rules[0] == "R11":
         f = dataclasses.replace(f, citations=f.citations.persist(StorageLevel.MEMORY_AND_DISK))

@@ -97,7 +97,7 @@ def resolve_product_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def used_rows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.used_rows(facts(spark, sf_dir))
+    return rules.used_rows(rules.shared(facts(spark, sf_dir)))
 
 
 def evaluate_documents_q(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,23 @@ def test_product_map_covers_all_parts(spark):
     sf = "/root/testdata/sf0.01"
     want = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name").collect() if r.p_partkey % 3 == 0 and r.p_name.split(" ")[1] in ("ring", "bolt", "gear", "gizmo", "plate", "rod", "widget")}
     assert max(want) > 600 and {r.standard_id for r in bindings.reference(spark, sf).maps.select("standard_id").collect()} == want
+
+
+def test_rules_share_the_extracted_citations(spark):
+    """Once the citations are kept, no frame that derives from them runs the pattern again: it occurs only below the kept relation."""
+    from clauseaudit.sources.bindings import facts
+
+    f = facts(spark, "/root/testdata/sf0.001")
+    f.extracted.persist()
+    try:
+        def seen(x):
+            plan = x._jdf.queryExecution().executedPlan().toString()
+            return plan.count("regexp_extract_all"), plan.count("InMemoryRelation")
+
+        once, relations = seen(f.extracted)
+        assert once > 0 and relations == 1
+        for x in (f.resolved, f.near, f.cited, f.citations, f.abstained):
+            searches, kept = seen(x)
+            assert kept > 0 and searches == once * kept
+    finally:
+        f.extracted.unpersist()

@@ -74,6 +74,12 @@ def test_near_standards(spark):
     assert sorted(r.is_number for r in mapping.suggest_near(c, s).collect()) == ["IS 1325", "IS 13253", "IS 133252"]
 
 
+def test_near_standards_are_not_broadcast(spark):
+    s = spark.createDataFrame([(1, "IS 13252"), (2, "IS 302-2-25")], "id int, is_number string")
+    plan = mapping.suggest_near(s.select("is_number"), s)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [v#" in plan and "BroadcastHashJoin [v#" not in plan
+
+
 def test_spans(spark):
     c = "array<struct<raw:string,span_start:int,span_end:int,is_number:string,year:int>>"
     text = "Laptops to IS 13252: 2010."

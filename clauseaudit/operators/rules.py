@@ -143,16 +143,27 @@ def r06_cert_not_mentioned(f: Facts) -> DataFrame:
     return _finding(_r06_rows(f), "R06", {"verified_on": _date("cert.verified_on")}, F.col("cert.is_conflict"), span=False, url=F.col("cert.source_url"), verified_on=_date("cert.verified_on"), row_id=F.col("cert.id"), instrument=F.col("cert.instrument"))
 
 
-def r07_no_standard_cited(f: Facts) -> DataFrame:
-    m = f.reference.maps.join(f.reference.standards.select(F.col("id").alias("standard_id"), "is_number"), "standard_id", "left")
+def uncited_products(f: Facts) -> DataFrame:
+    """(doc_id, clause_id, product_id) of products in clauses that cite nothing: what R07 says of them depends on the reference tables alone."""
+    return f.products.join(f.resolved.select(*KEY).distinct(), list(KEY), "left_anti").select(*KEY, F.col("product.id").alias("product_id"))
+
+
+def no_standard_findings(uncited: DataFrame, reference: ReferenceData) -> DataFrame:
+    """R07's findings of ``uncited_products``."""
+    m = reference.maps.join(reference.standards.select(F.col("id").alias("standard_id"), "is_number"), "standard_id", "left")
     first = F.min(F.when(F.col("verified_on").isNotNull(), F.struct("id", F.col("verified_on").cast("string").alias("verified_on"), "source_url")))
     names = F.array_sort(F.collect_list(F.when(F.col("is_number").isNotNull(), F.struct("id", "is_number"))))
     m = m.groupBy("product_id").agg(F.array_join(F.transform(names, lambda z: z["is_number"]), ", ").alias("names"), first.alias("first"))
-    x = f.products.join(f.resolved.select(*KEY).distinct(), list(KEY), "left_anti").withColumn("product_id", F.col("product.id")).join(m, "product_id", "left")
+    # One row a product, whose text names its standards: by a shuffle all clauses of a product would meet in one task.
+    x = uncited.join(F.broadcast(m), "product_id", "left")
     params = {"standards": F.coalesce(F.expr("nullif(names, '')"), F.lit("standards in catalogue")), "verified_on": F.coalesce("first.verified_on", F.lit("verified date not recorded"))}
     return _finding(x, "R07", params, span=False, url=F.col("first.source_url"), verified_on=F.col("first.verified_on"), row_id=F.col("first.id"))
 
 
+def r07_no_standard_cited(f: Facts) -> DataFrame:
+    return no_standard_findings(uncited_products(f), f.reference)
+
+
 def _r08_rows(f: Facts) -> DataFrame:
     links = f.reference.links
     target = f.reference.standards.select(F.col("id").alias("_t"), F.col("is_number").alias("allied"))

@@ -69,3 +69,13 @@ def test_snapshot_of_four_levels_and_sql(spark, monkeypatch):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet{'/*' if os.path.isdir(f'{sf}/{t}.parquet') else ''}'")
     assert c.sql("select count(*) > 16 ** 3 from orders").fetchall() == [(True,)]
     assert sorted((r.table_name, r.n, r.checksum) for r in own) == sorted(c.sql(data_queries._snapshot_sql(leaf=1)).fetchall())
+
+
+def test_clauses_of_a_product_stay_in_their_tasks(spark):
+    """The reference rows of R07 come to the clauses, whatever their estimated size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = __spark_entry__.queries()["rule_r07_no_standard_cited"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [product_id#" in plan and "SortMergeJoin [product_id#" not in plan

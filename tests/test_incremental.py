@@ -61,3 +61,16 @@ def test_update_equals_a_new_audit(spark, change):
     assert extracted.count() == (0 if change == "the rest" else 1)  # of edited clauses alone
     assert {r.doc_id for r in evaluated.collect()} >= (set() if change == "the rest" else set(EDITS)) and evaluated.count() < before.count()
     spark.catalog.clearCache()
+
+
+def test_texts_of_r07_are_not_stored(spark):
+    """A new map of a product changes the findings of R07 without a clause that is evaluated again."""
+    old = reference(spark)
+    row = old.maps.where("product_id is not null").orderBy("id").limit(1).withColumn("id", F.lit(900).cast(old.maps.schema["id"].dataType)).withColumn("standard_id", F.lit(999).cast(old.maps.schema["standard_id"].dataType))
+    new, before, folder = dataclasses.replace(old, maps=old.maps.unionByName(row)), frame(spark, CASES), tempfile.mkdtemp(prefix="spark-")
+    state = incremental.audit(before, old, extract, f"{folder}/a")
+    got = incremental.update(state, before, old, new, extract, f"{folder}/b")
+    assert rows(got.findings) == rows(incremental.audit(before, new, extract, f"{folder}/c").findings.select(got.findings.columns))
+    assert spark.read.parquet(f"{folder}/b/again").count() == 0
+    assert spark.read.parquet(f"{folder}/a/findings").where("rule_id = 'R07'").count() == 0 < state.findings.where("rule_id = 'R07'").count()
+    spark.catalog.clearCache()

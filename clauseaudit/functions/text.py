@@ -50,9 +50,9 @@ def _fold_table() -> tuple[str, str]:
 
 
 def fold_digits(text: Column) -> Column:
-    """Compatibility characters and Devanagari digits to plain ones, without changing the length."""
+    """Compatibility characters and Devanagari digits to plain ones, without changing the length.  Plain ASCII has none and stays as it is."""
     source, target = _fold_table()
-    return F.translate(text, source, target)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, source, target))
 
 
 def ascii_digits(text: Column) -> Column:
@@ -76,8 +76,9 @@ def _strip(x: Column) -> Column:
 
 
 def base_number(is_number: Column) -> Column:
-    """The number without any part."""
-    return _strip(F.regexp_replace(normalise_citation(is_number), "(?U:\\s)*\\(?(?U:\\s)*(?:(?i:Part)|भाग)(?U:\\s)*\\d+(?U:\\s)*\\)?", ""))
+    """The number without any part.  One in the plain form that extraction gives has none and stays as it is."""
+    whole = _strip(F.regexp_replace(normalise_citation(is_number), "(?U:\\s)*\\(?(?U:\\s)*(?:(?i:Part)|भाग)(?U:\\s)*\\d+(?U:\\s)*\\)?", ""))
+    return F.when(is_number.rlike("\\AIS(?:/(?:IEC|ISO))? [0-9-]+\\z"), is_number).otherwise(whole)
 
 
 def edit1(a: Column, b: Column) -> Column:

@@ -31,26 +31,31 @@ def _starts(matches: str, gaps: str) -> str:
              + aggregate(slice({matches}, 1, i), 0, (a, y) -> a + length(y)) as int))"""
 
 
+#: A citation and the text before it, from where the last one ended. Groups: 1 the citation, then those of its pattern.
+_PIECE = f"(?s:.*?)(?=[Iआ])({CITATION})"
+#: What the pattern takes for white space.
+_WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def with_citations(clauses: DataFrame) -> DataFrame:
     """``clauses`` with an array column ``citations``; all columns of the input stay.
 
-    Matches and the gaps between them are bound once, as the only element of an array, so that no copy of the pattern runs over a
-    clause again; the groups of a match come from one replacement in the short match."""
-    folded = fold_digits(F.col("text"))
-    both = F.array(F.struct(F.regexp_extract_all(folded, F.lit(CITATION), F.lit(0)).alias("m"), F.split(folded, CITATION, -1).alias("gap")))
+    One search cuts a clause into pieces that end with a citation, and one replacement in each piece gives the citation and its groups; the running lengths of the
+    pieces are the spans.  Pieces and fields are bound once, as elements of arrays, so that no copy of the pattern runs over a clause again.  ``split``
+    compiles its pattern for each row, so it gets single characters only."""
+    pieces = F.regexp_extract_all(fold_digits(F.col("text")), F.lit(f"\\G{_PIECE}"), F.lit(0))
 
     def parts(z: Column) -> Column:
-        start = lambda i: F.aggregate(F.slice(z["gap"], 1, i + 1), F.lit(0), lambda a, y: a + F.length(y)) + F.aggregate(F.slice(z["m"], 1, i), F.lit(0), lambda a, y: a + F.length(y))
-        return F.transform(z["m"], lambda m, i: F.struct(m.alias("m"), start(i).cast("int").alias("s"), F.split(F.regexp_replace(m, CITATION, "$2|$3|$4|$5"), "\\|").alias("g")))
+        end = lambda i: F.aggregate(F.slice(z, 1, i + 1), F.lit(0), lambda a, y: a + F.length(y))
+        return F.transform(z, lambda p, i: F.struct(F.split(F.regexp_replace(p, f"^{_PIECE}", "$3|$4|$5|$6|$1"), "\\|", 5).alias("g"), end(i).alias("e")))
 
-    found = F.transform(both, parts)[0]
-    x = clauses.withColumn("_c", found)
-    number = "split(trim(c.g[1]), r'(?U:\\s)*-(?U:\\s)*')"
-    late = f"c.g[3] = '' and size({number}) > 1 and element_at({number}, -1) rlike '^(19|20)[0-9]{{2}}$'"
+    found = F.transform(F.array(pieces), parts)[0]
+    x = clauses.withColumn("_c", F.transform(found, lambda c: F.struct(c["g"].alias("g"), (c["e"] - F.length(c["g"][4])).cast("int").alias("s"), F.split(F.translate(c["g"][1], _WHITE, ""), "-").alias("n"))))
+    late = "c.g[3] = '' and size(c.n) > 1 and element_at(c.n, -1) rlike '^(19|20)[0-9]{2}$'"
     item = f"""transform(_c, c -> named_struct(
-        'raw', substring(text, c.s + 1, length(c.m)), 'span_start', c.s, 'span_end', c.s + length(c.m),
-        'is_number', concat(if(c.g[0] = '', 'IS ', concat('IS/', c.g[0], ' ')), array_join(if({late}, slice({number}, 1, size({number}) - 1), {number}), '-')),
-        'part', nullif(c.g[2], ''), 'year', try_cast(if({late}, element_at({number}, -1), nullif(c.g[3], '')) as int)))"""
+        'raw', substring(text, c.s + 1, length(c.g[4])), 'span_start', c.s, 'span_end', c.s + length(c.g[4]),
+        'is_number', concat(if(c.g[0] = '', 'IS ', concat('IS/', c.g[0], ' ')), array_join(if({late}, slice(c.n, 1, size(c.n) - 1), c.n), '-')),
+        'part', nullif(c.g[2], ''), 'year', try_cast(if({late}, element_at(c.n, -1), nullif(c.g[3], '')) as int)))"""
     return x.withColumn("citations", F.expr(item)).drop("_c")
 
 

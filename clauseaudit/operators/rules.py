@@ -38,6 +38,7 @@ class Facts:
     extracted: DataFrame  # the citations as they came, with base_number; the frames above derive from it
     catalogue: DataFrame | None = None  # versions of rules (see operators.catalogue); without them the fixed rules hold
     audit_dates: DataFrame | None = None  # doc_id, audit_date: which version holds; without it that of reference.as_of
+    source: DataFrame | None = None  # what clauses, citations and mentions are made of, if making it again costs more than reading it
 
 
 def build_facts(clauses: DataFrame, citations: DataFrame, mentions: DataFrame, reference: ReferenceData, vague: DataFrame | None = None, document_scope: bool = True) -> Facts:
@@ -254,13 +255,18 @@ FACTS = ("clauses", "extracted", "resolved", "near", "products", "cited")
 def shared(f: Facts) -> Facts:
     """The frames that several rules read, kept for the session (``spark.catalog.clearCache`` frees them; lost blocks are computed again).
 
-    The citations come first: what derives from them reads them where they are kept, so the pattern runs over each clause once."""
-    return dataclasses.replace(f, **{n: getattr(f, n).persist(StorageLevel.MEMORY_AND_DISK) for n in FACTS})
+    The source comes first and is kept in the clauses' place, then the citations: what derives from them reads them where they are kept, so clauses are made once
+    and the pattern runs over each once."""
+    return dataclasses.replace(f, **{n: getattr(f, n).persist(StorageLevel.MEMORY_AND_DISK) for n in _kept(f)})
+
+
+def _kept(f: Facts) -> tuple[str, ...]:
+    return FACTS if f.source is None else ("source", *FACTS[1:])
 
 
 def release(f: Facts) -> None:
     """Frees what ``shared`` keeps."""
-    for n in FACTS:
+    for n in _kept(f):
         getattr(f, n).unpersist()
 
 

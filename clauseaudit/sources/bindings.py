@@ -5,6 +5,7 @@ The views are SQL that Spark and DuckDB read alike.  ``{part}`` and ``{lineitem}
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,4 +113,5 @@ def extract(c: DataFrame) -> tuple[DataFrame, DataFrame]:
 def facts(spark: SparkSession, sf_dir: str, doc: str = "l_orderkey", document_scope: bool = True) -> Facts:
     """Clauses, extracted citations and the product noun of each clause as its mention."""
     c = clauses(spark, sf_dir, doc)
-    return build_facts(c.select("doc_id", "clause_id", "ordinal", "text"), *extract(c), reference(spark, sf_dir), document_scope=document_scope)
+    f = build_facts(c.select("doc_id", "clause_id", "ordinal", "text"), *extract(c), reference(spark, sf_dir), document_scope=document_scope)
+    return dataclasses.replace(f, source=c)

@@ -241,3 +241,29 @@ def test_log_rows_of_officers_work(spark):
     t = spark.createDataFrame([(1, "old"), (1, "old")], "id int, term string")
     n = spark.createDataFrame([(5, "old"), (6, "new"), (7, "new")], "id int, term string")
     assert sorted(map(tuple, review.upsert_errors(t, n).collect())) == [(5, "old", "phrase exists"), (7, "new", "phrase repeated")]
+
+
+def test_plain_forms_cost_no_pattern(spark):
+    """``split`` compiles a pattern at each row, so extraction has none but of single characters; spans of several citations, folded digits and letters before a prefix."""
+    x = spark.createDataFrame([(1, "XIS 12 IS 123 - 45 (Part ७): 2015, आईएस ४५६|IS/IEC 60335-1-2019 Part 2"), (2, None), (3, "none")], "doc_id int, text string")
+    own = extract.extract_citations(x)
+    assert not re.search(r"split\([^()]*(\([^()]*\))*[^()]*IEC\|ISO", own._jdf.queryExecution().optimizedPlan().toString())
+    text = x.first().text
+    got = own.orderBy("cit_no").collect()
+    assert [(r.raw, r.is_number, r.part, r.year) for r in got] == [("IS 123 - 45 (Part ७): 2015", "IS 123-45", "7", 2015), ("आईएस ४५६", "IS 456", None, None), ("IS/IEC 60335-1-2019 Part 2", "IS/IEC 60335-1", "2", 2019)]
+    assert all(text[r.span_start : r.span_end] == r.raw for r in got)
+    numbers = ["IS 123-45", "IS/IEC 5", "IS/PART 5", "IS 5 (Part 2)", " IS 5", "IS 5\n", "आईएस 5", "IS ५"]
+    y = spark.createDataFrame([(n,) for n in numbers], "n string").select(T.base_number(F.col("n"))).collect()
+    assert [r[0] for r in y] == ["IS 123-45", "IS/IEC 5", "IS/", "IS 5", "IS 5", "IS 5", "IS 5", "IS 5"]
+
+
+def test_clauses_are_made_once_for_all_rules(spark):
+    """With the shared frames kept, none of them makes the clauses (a window over the line items) again."""
+    from clauseaudit.sources.bindings import facts
+
+    f = rules.shared(facts(spark, "/root/testdata/sf0.001"))
+    try:
+        for x in (f.extracted, f.products):  # kept themselves, and made of the kept clauses
+            assert x._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation") == 2
+    finally:
+        rules.release(f)

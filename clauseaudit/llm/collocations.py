@@ -31,8 +31,8 @@ from clauseaudit.llm import sketch
 from clauseaudit.llm.common import LOWER, Chunk, Scratch, chunks, mix, text_bytes, word_hashes, words
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-CHUNK = 4 << 20  # bytes
-FLUSH = 4 << 20  # entries
+CHUNK = 1 << 20  # bytes
+FLUSH = 1 << 19  # entries
 PHRASES = 400_000  # of a task, between two additions
 BUCKETS = 64
 NO_ID = (1 << 63) - 1

@@ -159,3 +159,29 @@ def test_smoothing_and_threshold():
     s = html_text.smooth(x)
     assert s[5] > html_text.threshold(s) > s[0] and np.allclose(html_text.smooth(np.full(4, 2.0)), 2)
     assert html_text.threshold(np.full(3, 5.0)) == 5
+
+
+def test_memory_of_a_chunk_and_of_sums():
+    """What a task of op11 holds beside Spark: a chunk's arrays, and the counts between two sums."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from clauseaudit.llm import collocations
+    from clauseaudit.llm.common import Chunk
+
+    text = np.frombuffer((b"some words that stand here " * (1 + collocations.CHUNK // 27))[: collocations.CHUNK], np.uint8)
+    chunk = Chunk(pa.RecordBatch.from_pydict({"lang_key": pa.array([7], pa.int64())}), text, np.array([0, len(text)], np.int64))
+    tracemalloc.start()
+    try:
+        runs = collocations.Runs(chunk)
+        collocations._told_apart(runs), collocations._spaced(runs)
+        of_chunk = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        keys = np.arange(collocations.FLUSH, dtype=np.uint64)
+        collocations._sums(keys, np.ones(len(keys), np.int64))
+        of_sums = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert of_chunk < 100e6 and of_sums < 150e6, (of_chunk, of_sums)

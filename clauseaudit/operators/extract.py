@@ -155,6 +155,14 @@ def fallback_chain(clauses: DataFrame, primary: DataFrame, secondary: DataFrame)
     return x.withColumn("provider", provider).withColumn("reduced_mode", F.col("_p").isNull() & F.col("_s").isNull()).withColumn("citations", F.coalesce("_p", "_s", "_regex")).drop("_p", "_s")
 
 
+def with_fallback(extracted: DataFrame) -> DataFrame:
+    """``fallback_chain`` for rows that have their extraction and ``error`` at hand: their own citations, or the native ones in reduced mode; no join."""
+    held = extracted.select(F.struct(*extracted.columns).alias("row"), "text")
+    x = with_citations(held).select("row.*", F.col("citations").alias("_regex"))
+    failed = F.col("error").isNotNull()
+    return x.withColumns({"provider": F.when(failed, "RegexFallback").otherwise("primary"), "reduced_mode": failed, "citations": F.when(failed, F.col("_regex")).otherwise(F.col("citations"))})
+
+
 def cross_check(extractions: DataFrame) -> DataFrame:
     """``extraction_uncertain`` where the sets of numbers of ``citations`` and ``_regex`` differ; never in reduced mode."""
     numbers = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: F.upper(F.trim(x["is_number"])))))

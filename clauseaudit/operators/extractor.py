@@ -66,18 +66,32 @@ def _columns(results: Sequence[dict]) -> list[pa.Array]:
     return [*lists, pa.array([bool(r.get("mentions_certification", False)) for r in results], pa.bool_()), pa.array([r.get("error") for r in results], pa.string())]
 
 
+def _one(extractor: Extractor, text: str, hint: str | None, checked: bool) -> dict:
+    """A clause's result, or its error; with ``checked``, one that does not fit the schema is an error too."""
+    try:
+        results = list(extractor.extract([text], [hint]))
+        if len(results) != 1:
+            raise ValueError(f"{len(results)} results for 1 clauses")
+        if checked:
+            _columns(results)
+        return results[0]
+    except Exception as e:  # an extractor may raise anything
+        return {"error": f"{type(e).__name__}: {e}"}
+
+
 def _results(extractor: Extractor, texts: list[str], hints: list[str | None]) -> list[pa.Array]:
-    """Columns of a batch; where the whole fails, those of its rows one by one."""
+    """Columns of a batch; where the whole fails, of its rows' own results."""
     try:
         results = list(extractor.extract(texts, hints))
         if len(results) != len(texts):
             raise ValueError(f"{len(results)} results for {len(texts)} clauses")
         return _columns(results)
-    except Exception as e:  # an extractor may raise anything
-        if len(texts) == 1:
-            return _columns([{"error": f"{type(e).__name__}: {e}"}])
-    parts = [_results(extractor, [t], [h]) for t, h in zip(texts, hints)]
-    return [pa.concat_arrays(list(c)) for c in zip(*parts)]
+    except Exception:  # one by one below
+        pass
+    try:
+        return _columns([_one(extractor, t, h, False) for t, h in zip(texts, hints)])
+    except Exception:  # a result does not fit the schema
+        return _columns([_one(extractor, t, h, True) for t, h in zip(texts, hints)])
 
 
 def run_extractor(clauses: DataFrame, extractor: Extractor) -> DataFrame:
@@ -110,6 +124,13 @@ def extract_with(clauses: DataFrame, extractor: Extractor, cache: DataFrame | No
     return validate_spans(x.join(made, "key"))
 
 
+def extract_keys(clauses: DataFrame, extractor: Extractor, prompt_version: str = "1") -> DataFrame:
+    """Rows for the cache, straight from the clauses: each distinct one extracted and checked once, without a join back to the clauses."""
+    x = clauses.withColumn("key", cache_key(F.col("text"), F.lit(prompt_version), F.lit(extractor.model_id)))
+    todo = x.select("key", "text", *(["language"] if "language" in x.columns else [])).dropDuplicates(["key"])
+    return validate_spans(run_extractor(todo, extractor)).where("error is null").select("key", *_ITEMS, "mentions_certification", "error")
+
+
 def cacheable(extracted: DataFrame) -> DataFrame:
     """Rows for the cache: one a key, without errors."""
     return extracted.where("error is null and not cached").select("key", *_ITEMS, "mentions_certification", "error").dropDuplicates(["key"])

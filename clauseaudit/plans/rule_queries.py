@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseaudit.operators import diff, evaluate, incremental, mapping, review, rules
-from clauseaudit.operators.extract import cross_check, extract_citations, fallback_chain, match_many_terms, match_vague_terms
-from clauseaudit.operators.extractor import PatternExtractor, cacheable, extract_with
+from clauseaudit.operators.extract import cross_check, extract_citations, match_many_terms, match_vague_terms, with_fallback
+from clauseaudit.operators.extractor import PatternExtractor, extract_keys, extract_with
 from clauseaudit.operators.incremental import put
 from clauseaudit.sources import bindings
 from clauseaudit.sources.bindings import facts
@@ -194,10 +194,10 @@ def extractor_hook_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second extractor through the hook, part of its results out of a cache, then the native one where it failed, cross-checked."""
     c = bindings.clauses(spark, sf_dir).select("doc_id", "clause_id", "part_key", "text")
     reader = _NumberReader(r"IS (?P<number>\d{2,6})(?: \(Part (?P<part>\d+)\))?(?:: (?P<year>(?:19|20)\d\d))?")
-    cache = put(cacheable(extract_with(c.where("part_key % 2 = 0"), reader)), shared_folder(spark, "cache"), "extractions")
-    got = extract_with(c, reader, cache)
-    found = got.where("error is null").select("key", "citations").dropDuplicates(["key"])
-    x = cross_check(fallback_chain(got.select("doc_id", "clause_id", "part_key", "text", "key", "cached", "error"), found, found.where("false")))
+    folder = shared_folder(spark, "cache")
+    c = put(c, folder, "clauses")
+    cache = put(extract_keys(c.where("part_key % 2 = 0"), reader), folder, "extractions")
+    x = cross_check(with_fallback(extract_with(c, reader, cache)))
     return x.select("doc_id", "clause_id", "provider", "cached", F.substring_index("error", ":", 1).alias("error"), "extraction_uncertain", F.size("citations").alias("n_citations"), F.try_element_at("citations", F.lit(1))["is_number"].alias("is_number"), F.try_element_at("citations", F.lit(1))["span_start"].alias("span_start"))
 
 

@@ -8,7 +8,8 @@ from test_incremental import extract, frame
 from test_rules import CASES, reference
 
 from clauseaudit.functions.text import cache_key
-from clauseaudit.operators import catalogue, rules
+from clauseaudit.operators import catalogue, extractor, rules
+from clauseaudit.operators.extract import fallback_chain, with_fallback
 from clauseaudit.operators.extractor import CannedExtractor, PatternExtractor, cacheable, extract_with, run_extractor
 from clauseaudit.sources.reference import rule_catalogue
 
@@ -71,3 +72,37 @@ def test_cache_spares_the_extractor(spark):
     assert len(got[1].citations) == 1 and got[2].citations == [] and got[2].dropped == 1  # another text, another place
     assert [x.year for x in extract_with(c, reader).where("id = 3").first().citations] == [2010]
     assert cacheable(extract_with(c, CannedExtractor({}), cache)).count() == 0
+
+
+def failing():
+    """An extractor that fails on batches with a clause that has an x; made here, so that it is pickled whole."""
+
+    class Failing(PatternExtractor):
+        def extract(self, clauses, language_hints):
+            if any("x" in c for c in clauses):
+                raise ValueError("x")
+            return [{"citations": [self._item(m) for m in self.pattern.finditer(c)]} for c in clauses]
+
+    return Failing(r"IS (?P<number>\d+)")
+
+
+def test_failed_rows_of_a_batch_make_columns_once(monkeypatch):
+    reader, made = failing(), []
+    plain = extractor._columns
+    monkeypatch.setattr(extractor, "_columns", lambda results: made.append(len(results)) or plain(results))
+    texts = [f"IS {i}" + " x" * (i % 8 == 0) for i in range(400)]
+    got = extractor._results(reader, texts, [None] * 400)
+    assert made == [400] and [len(c) for c in got[1].to_pylist()] == [int(i % 8 > 0) for i in range(400)] and got[4].to_pylist() == [None if i % 8 else "ValueError: x" for i in range(400)]
+
+
+def test_keys_of_the_cache_and_fallback_without_a_join(spark):
+    c = spark.createDataFrame([(1, "to IS 12 and IS 13"), (2, "IS 14 x"), (3, "to IS 12 and IS 13"), (4, None), (5, "none")], "id int, text string")
+    reader = failing()
+    rows = lambda x: sorted(map(str, x.collect()))
+    keys, got = extractor.extract_keys(c, reader), extract_with(c, reader)
+    assert rows(keys) == rows(cacheable(got).select(keys.columns)) and keys.count() == 3
+    found = got.where("error is null").select("key", "citations").dropDuplicates(["key"])
+    want = fallback_chain(got.select("id", "text", "key", "error"), found, found.where("false"))
+    x = with_fallback(got)
+    fields = ["id", "provider", "reduced_mode", "citations", "_regex"]
+    assert rows(x.select(fields)) == rows(want.select(fields)) and "Join" in want._jdf.queryExecution().optimizedPlan().toString()

@@ -178,6 +178,19 @@ def test_many_terms_equal_a_scan_of_each(spark):
     assert extract.match_many_terms(clauses, odd).count() == 0
 
 
+def test_term_classes_and_their_anchors(spark):
+    """Copies of a term make one row a clause, numbers of the same digits have anchors of their own, and classes with members are all pairs."""
+    clauses = spark.createDataFrame([(i, str(i), f"supply OF red bolt to IS {10000 + 7 * i}, ünï İs") for i in range(150)], "doc_id int, clause_id string, text string")
+    word = {0: "RED bolt", 1: "red BOLT", 2: "of", 3: "OF", 4: "Ünï", 5: "x" * 70, 6: "İs", 7: "i̇s"}
+    terms = spark.createDataFrame([(i, word.get(i % 20, f"is {10000 + 7 * i}"), "why") for i in range(400)], "id int, term string, explanation string")
+    got, want = extract.match_term_classes(clauses, terms), extract.match_vague_terms(clauses, terms)
+    assert got.where("class_id = 0").select("n_terms").distinct().collect() == [(40,)] and got.where("class_id in (0, 2)").count() == 300
+    every = got.join(extract.term_classes(terms), "class_id").select("doc_id", "clause_id", "term_id", "span_start", "span_end", "phrase")
+    assert sorted(every.collect()) == sorted(want.select(every.columns).collect())
+    anchors = extract._anchors(extract._classes(terms))
+    assert anchors.where("_low like 'is %'").groupBy("_h").count().agg(F.max("count")).first()[0] <= 2 and extract._classes(terms).count() == anchors.count()
+
+
 def test_pattern_runs_once_over_a_clause(spark):
     """However many fields of a citation are read, the plan holds one search for matches."""
     x = extract.extract_citations(spark.createDataFrame([(1, "IS 123: 2010")], "doc_id int, text string")).select("is_number", "year", "part", "span_start", "raw")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseaudit.llm import sketch
-from clauseaudit.llm.common import LOWER, Chunk, Scratch, chunks, mix, text_bytes, word_hashes, words
+from clauseaudit.llm.common import LOWER, Chunk, Scratch, chunks, mix, small_batches, text_bytes, word_hashes, words
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 CHUNK = 1 << 20  # bytes
@@ -245,7 +245,7 @@ def phrases(keyed: DataFrame, frequent: sketch.Sketch | None, longest: int, shar
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, size, phrase, n, doc_id, word): phrases with ``least`` occurrences and more, and a row of size 0 with the number of words of each language."""
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(small_batches(docs).sparkSession)
     lang = F.coalesce("lang", F.lit("und"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.xxhash64(lang).alias("lang_key"), "text")
     tables, bits, size, many = [], None, 0, 0

@@ -25,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from clauseaudit.llm.common import chunks
+from clauseaudit.llm.common import chunks, small_batches
+
+CHUNK = 1 << 18  # bytes: some twenty arrays of eight bytes a character are alive at once
 
 # Symbols: a class with what follows it.
 LETTER, NUMBER, OTHER, WHITE_RUN, WHITE_END, SPACE_END, QUOTE1, QUOTE2, BREAK = range(9)
@@ -151,11 +153,11 @@ def boundaries(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Ranks of byte sequences and a cache of merged slices."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 200_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.parts = {rank: piece for piece, rank in self.ranks.items()}
-        self.cache: dict[bytes, tuple[str, int]] = {}
+        self.cache: dict[bytes, str] = {}
         self.cache_size = cache_size
 
     def merge(self, piece: bytes) -> list[int]:
@@ -181,12 +183,11 @@ class Vocabulary:
                 heapq.heappush(heap, (r, p, stop))
         return [ranks[piece[i : end[i]]] for i in range(size) if alive[i]]
 
-    def ids(self, piece: bytes) -> tuple[str, int]:
-        """The slice's ids as text, and how many."""
+    def ids(self, piece: bytes) -> str:
+        """The slice's ids as text."""
         got = self.cache.get(piece)
         if got is None:
-            ids = self.merge(piece)
-            got = " ".join(map(str, ids)), len(ids)
+            got = " ".join(map(str, self.merge(piece)))
             if len(piece) <= 64:
                 if len(self.cache) >= self.cache_size:
                     self.cache.clear()
@@ -226,7 +227,7 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _vocabulary(vocabulary)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=CHUNK):
             begin = slices(chunk.buf, chunk.off)
             raw = chunk.buf.tobytes()
             stops = np.append(begin[1:], len(raw))
@@ -236,16 +237,15 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFram
             cache, ids_of = bpe.cache, bpe.ids
             for a, b in zip(row_cut[:-1], row_cut[1:]):
                 found = [cache.get(p) or ids_of(p) for p in (raw[i:j] for i, j in zip(at[a:b], to[a:b]))]
-                text = " ".join([x[0] for x in found])
-                counts = [x[1] for x in found]
-                n.append(sum(counts))
+                text = " ".join(found)
+                n.append(text.count(" ") + 1 if text else 0)
                 ids_sha.append(hashlib.sha256(text.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(text)).hexdigest())
                 if keep_ids:
-                    more.append((list(map(int, text.split())), [x - int(chunk.off[len(n) - 1]) for x in at[a:b]], counts))
+                    more.append((list(map(int, text.split())), [x - int(chunk.off[len(n) - 1]) for x in at[a:b]], [x.count(" ") + 1 for x in found]))
             cols = {"doc_id": chunk.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
             if keep_ids:
                 cols |= {"ids": pa.array([x[0] for x in more], pa.list_(pa.int32())), "offsets": pa.array([x[1] for x in more], pa.list_(pa.int64())), "counts": pa.array([x[2] for x in more], pa.list_(pa.int32()))}
             yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)

@@ -12,22 +12,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from clauseaudit.llm import byte_bpe, mixing, ngram_join, substring_dedup, toxicity
-from clauseaudit.llm.common import Scratch, read_documents
+from clauseaudit.llm.common import Scratch, read_documents, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the learned classifier does not call toxic."""
-    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(small_batches(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by five-word shingles at a similarity of 0.8."""
-    return ngram_join.keep_one(docs, k=5, percent=80)
+    return ngram_join.keep_one(small_batches(docs), k=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without windows of 20 words that start earlier elsewhere."""
-    return substring_dedup.clean(docs)
+    return substring_dedup.clean(small_batches(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

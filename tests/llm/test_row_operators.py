@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -155,3 +156,22 @@ def test_fingerprints_peel(spark, n):
 
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [q for n in range(1, 14) for q in queries.QUERIES if q.startswith(f"op{n}_")]
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """A task gets its rows in batches of about BATCH_BYTES, not its split at once, through the operators that set it."""
+    from clauseaudit.llm import byte_bpe, common
+
+    docs = spark.range(0, 1500, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 1000) as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([b.nbytes], pa.int64())})
+
+    byte_bpe.encode(docs, PATH)
+    got = [r["size"] for r in docs.mapInArrow(sizes, "size bigint").collect()]
+    assert len(got) > 2 and max(got) < 2 * common.BATCH_BYTES
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    common.small_batches(docs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(common.BATCH_BYTES))

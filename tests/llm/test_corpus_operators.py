@@ -112,6 +112,27 @@ def test_sketch_never_underestimates(spark):
     assert (sketch.unpack(sketch.pack(cells)) == cells).all()
 
 
+def test_sketch_takes_few_jobs(spark, monkeypatch):
+    """However many partitions merge it; and whatever the driver takes at once, the planes are whole."""
+    x = spark.range(0, 200_000, 1, 3).selectExpr("id % 70000 as v")
+    items = lambda batches: (mix(b.column(0).to_numpy().astype(np.uint64)) for b in batches)
+    names = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("sketch", "")
+    s = sketch.build(x, items, 1 << 22, 2, (1, 2), 1.0)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("sketch"))
+    monkeypatch.setattr(sketch, "FETCH", 1, raising=False)
+    again = sketch.build(x, items, 1 << 22, 2, (1, 2), 1.0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert 0 < jobs < 12
+    every = mix(np.arange(70_000, dtype=np.uint64))
+    assert (s.above(every) >= 1).all() and all((p == q).all() for a, b in zip(s.planes.value, again.planes.value) for p, q in zip(a, b))
+
+
 def dedup(rows, size):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):

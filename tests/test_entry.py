@@ -79,3 +79,17 @@ def test_clauses_of_a_product_stay_in_their_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin [product_id#" in plan and "SortMergeJoin [product_id#" not in plan
+
+
+def test_many_terms_has_a_row_for_each_term(spark, tmp_path):
+    """Copies of a name are terms of their own, as in the SQL."""
+    c = duckdb.connect()
+    c.sql(f"create table part as select * replace (p_partkey + 1000 * i as p_partkey) from '{SF}/part.parquet', range(2) r(i)")
+    c.sql("alter table part drop i")
+    c.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
+    for t in ("part", "lineitem"):
+        c.sql(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    got = __spark_entry__.queries()["match_many_terms"](spark, str(tmp_path)).toPandas()
+    want = c.sql(__spark_entry__.oracle_sql()["match_many_terms"]).df()
+    rows = lambda d: sorted(map(tuple, d[sorted(got.columns)].astype(str).itertuples(index=False)))
+    assert rows(got) == rows(want) and got.duplicated(["doc_id", "clause_id", "phrase"]).any()

@@ -29,7 +29,10 @@ def flat(x: DataFrame) -> DataFrame:
 
 def _rule(rule: str, doc: str = "l_orderkey"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flat(rules.evaluate(facts(spark, sf_dir, doc), (rule,)))
+        f = facts(spark, sf_dir, doc)
+        if rule == "R07":
+            rules.room_for_texts(f.reference)
+        return flat(rules.evaluate(f, (rule,)))
 
     return query
 

@@ -215,3 +215,24 @@ def test_append_is_exactly_once(spark, tmp_path):
     io.stage_batch({"findings": f}, path, "z", "2026-01-02")
     got = io.read_appended(spark, path, "findings").select("batch_id", F.col("audit_date").cast("string")).collect()
     assert sorted(map(tuple, got)) == [("x", "2026-01-01"), ("y", "2026-01-01")] and io.read_appended(spark, path, "audits").count() == 1
+
+
+def test_long_texts_of_r07_are_in_a_sink_once(spark, tmp_path):
+    """A batch's folder holds a product's text once, however many findings give it."""
+    from clauseaudit.sources.reference import empty_reference
+
+    schema = "doc_id string, page_number int, page_count int, text string, intake_ts timestamp"
+    spark.createDataFrame([(f"d{i}", 1, 1, "Ten ovens.", datetime.datetime(2026, 1, 1)) for i in range(40)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    standards = spark.range(120_000).select(F.col("id").cast("int"), F.concat(F.lit("IS "), F.col("id") + 1_000_000).alias("is_number"), F.lit(None).cast("string").alias("part"), F.lit(2000).alias("publication_year"), F.lit("Active").alias("status"), F.lit("").alias("catalogue_url"), F.lit(None).cast("date").alias("verified_on"), F.lit(False).alias("is_conflict"))
+    maps = standards.select("id", F.lit(1).alias("product_id"), F.col("id").alias("standard_id"), F.lit("").alias("source_url"), "verified_on", "is_conflict")
+    products = spark.createDataFrame([(1, "ovens", "kitchen", "[]", "[]")], "id int, canonical_name string, family string, synonyms_en string, synonyms_hi string")
+
+    def extract(batch):
+        x = batch.select("doc_id", F.lit("p").alias("clause_id"), F.col("page_number").alias("ordinal"), "text")
+        mentions = x.select("doc_id", "clause_id", F.lit(0).alias("pos"), F.lit("ovens").alias("text"), F.lit(4).alias("span_start"), F.lit(9).alias("span_end"), F.lit(None).cast("string").alias("canonical_product_id"))
+        return x, extract_citations(x), mentions
+
+    stream_pages(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, extract, lambda: empty_reference(spark, datetime.date(2026, 1, 1), standards=standards, maps=maps, products=products), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out/batch=*")).agg(F.count("*"), F.sum(F.length("message_en")), F.count_distinct("message_en")).first()
+    size = sum(p.stat().st_size for p in tmp_path.glob("out/batch=*/*.parquet"))
+    assert got[0] == 40 and got[1] > 40 * 1_400_000 and got[2] == 1 and size < got[1] / 10

@@ -110,3 +110,21 @@ def test_long_texts_of_r07_are_written_once(spark, tmp_path):
     size = sum(os.path.getsize(p) for p in glob.glob(f"{tmp_path}/out/*.parquet"))
     assert got[0][2] > 60_000_000 and size < got[0][2] / 10
     spark.conf.unset("parquet.dictionary.page.size")
+
+
+def test_incremental_audit_has_room_for_long_texts(spark, tmp_path, monkeypatch):
+    """Its findings are written with the texts of R07 as a dictionary; the audit itself plays no part here."""
+    from types import SimpleNamespace
+
+    from clauseaudit.plans import rule_queries
+
+    c = duckdb.connect()
+    c.sql(f"copy (select p_partkey + 200 * i as p_partkey, p_name, p_size from '{SF}/part.parquet', range(1500) r(i)) to '{tmp_path}/part.parquet'")
+    c.sql(f"copy (select * from '{SF}/lineitem.parquet') to '{tmp_path}/lineitem.parquet'")
+    monkeypatch.setattr(rule_queries, "flat", lambda x: x)
+    monkeypatch.setattr(rule_queries.incremental, "audit", lambda *a: None)
+    monkeypatch.setattr(rule_queries.incremental, "update", lambda *a: SimpleNamespace(findings=None))
+    spark.conf.unset("parquet.dictionary.page.size")
+    rule_queries.incremental_audit_q(spark, str(tmp_path))
+    assert int(spark.conf.get("parquet.dictionary.page.size", "0")) > 1 << 20
+    spark.conf.unset("parquet.dictionary.page.size")

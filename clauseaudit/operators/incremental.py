@@ -32,6 +32,7 @@ from clauseaudit.operators import rules
 from clauseaudit.operators.extract import match_vague_terms
 from clauseaudit.operators.mapping import _variants
 from clauseaudit.sources.reference import ReferenceData, product_terms
+from clauseaudit.sources.scratch import put
 
 KEY = ["doc_id", "clause_id"]
 OTHERS = tuple(r for r in rules.RULES if r != "R07")
@@ -51,13 +52,6 @@ class State:
     uncited: DataFrame  # doc_id, clause_id, product_id
 
 
-def put(x: DataFrame, folder: str, name: str) -> DataFrame:
-    """``x``, written to a shared folder and read from there: what follows starts from the written rows, in a lost executor's place too."""
-    schema = x.schema
-    x.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return x.sparkSession.read.schema(schema).parquet(f"{folder}/{name}")
-
-
 def _keys(*numbers: Column) -> Column:
     return F.array_distinct(F.array(*numbers))
 

@@ -38,19 +38,27 @@ class Facts:
     extracted: DataFrame  # the citations as they came, with base_number; the frames above derive from it
     catalogue: DataFrame | None = None  # versions of rules (see operators.catalogue); without them the fixed rules hold
     audit_dates: DataFrame | None = None  # doc_id, audit_date: which version holds; without it that of reference.as_of
+    keep: Callable[[DataFrame, str], DataFrame] | None = None  # stores a frame under a name; where there is one, frames that several rules read are stored already
+    rows: dict[str, DataFrame] = dataclasses.field(default_factory=dict)  # joined rows of R05, R06, R08 and R13 that are stored, for them and R14
     source: DataFrame | None = None  # what clauses, citations and mentions are made of, if making it again costs more than reading it
 
 
-def build_facts(clauses: DataFrame, citations: DataFrame, mentions: DataFrame, reference: ReferenceData, vague: DataFrame | None = None, document_scope: bool = True) -> Facts:
+def build_facts(clauses: DataFrame, citations: DataFrame, mentions: DataFrame, reference: ReferenceData, vague: DataFrame | None = None, document_scope: bool = True, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Facts:
     """``clauses`` (doc_id, clause_id, ordinal, text), ``citations`` (doc_id, clause_id, ordinal, cit_no, raw, span_start, span_end, is_number, part, year),
-    ``mentions`` (doc_id, clause_id, pos, text, span_start, span_end, canonical_product_id), ``vague`` phrases extracted elsewhere."""
+    ``mentions`` (doc_id, clause_id, pos, text, span_start, span_end, canonical_product_id), ``vague`` phrases extracted elsewhere.
+
+    ``keep`` stores a frame under a name and gives it back: with it the frames that several rules read are stored once, and the rules read of them the
+    columns that they need."""
+    held = keep or (lambda x, name: x)
     flag = F.col("mentions_certification") if "mentions_certification" in clauses.columns else None
     clauses = clauses.withColumn("mentions_certification", mentions_certification(F.col("text"), flag))
     extracted = citations.withColumn("base_number", base_number(F.col("is_number")))
-    resolved = resolve_standard(extracted, reference.standards)
-    near = first_near(resolved.where("std is null"), reference.standards)
+    resolved = held(resolve_standard(extracted, reference.standards), "resolved")
+    if keep:
+        extracted = resolved.drop("std")
+    near = held(first_near(resolved.where("std is null"), reference.standards), "near")
     m = resolve_product(mentions, reference.products)
-    products = m.where("product is not null").select(*KEY, "product").distinct()
+    products = held(m.where("product is not null").select(*KEY, "product").distinct(), "products")
     cites = extracted.select(*KEY).distinct()
     none = m.groupBy(*KEY).agg(F.count("product").alias("n"), F.min(F.struct("pos", "span_start", "span_end")).alias("f")).where("n = 0")
     abstained = none.join(cites, list(KEY), "left_anti").select(*KEY, "f.span_start", "f.span_end")
@@ -59,9 +67,9 @@ def build_facts(clauses: DataFrame, citations: DataFrame, mentions: DataFrame, r
     if vague is not None:
         found = found.join(vague.select(*KEY).distinct(), list(KEY), "left_anti").unionByName(vague.select(*KEY, "span_start", "span_end", "term", "explanation"))
     scope = ["doc_id"] if document_scope else list(KEY)
-    cited = extracted.select(*scope, F.col("base_number").alias("number")).distinct()
+    cited = held(extracted.select(*scope, F.col("base_number").alias("number")).distinct(), "cited")
     places = extracted.select(*KEY, "ordinal", "cit_no", "span_start", "span_end", F.col("base_number").alias("number"), "year", "part")
-    return Facts(clauses, resolved, near, products, abstained, found, cited, reference, document_scope, places, extracted)
+    return Facts(clauses, resolved, near, products, abstained, found, cited, reference, document_scope, places, extracted, keep=keep)
 
 
 def _finding(x: DataFrame, rule: str, params: dict[str, Column] | None = None, conflict: Column | None = None, span: bool = True, message: Column | None = None, **evidence: Column) -> DataFrame:
@@ -131,9 +139,14 @@ def _r05_rows(f: Facts) -> DataFrame:
     return x.join(spec, F.col("cert.specified_standard_id") == F.col("spec_id")).where("spec_id <> std.id")
 
 
+def _rows(f: Facts, rule: str) -> DataFrame:
+    """The joined rows of a rule, where they are stored or made again."""
+    return f.rows[rule] if rule in f.rows else JOINED[rule](f)
+
+
 def r05_cert_list_differs(f: Facts) -> DataFrame:
     params = {"specified": F.col("specified"), "cited": F.col("raw"), "verified_on": _date("cert.verified_on")}
-    return _finding(_r05_rows(f), "R05", params, _conflict() | F.coalesce("cert.is_conflict", F.lit(False)), url=F.col("cert.source_url"), verified_on=_date("cert.verified_on"), row_id=F.col("cert.id"), instrument=F.col("cert.instrument"))
+    return _finding(_rows(f, "R05"), "R05", params, _conflict() | F.coalesce("cert.is_conflict", F.lit(False)), url=F.col("cert.source_url"), verified_on=_date("cert.verified_on"), row_id=F.col("cert.id"), instrument=F.col("cert.instrument"))
 
 
 def _r06_rows(f: Facts) -> DataFrame:
@@ -141,7 +154,7 @@ def _r06_rows(f: Facts) -> DataFrame:
 
 
 def r06_cert_not_mentioned(f: Facts) -> DataFrame:
-    return _finding(_r06_rows(f), "R06", {"verified_on": _date("cert.verified_on")}, F.col("cert.is_conflict"), span=False, url=F.col("cert.source_url"), verified_on=_date("cert.verified_on"), row_id=F.col("cert.id"), instrument=F.col("cert.instrument"))
+    return _finding(_rows(f, "R06"), "R06", {"verified_on": _date("cert.verified_on")}, F.col("cert.is_conflict"), span=False, url=F.col("cert.source_url"), verified_on=_date("cert.verified_on"), row_id=F.col("cert.id"), instrument=F.col("cert.instrument"))
 
 
 def uncited_products(f: Facts) -> DataFrame:
@@ -163,13 +176,18 @@ def standard_texts(reference: ReferenceData) -> DataFrame:
     return m.withColumn("text", render(MESSAGE["R07"], _listed()))
 
 
-def no_standard_findings(uncited: DataFrame, reference: ReferenceData) -> DataFrame:
-    """R07's findings of ``uncited_products``."""
+def _with_texts(uncited: DataFrame, reference: ReferenceData) -> DataFrame:
+    """``uncited_products`` with their rows of ``standard_texts``; a product without maps has a text too."""
     # One row a product, whose text names its standards: by a shuffle all clauses of a product would meet in one task.
     x = uncited.join(F.broadcast(standard_texts(reference)), "product_id", "left")
-    params = _listed()
-    text = F.coalesce("text", render(MESSAGE["R07"], {"standards": F.lit("standards in catalogue"), "verified_on": F.lit("verified date not recorded")}))
-    return _finding(x, "R07", params, span=False, message=text, url=F.col("first.source_url"), verified_on=F.col("first.verified_on"), row_id=F.col("first.id"))
+    none = render(MESSAGE["R07"], {"standards": F.lit("standards in catalogue"), "verified_on": F.lit("verified date not recorded")})
+    return x.withColumn("text", F.coalesce("text", none))
+
+
+def no_standard_findings(uncited: DataFrame, reference: ReferenceData) -> DataFrame:
+    """R07's findings of ``uncited_products``."""
+    x = _with_texts(uncited, reference)
+    return _finding(x, "R07", _listed(), span=False, message=F.col("text"), url=F.col("first.source_url"), verified_on=F.col("first.verified_on"), row_id=F.col("first.id"))
 
 
 _ROOM = "parquet.dictionary.page.size"
@@ -186,6 +204,14 @@ def room_for_texts(reference: ReferenceData, session: SparkSession | None = None
         conf.set(_ROOM, str(min(need + (need >> 2), (1 << 31) - 1)))
 
 
+def keyed_findings(f: Facts) -> tuple[DataFrame, DataFrame]:
+    """Findings of all rules under the fixed catalogue, those of R07 with a ``text_key`` in their message's place, and the messages by key."""
+    others = evaluate(f, tuple(r for r in RULES if r != "R07")).select(*KEY, "rule_id", "severity", "span_start", "message_en")
+    own = uncited_products(f).select(*KEY, F.lit("R07").alias("rule_id"), F.lit(SEVERITY["R07"]).alias("severity"), F.col("product_id").alias("text_key"))
+    texts = _with_texts(f.reference.products.select(F.col("id").alias("product_id")).distinct(), f.reference).select(F.col("product_id").alias("text_key"), "text")
+    return others.unionByName(own, allowMissingColumns=True), texts
+
+
 def r07_no_standard_cited(f: Facts) -> DataFrame:
     return no_standard_findings(uncited_products(f), f.reference)
 
@@ -203,7 +229,7 @@ def _r08_rows(f: Facts) -> DataFrame:
 
 
 def r08_allied_absent(f: Facts) -> DataFrame:
-    return _finding(_r08_rows(f), "R08", {"allied": F.col("allied"), "verified_on": _date("link.verified_on")}, _conflict() | F.coalesce("link.is_conflict", F.lit(False)), url=F.col("link.source_url"), verified_on=_date("link.verified_on"), row_id=F.col("link.id"))
+    return _finding(_rows(f, "R08"), "R08", {"allied": F.col("allied"), "verified_on": _date("link.verified_on")}, _conflict() | F.coalesce("link.is_conflict", F.lit(False)), url=F.col("link.source_url"), verified_on=_date("link.verified_on"), row_id=F.col("link.id"))
 
 
 def r09_vague_wording(f: Facts) -> DataFrame:
@@ -253,14 +279,18 @@ def _r13_rows(f: Facts) -> DataFrame:
 
 def r13_wrong_family(f: Facts) -> DataFrame:
     params = {"other_product": F.col("other_product"), "verified_on": _date("map.verified_on")}
-    return _finding(_r13_rows(f), "R13", params, _conflict() | F.coalesce("map.is_conflict", F.lit(False)), url=F.col("map.source_url"), verified_on=_date("map.verified_on"), row_id=F.col("map.id"), other_product=F.col("other_product"))
+    return _finding(_rows(f, "R13"), "R13", params, _conflict() | F.coalesce("map.is_conflict", F.lit(False)), url=F.col("map.source_url"), verified_on=_date("map.verified_on"), row_id=F.col("map.id"), other_product=F.col("other_product"))
+
+
+#: Rules whose joined rows R14 reads too.
+JOINED: dict[str, Callable[[Facts], DataFrame]] = {"R05": _r05_rows, "R06": _r06_rows, "R08": _r08_rows, "R13": _r13_rows}
 
 
 def used_rows(f: Facts) -> DataFrame:
     """Reference rows that a clause's findings rest on, once for each (clause, table, row)."""
     take = lambda x, table, s: x.select(*KEY, F.lit(table).alias("table_name"), F.col(f"{s}.id").alias("row_id"), F.col(f"{s}.verified_on").alias("verified_on"))
-    x = take(_known(f), "standards", "std").unionByName(take(_r06_rows(f), "certification_rules", "cert")).unionByName(take(_r05_rows(f), "certification_rules", "cert"))
-    return x.unionByName(take(_r13_rows(f), "product_standard_map", "map")).unionByName(take(_r08_rows(f), "allied_links", "link")).distinct()
+    x = take(_known(f), "standards", "std").unionByName(take(_rows(f, "R06"), "certification_rules", "cert")).unionByName(take(_rows(f, "R05"), "certification_rules", "cert"))
+    return x.unionByName(take(_rows(f, "R13"), "product_standard_map", "map")).unionByName(take(_rows(f, "R08"), "allied_links", "link")).distinct()
 
 
 def r14_stale_row(f: Facts) -> DataFrame:
@@ -297,7 +327,9 @@ def release(f: Facts) -> None:
 
 def evaluate(f: Facts, rules: tuple[str, ...], share: bool = True) -> DataFrame:
     """Findings of ``rules``; with ``share`` off the caller keeps (and frees) the shared frames itself."""
-    if not share:
+    if f.keep is not None and "R14" in rules:
+        f = dataclasses.replace(f, rows={r: f.keep(rows(f), f"rows_{r}") for r, rows in JOINED.items()})
+    if not share or f.keep is not None:
         pass
     elif len(rules) > 1 or rules[0] in ("R08", "R14"):  # these read the citations more than once
         f = shared(f)

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from clauseaudit.operators import diff, evaluate, incremental, mapping, review, rules
 from clauseaudit.operators.extract import cross_check, extract_citations, match_many_terms, match_vague_terms, term_classes, with_fallback
 from clauseaudit.operators.extractor import PatternExtractor, extract_keys, extract_with
-from clauseaudit.operators.incremental import put
 from clauseaudit.sources import bindings
 from clauseaudit.sources.bindings import facts
 from clauseaudit.sources.reference import rule_catalogue
-from clauseaudit.sources.scratch import shared_folder
+from clauseaudit.sources.scratch import put, shared_folder
 from clauseaudit.streaming.intake import stream_pages
 
 FLAT = ("doc_id", "clause_id", "rule_id", "severity", "span_start", "span_end", "message_en", "row_id", "url", "verified_on")
@@ -29,7 +28,7 @@ def flat(x: DataFrame) -> DataFrame:
 
 def _rule(rule: str, doc: str = "l_orderkey"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        f = facts(spark, sf_dir, doc)
+        f = facts(spark, sf_dir, doc, store=rule in ("R08", "R14"))  # which read the citations more than once
         if rule == "R07":
             rules.room_for_texts(f.reference)
         return flat(rules.evaluate(f, (rule,)))
@@ -104,17 +103,17 @@ def resolve_product_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def used_rows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.used_rows(rules.shared(facts(spark, sf_dir)))
+    return rules.used_rows(facts(spark, sf_dir, store=True))
 
 
 def evaluate_documents_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all rules, counted by rule and severity, documents of many orders."""
-    x = rules.evaluate_documents(facts(spark, sf_dir, MANY))
+    x = rules.evaluate_documents(facts(spark, sf_dir, MANY, store=True))
     return x.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id", "clause_id").alias("n_clauses"))
 
 
 def evaluate_clauses_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = rules.evaluate_clauses(facts(spark, sf_dir, document_scope=False))
+    x = rules.evaluate_clauses(facts(spark, sf_dir, document_scope=False, store=True))
     return x.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id", "clause_id").alias("n_clauses"))
 
 
@@ -123,26 +122,26 @@ def cited_number_set_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.severity_counts(rules.evaluate_documents(facts(spark, sf_dir, MANY)), ["doc_id"])
+    return evaluate.severity_counts(rules.evaluate_documents(facts(spark, sf_dir, MANY, store=True)), ["doc_id"])
 
 
 def audit_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir, MANY)
+    f = facts(spark, sf_dir, MANY, store=True)
     return evaluate.audit_summary(f.clauses, rules.evaluate_documents(f))
 
 
 def fired_rules_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = rules.evaluate_documents(facts(spark, sf_dir, MANY)).withColumnRenamed("doc_id", "case_id")
+    x = rules.evaluate_documents(facts(spark, sf_dir, MANY, store=True)).withColumnRenamed("doc_id", "case_id")
     return evaluate.fired_rules(x).select("case_id", F.array_join("got", ";").alias("got"))
 
 
 def evidence_completeness_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.evidence_completeness(rules.evaluate_documents(facts(spark, sf_dir, MANY)))
+    return evaluate.evidence_completeness(rules.evaluate_documents(facts(spark, sf_dir, MANY, store=True)))
 
 
 def finding_filter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of all rules."""
-    return flat(review.finding_filter(rules.evaluate_documents(facts(spark, sf_dir, MANY)), "ERROR")).drop("span_start", "span_end")
+    return flat(review.finding_filter(rules.evaluate_documents(facts(spark, sf_dir, MANY, store=True)), "ERROR")).drop("span_start", "span_end")
 
 
 def mapping_eval_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +183,7 @@ _DATES = f"SELECT doc_id, DATE '2025-01-01' + CAST(doc_id AS INT) AS audit_date
 def rules_as_data_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings under a catalogue of rule versions, each document under those of its own audit date (the day of the audit where it has none)."""
     catalogue = rule_catalogue(spark).unionByName(bindings.sql(spark, sf_dir, _CHANGED), allowMissingColumns=True)
-    f = dataclasses.replace(facts(spark, sf_dir, MANY), catalogue=catalogue, audit_dates=bindings.sql(spark, sf_dir, _DATES))
+    f = dataclasses.replace(facts(spark, sf_dir, MANY, store=True), catalogue=catalogue, audit_dates=bindings.sql(spark, sf_dir, _DATES))
     x = rules.evaluate(f, ("R03", "R04", "R08", "R09"))
     return x.select(*FLAT[:4], "message_en", "rule_set_version")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clauseaudit.operators.extract import extract_citations
 from clauseaudit.operators.rules import Facts, build_facts
 from clauseaudit.sources.reference import ReferenceData
+from clauseaudit.sources.scratch import put, shared_folder
 
 AS_OF = datetime.date(2026, 1, 1)
 
@@ -110,8 +111,11 @@ def extract(c: DataFrame) -> tuple[DataFrame, DataFrame]:
     return extract_citations(c.select("doc_id", "clause_id", "ordinal", "text")), mentions
 
 
-def facts(spark: SparkSession, sf_dir: str, doc: str = "l_orderkey", document_scope: bool = True) -> Facts:
-    """Clauses, extracted citations and the product noun of each clause as its mention."""
+def facts(spark: SparkSession, sf_dir: str, doc: str = "l_orderkey", document_scope: bool = True, store: bool = False) -> Facts:
+    """Clauses, extracted citations and the product noun of each clause as its mention.  With ``store`` what several rules read is written to the shared
+    folder first: as Parquet it is a part of what a cache of all columns takes, and what was shuffled for it is freed."""
+    keep = (lambda x, name: put(x, shared_folder(spark, "facts"), name)) if store else None
     c = clauses(spark, sf_dir, doc)
-    f = build_facts(c.select("doc_id", "clause_id", "ordinal", "text"), *extract(c), reference(spark, sf_dir), document_scope=document_scope)
+    c = keep(c, "clauses") if keep else c
+    f = build_facts(c.select("doc_id", "clause_id", "ordinal", "text"), *extract(c), reference(spark, sf_dir), document_scope=document_scope, keep=keep)
     return dataclasses.replace(f, source=c)

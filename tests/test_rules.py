@@ -123,3 +123,16 @@ def test_rules_share_the_extracted_citations(spark):
             assert kept > 0 and searches == once * kept
     finally:
         f.extracted.unpersist()
+
+
+def test_stored_facts_are_read_by_column(spark):
+    """What several rules read is in tables: no frame is kept with all its columns, and R14 joins nothing again that other rules have joined."""
+    from clauseaudit.sources.bindings import facts
+
+    f, plain = (facts(spark, "/root/testdata/sf0.001", "l_orderkey % 300", store=store) for store in (True, False))
+    x = rules.evaluate_documents(f)
+    plan = x.groupBy("rule_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan and plan.count("Exchange hashpartitioning(doc_id") < 20
+    rows = lambda y: sorted(map(str, y.drop("evidence").collect()))
+    assert rows(x) == rows(rules.evaluate_documents(plain))
+    spark.catalog.clearCache()

@@ -136,3 +136,18 @@ def test_stored_facts_are_read_by_column(spark):
     rows = lambda y: sorted(map(str, y.drop("evidence").collect()))
     assert rows(x) == rows(rules.evaluate_documents(plain))
     spark.catalog.clearCache()
+
+
+def test_reports_shuffle_no_texts_of_r07(spark):
+    """A report has the texts that its findings have, which its plan groups by key."""
+    import json
+
+    from clauseaudit.sources import io
+    from clauseaudit.sources.bindings import facts
+
+    f = facts(spark, "/root/testdata/sf0.001", store=True)
+    findings, texts = rules.keyed_findings(f)
+    assert findings.where("rule_id = 'R07' and message_en is not null").count() == 0
+    whole = rules.evaluate_documents(f)
+    keyed, plain = (dict(x.collect()) for x in (io.json_report(f.clauses, findings, texts=texts), io.json_report(f.clauses, whole)))
+    assert keyed == plain and any(y["rule_id"] == "R07" and "lists IS" in y["message_en"] for r in keyed.values() for y in json.loads(r)["findings"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clauseaudit.functions.text import cache_key
 from clauseaudit.operators.extract import cache_misses, validate_spans
+from clauseaudit.sources.scratch import put
 
 _SPAN = [("span_start", pa.int32()), ("span_end", pa.int32())]
 _ITEMS = {
@@ -109,26 +110,30 @@ def run_extractor(clauses: DataFrame, extractor: Extractor) -> DataFrame:
     return clauses.mapInArrow(run, f"{own}, {SCHEMA}")
 
 
-def extract_with(clauses: DataFrame, extractor: Extractor, cache: DataFrame | None = None, prompt_version: str = "1") -> DataFrame:
+def extract_with(clauses: DataFrame, extractor: Extractor, cache: DataFrame | None = None, prompt_version: str = "1", folder: str | None = None) -> DataFrame:
     """``clauses`` with ``key``, checked extractions, ``error``, ``cached`` and the checks' counts (``dropped``, ``invented``).
 
-    ``cache`` has ``key`` and the extraction's columns; what has an error should not be put there (``cacheable``)."""
-    x = clauses.withColumn("key", cache_key(F.col("text"), F.lit(prompt_version), F.lit(extractor.model_id)))
+    ``cache`` has ``key`` and the extraction's columns; what has an error should not be put there (``cacheable``).
+    With ``folder``, a shared one, new extractions are written there first, so that what was shuffled to find them is freed."""
+    # Keys are shuffled as 32 bytes and named in hex at the ends.
+    x = clauses.withColumn("key", F.unhex(cache_key(F.col("text"), F.lit(prompt_version), F.lit(extractor.model_id))))
     fields = [*_ITEMS, "mentions_certification", "error"]
     todo = x.select("key", "text", *(["language"] if "language" in x.columns else []))
-    known = None if cache is None else cache.select("key", *fields).dropDuplicates(["key"])
+    known = None if cache is None else cache.select(F.unhex("key").alias("key"), *fields).dropDuplicates(["key"])
     todo = todo.dropDuplicates(["key"]) if known is None else cache_misses(todo, known)
     made = run_extractor(todo, extractor).select("key", *fields, F.lit(False).alias("cached"))
+    if folder is not None:
+        made = put(made, folder, "made")
     if known is not None:
         made = made.unionByName(known.withColumn("cached", F.lit(True)))
-    return validate_spans(x.join(made, "key"))
+    return validate_spans(x.join(made, "key").withColumn("key", F.lower(F.hex("key"))))
 
 
 def extract_keys(clauses: DataFrame, extractor: Extractor, prompt_version: str = "1") -> DataFrame:
     """Rows for the cache, straight from the clauses: each distinct one extracted and checked once, without a join back to the clauses."""
-    x = clauses.withColumn("key", cache_key(F.col("text"), F.lit(prompt_version), F.lit(extractor.model_id)))
+    x = clauses.withColumn("key", F.unhex(cache_key(F.col("text"), F.lit(prompt_version), F.lit(extractor.model_id))))
     todo = x.select("key", "text", *(["language"] if "language" in x.columns else [])).dropDuplicates(["key"])
-    return validate_spans(run_extractor(todo, extractor)).where("error is null").select("key", *_ITEMS, "mentions_certification", "error")
+    return validate_spans(run_extractor(todo, extractor)).where("error is null").select(F.lower(F.hex("key")).alias("key"), *_ITEMS, "mentions_certification", "error")
 
 
 def cacheable(extracted: DataFrame) -> DataFrame:

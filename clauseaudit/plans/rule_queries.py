@@ -204,7 +204,7 @@ def extractor_hook_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "cache")
     c = put(c, folder, "clauses")
     cache = put(extract_keys(c.where("part_key % 2 = 0"), reader), folder, "extractions")
-    x = cross_check(with_fallback(extract_with(c, reader, cache)))
+    x = cross_check(with_fallback(extract_with(c, reader, cache, folder=folder)))
     return x.select("doc_id", "clause_id", "provider", "cached", F.substring_index("error", ":", 1).alias("error"), "extraction_uncertain", F.size("citations").alias("n_citations"), F.try_element_at("citations", F.lit(1))["is_number"].alias("is_number"), F.try_element_at("citations", F.lit(1))["span_start"].alias("span_start"))
 
 

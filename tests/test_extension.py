@@ -106,3 +106,16 @@ def test_keys_of_the_cache_and_fallback_without_a_join(spark):
     x = with_fallback(got)
     fields = ["id", "provider", "reduced_mode", "citations", "_regex"]
     assert rows(x.select(fields)) == rows(want.select(fields)) and "Join" in want._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_extractor_shuffles_bytes_of_keys(spark, tmp_path):
+    """Keys are hex outside and 32 bytes in every shuffle, and what is written on the way changes no row."""
+    from clauseaudit.operators.extractor import PatternExtractor, extract_keys, extract_with
+
+    reader = PatternExtractor(r"IS (?P<number>\d+)")
+    c = spark.createDataFrame([(i, f"IS {i % 7}0 and more") for i in range(40)] + [(40, None)], "doc_id int, text string")
+    cache = extract_keys(c.where("doc_id % 7 = 3"), reader)
+    own, written = extract_with(c, reader, cache), extract_with(c, reader, cache, folder=str(tmp_path))
+    rows = lambda x: sorted(map(str, x.collect()))
+    assert rows(own) == rows(written) and own.where("cached").count() == 6 and own.where("length(key) <> 64 or key <> lower(key)").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/made").count() == 7 and spark.read.parquet(f"{tmp_path}/made").where("octet_length(key) = 32").count() == 7
